@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanlight.llm import chat_format, exact_dedup, quality_rules, sharding
+from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, quality_rules, sharding
+
+#: Vocabulary files, the same path on every machine.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +36,17 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), PIECES)
+    told = language_id.predict(docs, model, PIECES)
+    return told.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -38,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_bpe_codec": op7_bpe_codec,
+    "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
 
