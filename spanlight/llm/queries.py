@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, quality_rules, sharding
+from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, quality_rules, sharding
 
 #: Vocabulary files, the same path on every machine.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -53,6 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_bpe_codec": op7_bpe_codec,
