@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, quality_rules, sharding
+from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, line_dedup, quality_rules, sharding, source_mixing
 
 #: Vocabulary files, the same path on every machine.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,10 +40,20 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), sha.alias("text_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), PIECES)
@@ -60,7 +70,9 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_source_mixing": op6_source_mixing,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
 }
@@ -121,5 +133,20 @@ FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn - 1
 UNION ALL
 SELECT conv_id, turn, '', 'context', count(*), 0, NULL, NULL, to_json({'content': text, 'role': role})::VARCHAR
 FROM m WHERE role NOT IN ('user', 'assistant') GROUP BY conv_id, turn, role, text
+""",
+    "op8_line_dedup": """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+t AS (SELECT doc_id, i, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+n AS (SELECT doc_id, i, line, len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) AS words FROM t WHERE line <> ''),
+u AS (SELECT doc_id, i, line, words, unnest(range(CASE WHEN words >= 25 THEN 2 ELSE 1 END)) AS part FROM n),
+w AS (SELECT doc_id, i, line, words,
+             lead(i) OVER s AS j, lead(line) OVER s AS line2, lead(words) OVER s AS words2, row_number() OVER s AS pos
+      FROM u WINDOW s AS (PARTITION BY doc_id ORDER BY i, part)),
+f AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS nth FROM w WHERE j IS NOT NULL AND words + words2 >= 10),
+dead AS (SELECT doc_id, i FROM f WHERE nth > 1 UNION SELECT doc_id, j FROM f WHERE nth > 1),
+g AS (SELECT l.doc_id, count(*) AS n_lines, count(dead.i) AS n_deleted,
+             coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE dead.i IS NULL), '') AS body
+      FROM l LEFT JOIN dead ON l.doc_id = dead.doc_id AND l.i = dead.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, sha256(body) AS text_sha256 FROM g
 """,
 }
