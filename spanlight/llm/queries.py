@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, line_dedup, quality_rules, sharding, source_mixing
+from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality_rules, sharding, source_mixing
 
 #: Vocabulary files, the same path on every machine.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.NearRule(words=2))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -68,6 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
@@ -110,6 +115,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND host_ok) AS kept, counts.host, host_ok
 FROM counts JOIN verdict ON counts.host IS NOT DISTINCT FROM verdict.host
+""",
+    "op3_near_dedup": """
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS a, doc_id AS c FROM s UNION SELECT edges.b, reach.c FROM reach JOIN edges ON reach.a = edges.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
+FROM s JOIN (SELECT a, min(c) AS c FROM reach GROUP BY a) m ON s.doc_id = m.a
 """,
     "op4_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
