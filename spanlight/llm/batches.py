@@ -29,4 +29,5 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 
 def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    made = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(made, schema, strict=True)], schema=schema)

@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -191,7 +192,20 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         encoder = Encoder(vocabulary)
         for part, texts in slices(batches):
             ids, decoded = zip(*encoder(texts), strict=True)
-            lists = [[int.from_bytes(i[k : k + 4], "little") for k in range(0, len(i), 4)] for i in ids]
+            ends = np.cumsum([0, *[len(i) // 4 for i in ids]], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield record_batch(ENCODED_ARROW, doc_id=part.column(0), ids=lists, decoded=decoded)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
+
+
+def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, decoded) from (doc_id, ids): tokens joined by spaces; ids outside the vocabulary are skipped, null ids are empty."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of = load(vocabulary).text_of
+        for batch in batches:
+            texts = [" ".join([text_of[i] for i in ids or () if i in text_of]) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")

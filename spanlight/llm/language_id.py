@@ -19,6 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlight.llm.batches import record_batch, slices
 
@@ -30,8 +31,6 @@ BLOCK = 40
 
 COUNTS = "lang string, piece int, n long"
 COUNTS_ARROW = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
-OUTPUT = "doc_id long, lang_pred string, score double"
-OUTPUT_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 @lru_cache(maxsize=2)
@@ -188,18 +187,19 @@ class Scorer:
         return [self.logs[list(map(self.row.__getitem__, words))].sum(axis=0) if words else None for words in split]
 
 
-def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score (posterior under equal priors, 0 to 1).
+def add_language(docs: DataFrame, model: Model, vocabulary: str, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows and columns of ``docs`` and two columns more: the language and its posterior under equal priors (0 to 1).
 
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned. Equal
     likelihoods: the first language by name. The model's size is bounded, and it is broadcast; there is no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model, vocabulary) if model.langs else None
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, text_col):
             langs, scores = [], []
             for logs in scorer(texts) if scorer else [None] * len(texts):
                 if logs is None:
@@ -209,9 +209,16 @@ def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_i
                     best = int(logs.argmax())
                     langs.append(model.langs[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
-            yield record_batch(OUTPUT_ARROW, doc_id=part.column(0), lang_pred=langs, score=scores)
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUTPUT)
+
+def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, as ``add_language`` gives them. Other columns are not read."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return add_language(slim, model, vocabulary).drop("text")
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
