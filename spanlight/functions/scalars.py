@@ -87,7 +87,7 @@ def parse_rating(s: Column | str) -> Column:
 
 def split_names(s: Column | str, sep: str = ",") -> Column:
     """Trimmed parts that are not empty."""
-    return F.filter(F.transform(F.split(col(s), sep, -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(s), sep, -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def null_if_na(s: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,20 +12,20 @@ from spanlight.functions.scalars import exact_sum, half_up, log_distance_score,
 from spanlight.operators.stats import difference_in_differences
 
 
-def resolve_labels(rows: DataFrame, label: str, places: DataFrame, aliases: DataFrame | None = None, code: str = "code", out: str = "code") -> DataFrame:
+def resolve_labels(rows: DataFrame, label: str, places: DataFrame, aliases: DataFrame | None = None, code: str = "code", out: str = "code", fold: Callable[[Column], Column] = turkish_lower) -> DataFrame:
     """Rows with a code for their label: the label itself if it is a known code, else by name, else by alias, else null.
 
-    ``places``: (code, name); ``aliases``: (alias, code). Names are compared in lower case; of equal names the first code counts.
+    ``places``: (code, name); ``aliases``: (alias, code). Names are compared after ``fold``; of equal names the first code counts.
     All keys go into one lookup table, so each label is looked up with a single join.
     """
     own = places.select(F.upper(code).alias("k"), F.lit(0).alias("stage"), F.col(code).alias("_code"))
-    named = places.select(turkish_lower(F.trim("name")).alias("k"), F.lit(1).alias("stage"), F.col(code).alias("_code"))
+    named = places.select(fold(F.trim("name")).alias("k"), F.lit(1).alias("stage"), F.col(code).alias("_code"))
     table = own.unionByName(named)
     if aliases is not None:
-        table = table.unionByName(aliases.select(turkish_lower(F.trim("alias")).alias("k"), F.lit(2).alias("stage"), F.col(code).alias("_code")))
+        table = table.unionByName(aliases.select(fold(F.trim("alias")).alias("k"), F.lit(2).alias("stage"), F.col(code).alias("_code")))
     best = table.groupBy("k").agg(F.min(F.struct("stage", "_code")).alias("b")).select("k", F.col("b.stage").alias("stage"), F.col("b._code").alias("_code"))
     text = F.trim(label)
-    upper, lower = F.upper(text), turkish_lower(text)
+    upper, lower = F.upper(text), fold(text)
     first = best.where("stage = 0").select(F.col("k").alias("k0"), F.col("_code").alias("c0"))
     later = best.where("stage > 0").select(F.col("k").alias("k1"), F.col("_code").alias("c1"))
     keyed = rows.withColumns({"_u": upper, "_l": lower})

@@ -9,13 +9,17 @@ from spanlight.functions.scalars import col, half_up
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
-    """Aggregate: correlation of the pairs in which both are known; 0 where a side does not vary."""
+    """Aggregate: correlation of the pairs in which both are known; 0 where a side does not vary.
+
+    Merging partial moments can leave a tiny variance where all values are equal, so that case is told by the extremes.
+    """
     both = col(x).isNotNull() & col(y).isNotNull()
     a, b = F.when(both, col(x)), F.when(both, col(y))
     n = F.count(F.when(both, 1))
     spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
     r = F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-    return F.when(n == 0, None).otherwise(F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0)))
+    still = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+    return F.when(n == 0, None).when(still, 0.0).otherwise(F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0)))
 
 
 def fisher_interval(r: Column | str, n: Column | str) -> tuple[Column, Column]:
