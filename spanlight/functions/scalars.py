@@ -42,7 +42,8 @@ def share_pct(part: Column | str, total: Column | str, places: int = 1) -> Colum
 
 
 def clamp(x: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(x)))
+    """``x`` kept between two bounds; null stays null."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(x))))
 
 
 def lerp(t: Column | str, a: float, b: float) -> Column:
