@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlight.llm.batches import record_batch, slices
+from spanlight.llm.common import stash
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"  # begins the pieces that begin a word
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
     More than ``max_languages`` labels are refused, so that the size stays bounded.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = piece_counts(labelled, vocabulary, lang_col, text_col)
+    counts = stash(piece_counts(labelled, vocabulary, lang_col, text_col), "piece-counts")
     model, pieces, _ = load(vocabulary)
     size = model.get_piece_size()
     if counts.select("lang").distinct().count() > max_languages:
