@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -54,7 +55,15 @@ class WordBpe:
             i, j, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.pairs[i << 20 | j] = r
             self.rank[made], self.left[made], self.right[made] = r, i, j
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
+        #: Tokens inside a word and tokens that end one (without the mark), by their text; any other text
+        #: that a longer token ends with has -1, so a search from the short end knows when to stop.
+        self.inner = self.tails({t: i for t, i in self.vocab.items() if not t.endswith(self.end)})
+        self.final = self.tails({t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)})
+        self.length = [0] * size
+        for tokens in (self.inner, self.final):
+            for text, i in tokens.items():
+                if i >= 0:
+                    self.length[i] = len(text)
         self.letters = byte_letters()
         self.fits: dict[int, bool] = {}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -88,13 +97,23 @@ class WordBpe:
         self.fits[key] = fits
         return fits
 
-    def last_token(self, letters: str, depth: int, ends: list[int], suffix: str = "") -> int:
+    @staticmethod
+    def tails(tokens: dict[str, int]) -> dict[str, int]:
+        return {t[k:]: -1 for t in tokens for k in range(1, len(t))} | tokens
+
+    def last_token(self, letters: str, depth: int, ends: list[int], tokens: dict[str, int]) -> int:
         """The token that ends the first ``depth`` letters, given the last tokens of all shorter prefixes."""
-        vocab, fits = self.vocab, self.side_by_side
-        for start in range(max(0, depth - self.longest), depth):
-            token = vocab.get(letters[start:depth] + suffix)
-            if token is not None and (start == 0 or fits(ends[start], token)):
-                return token
+        get, known = tokens.get, self.fits.get
+        for start in range(depth - 1, -1, -1):
+            token = get(letters[start:depth])
+            if token is None:
+                break
+            if token >= 0:
+                if not start:
+                    return token
+                fits = known(ends[start] << 20 | token)
+                if self.side_by_side(ends[start], token) if fits is None else fits:
+                    return token
         raise ValueError(f"no token ends {letters[:depth]!r}")
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
@@ -104,7 +123,7 @@ class WordBpe:
         node is ``path``, with the last token of each prefix in ``ends`` and its length in ``spans``. Going to the
         next word keeps the states of the shared prefix.
         """
-        letter = self.letters
+        letter, length, inner, final = self.letters, self.length, self.inner, self.final
         entries = sorted(("".join([letter[b] for b in w.encode()]), w) for w in words)
         path, ends, spans = "", [0], [0]
         for letters, word in entries:
@@ -114,12 +133,12 @@ class WordBpe:
                 shared += 1
             del ends[shared + 1 :], spans[shared + 1 :]
             for depth in range(shared + 1, n):
-                token = self.last_token(letters, depth, ends)
+                token = self.last_token(letters, depth, ends, inner)
                 ends.append(token)
-                spans.append(len(self.text_of[token]))
+                spans.append(length[token])
             path = letters[: n - 1]
-            last = self.last_token(letters, n, ends, self.end)
-            ids, depth = [last], n - (len(self.text_of[last]) - len(self.end))
+            last = self.last_token(letters, n, ends, final)
+            ids, depth = [last], n - length[last]
             while depth:
                 ids.append(ends[depth])
                 depth -= spans[depth]
@@ -139,6 +158,10 @@ class WordBpe:
         return words
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -147,7 +170,7 @@ def load(path: str) -> WordBpe:
 class Encoder:
     """Encodes batches of texts; remembers words up to a number of them."""
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 600_000):
         self.bpe, self.memory = load(path), memory
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
@@ -162,7 +185,7 @@ class Encoder:
             self.ids[word], self.text[word] = self.bpe.special[word].to_bytes(4, "little"), word
         text_of = self.bpe.text_of
         for word, ids in self.bpe.encode_words(fresh - self.bpe.special.keys()):
-            self.ids[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+            self.ids[word] = pack(ids)
             self.text[word] = " ".join([text_of[i] for i in ids])
         for words in split:
             yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.text.__getitem__, words))
