@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.llm import bpe_codec, language_id, line_dedup, near_dedup, source_mixing
-from spanlight.llm.common import BLANKS, stash
+from spanlight.llm.common import BLANKS, fresh, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,16 +20,18 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter at all, or no language that is likelier than all others together."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), PIECES)
-    told = language_id.add_language(docs, model, PIECES, names=("__lang", "__score"))
-    return told.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") > 0.5)).select(docs.columns)
+    lang, score = fresh(docs, "__lang", "__score")
+    told = language_id.add_language(docs, model, PIECES, names=(lang, score))
+    return told.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > 0.5)).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated runs of lines; a document of which nothing is left goes."""
-    done = line_dedup.dedup_lines(docs)
-    done = done.where((F.col("__n_deleted") == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
+    lines, deleted = fresh(docs, "__n_lines", "__n_deleted")
+    done = line_dedup.dedup_lines(docs, counts=(lines, deleted))
+    done = done.where((F.col(deleted) == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlight.llm.common import BLANKS, blank_words, stash, whole
+from spanlight.llm.common import BLANKS, blank_words, fresh, stash, whole
 
 
 def line_windows(docs: DataFrame, window: int, long_words: int, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,21 +72,28 @@ def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_w
 
 
 def dedup_lines(
-    docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    window: int = 2,
+    long_words: int = 25,
+    min_words: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counts: tuple[str, str] = ("n_lines", "n_deleted"),
 ) -> DataFrame:
-    """The rows of ``docs`` with ``text_col`` rewritten and two columns more, ``__n_lines`` and ``__n_deleted`` (long).
+    """The rows of ``docs`` with ``text_col`` rewritten and two columns more (long), named by ``counts``; like-named columns go.
 
     A line goes if it lies in a run of at least ``window`` lines (a line of ``long_words`` or more words counts as a
     whole run) and ``min_words`` words that stands earlier too: in a document with a smaller id, or higher up in the
-    same one. Null text stays null; blank lines stay. Rows with equal id and lines are one occurrence, so none
+    same one. Null text stays null and counts as one line; blank lines stay. Rows with equal id and lines are one occurrence, so none
     of them counts as the later one. Null ids come first. An empty table gives no rows.
     """
-    dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("dead").alias("__dead"))
-    joined = docs.join(dead, F.col(id_col).eqNullSafe(F.col("__id")), "left").withColumn("__lines", F.split(F.col(text_col), "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dead"))
-    text = F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")
+    key, gone, lines = fresh(docs, "__id", "__dead", "__lines")
+    dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col).select(F.col("doc_id").alias(key), F.col("dead").alias(gone))
+    joined = docs.join(dead, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return joined.select(
-        *[F.when(F.col("__dead").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__dead"), F.lit(0)).cast("long").alias("__n_deleted"),
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts],
+        F.when(F.col(lines).isNull(), 1).otherwise(F.size(lines)).cast("long").alias(counts[0]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(counts[1]),
     )

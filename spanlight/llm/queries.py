@@ -55,7 +55,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), sha.alias("text_sha256"))
+    return done.select("doc_id", "n_lines", "n_deleted", sha.alias("text_sha256"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

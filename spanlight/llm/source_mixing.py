@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlight.llm.common import stash, whole
+from spanlight.llm.common import fresh, stash, whole
 
 
 @dataclass(frozen=True)
@@ -164,9 +164,11 @@ def repeat_documents(docs: DataFrame, target: MixTarget | None = None, id_col: s
     counted = stash(count_tokens(docs, id_col, source_col, text_col), "mix-tokens")
     plan = stash(source_plan(counted, target), "mix-plan")
     cut = permuted(counted, plan, target).where((F.col("block") == F.col("full")) & (F.col("upto") <= F.col("rest")))
-    cut = cut.groupBy("source").agg(F.max("key").alias("__cut"))
+    cut = cut.groupBy("source").agg(F.max("key").alias("cut"))
     passes = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    passes = stash(passes.select(F.col("source").alias("__source"), F.col("full").alias("__full"), "__cut"), "mix-passes")
-    joined = docs.join(passes, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    last = F.coalesce(order_key(target.seed, F.col("__full"), F.col(id_col)) <= F.col("__cut"), F.lit(False)).cast("int")
-    return joined.withColumn("__pass", F.explode(F.array_repeat(F.lit(0), (F.col("__full") + last).cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    source, full, last_key, each = fresh(docs, "__source", "__full", "__cut", "__pass")
+    passes = stash(passes.select(F.col("source").alias(source), F.col("full").alias(full), F.col("cut").alias(last_key)), "mix-passes")
+    joined = docs.join(passes, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    last = F.coalesce(order_key(target.seed, F.col(full), F.col(id_col)) <= F.col(last_key), F.lit(False)).cast("int")
+    times = F.array_repeat(F.lit(0), (F.col(full) + last).cast("int"))
+    return joined.withColumn(each, F.explode(times)).select(*[f"`{c}`" for c in docs.columns])
