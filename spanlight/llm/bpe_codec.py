@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.batches import record_batch, slices
+from spanlight.llm.common import ship
 
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -197,7 +198,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     Null text counts as empty: no tokens, and the digests of no bytes. ``vocabulary`` is a path on every
     executor. Tasks hold about a megabyte of text at a time, or one longer text; there is no shuffle.
     """
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary)
         for part, texts in slices(batches):
@@ -210,7 +211,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (array), decoded (text). Null text counts as empty."""
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for part, texts in slices(batches):
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, decoded) from (doc_id, ids): tokens joined by spaces; ids outside the vocabulary are skipped, null ids are empty."""
-
+    ship(coded.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = load(vocabulary).text_of
         for batch in batches:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per application; Spark hands it out like any other file."""
+    context = spark.sparkContext
+    if getattr(context, "_spanlight_shipped", False):
+        return
+    package = Path(__file__).parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="spanlight-code-")) / "spanlight.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._spanlight_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/spanlight/{name}-{uuid.uuid4().hex}"
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlight.llm.batches import record_batch, slices
-from spanlight.llm.common import stash
+from spanlight.llm.common import ship, stash
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"  # begins the pieces that begin a word
@@ -53,7 +53,7 @@ def piece_counts(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_
     Each task counts words first and cuts each distinct word once with the vocabulary's own segmentation;
     it sends at most languages x pieces rows per ``memory`` distinct words, which are summed by key.
     """
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _, _ = load(vocabulary)
         counts: dict[str, Counter] = {}
@@ -194,6 +194,7 @@ def add_language(docs: DataFrame, model: Model, vocabulary: str, text_col: str =
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned. Equal
     likelihoods: the first language by name. The model's size is bounded, and it is broadcast; there is no shuffle.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.batches import record_batch, slices
+from spanlight.llm.common import ship
 
 #: Word bytes of the base rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -292,7 +293,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ``score`` is the best confidence of what was found (base phrases count 0.9), 0 if nothing was. Null text
     counts as empty: 0 words, null places, empty labels. Whole texts are read; there is no shuffle.
     """
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             rows = []
@@ -312,7 +313,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per detection that is not suppressed: doc_id, start and end (characters), label, kind, confidence."""
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             rows = [

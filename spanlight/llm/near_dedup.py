@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.batches import record_batch, slices
-from spanlight.llm.common import stash
+from spanlight.llm.common import ship, stash
 from spanlight.llm.components import connected_components
 
 U = np.uint64
@@ -87,7 +87,7 @@ FEATURES_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
 
 def features(docs: DataFrame, rule: NearRule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, digest, signature); digest (128 bits of the set) and signature are null for empty sets."""
-
+    ship(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = rule.multipliers()
         for part, texts in slices(batches):
