@@ -81,8 +81,10 @@ def dedup(
     text = ascii_lower(whole(F.col(text_col)))
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
     hits = stash(bodies.join(merged.where("n > 1").select("digest"), "digest", "left_semi"), "digest-hits")
-    # Byte verification: the class of a hit is its digest and its bytes.
+    # Byte verification: the class of a hit is its digest and its bytes. Classes are written, so that both sides of the
+    # join are plain shuffles and a group that holds a third of all rows is split over tasks.
     classes = hits.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = stash(classes, "digest-classes")
     several = hits.join(classes, ["digest", "body"])
     sha = F.col("digest") if digest is sha256_hex else None
     if sha is None:

@@ -64,9 +64,11 @@ def line_windows(docs: DataFrame, window: int, long_words: int, min_words: int,
 def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, dead): the numbers of the lines to delete, for documents that have any."""
     windows = stash(line_windows(docs, window, long_words, min_words, id_col, text_col), "line-windows")
-    prints = windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # Written, so that both sides of the joins are plain shuffles and a very frequent line is split over tasks.
+    prints = stash(windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "line-prints")
     near = windows.join(prints, "print", "left_semi")
     first = near.groupBy("low", "high").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stash(first, "line-firsts")
     later = near.join(first, ["low", "high"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dead"))
 

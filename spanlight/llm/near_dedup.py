@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str =
 
     entries = index_entries(classes, rule)
     full = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+    full = stash(full, "near-keys")  # written, so that the join below can split a key with very many entries
     members = stash(entries.join(full, "key"), "near-members")
 
     signed = classes.select("rep", "signature")

@@ -129,7 +129,8 @@ def apply_rules(
     rules = rules or HostRules()
     measured = stash(measure(docs, id_col, host_col, text_col), "quality-counts")
     bad = rules.failures()
-    verdicts = host_verdicts(measured, rules).withColumnRenamed("host", "h")
+    # Written, so that its size is known: it is broadcast if small, else a host with very many documents can be split.
+    verdicts = stash(host_verdicts(measured, rules), "host-verdicts").withColumnRenamed("host", "h")
     failed = bad["short"] | bad["repeats"]
     return (
         measured.join(verdicts, measured["host"].eqNullSafe(verdicts["h"]), "left")
