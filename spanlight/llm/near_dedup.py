@@ -8,8 +8,10 @@ probability 0.263 ** 10, below two in a million.
 
 Pairs are never listed within a group. Documents with equal sets are one from the start. In each index entry
 every member is compared with the smallest one; entries whose members are not yet in one cluster are compared
-in full, inside tasks, on signatures. Each cluster is then compared in full on the shingle sets, in blocks of
-bounded size, and a task returns no more than a spanning forest of the confirmed links of its block pair.
+in full, inside tasks, on signatures. Links are then confirmed on the shingle sets. A small cluster is compared in full.
+In a larger one all members are compared with the smallest first; those linked with it need no comparison among
+each other, and the rest meet all members in blocks of bounded size. A task returns no more than a spanning
+forest of the confirmed links of its block pair.
 """
 
 from __future__ import annotations
@@ -147,12 +149,17 @@ def distance(a: Column, b: Column, rule: NearRule) -> Column:
 def block_pairs(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
     """Copies of ``members`` (group, rep, ...) for each pair of blocks (``bi`` <= ``bj``) that they take part in.
 
-    ``sizes``: (group, blocks). Members are dealt to blocks by a hash, so a group of any size becomes many tasks.
+    ``sizes``: (group, blocks), a written table. Members are dealt to blocks by a hash. The pairs are shuffled by group
+    and blocks, so a group of any size becomes many tasks.
     """
     dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    both = dealt.select("*", other)
-    return both.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "other")
+    return pair_up(dealt.select("*", other), group, "blocks")
+
+
+def pair_up(dealt: DataFrame, group: str, *spent: str) -> DataFrame:
+    both = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    return both.drop("other", *spent).repartition(group, "bi", "bj")
 
 
 def pairs_between(blocks: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +190,7 @@ def close_signatures(members: DataFrame, rule: NearRule) -> DataFrame:
 
     Only pairs with different labels matter.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / (2 * rule.block_docs)).alias("blocks"))
+    sizes = stash(members.groupBy("key").agg(F.ceil(F.count("*") / (2 * rule.block_docs)).alias("blocks")), "near-key-sizes")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pairs_between(pdf["block"].to_numpy(), key[1], key[2])
@@ -228,13 +235,56 @@ def linked_in_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return left[x], right[y]
 
 
+MARKED = "cluster long, rep long, n_shingles long, digest binary, text string, core boolean"
+MARKED_ARROW = pa.schema(
+    [("cluster", pa.int64()), ("rep", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("text", pa.string()), ("core", pa.bool_())]
+)
+
+
+def with_core(held: DataFrame, rule: NearRule) -> DataFrame:
+    """Rows of ``held`` (cluster, rep, n_shingles, digest, text) and ``core``: linked with the smallest member of the cluster.
+
+    The smallest member has the cluster's label. Its text meets the members in a join, one to a row, so the work and what is
+    written grow with the members only. Rows whose text is not that of the digest go.
+    """
+    first = held.where("rep = cluster").dropDuplicates(["cluster", "text"])
+    first = stash(first.select("cluster", F.col("text").alias("pivot_text"), F.col("digest").alias("pivot_digest")), "near-pivots")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_pivot: tuple = (None, None)
+        for part, texts in slices(batches):
+            rows = []
+            pivots, pivot_digests, digests = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("pivot_text", "pivot_digest", "digest"))
+            for k, text in enumerate(texts):
+                if held_pivot[0] != pivots[k]:
+                    held_pivot = (pivots[k], shingle_hashes(pivots[k], rule.words))
+                one, other = held_pivot[1], shingle_hashes(text, rule.words)
+                if set_digest(one) != pivot_digests[k] or set_digest(other) != digests[k]:
+                    rows.append(None)
+                    continue
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                rows.append(100 * common >= rule.percent * (len(one) + len(other) - common))
+            kept = part.append_column("core", pa.array(rows, pa.bool_())).filter(pa.array([r is not None for r in rows]))
+            yield kept.select(MARKED_ARROW.names).cast(MARKED_ARROW)
+
+    return held.join(first, "cluster").mapInArrow(run, MARKED)
+
+
 def confirmed_links(members: DataFrame, docs: DataFrame, rule: NearRule, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a forest of the links in each cluster of ``members`` (cluster, rep, n_shingles, digest), on full sets."""
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / rule.block_docs), F.ceil(F.sum("n_shingles") / rule.block_shingles)).alias("blocks")
-    )
+    """(a, b): a forest of the links in each cluster of ``members`` (cluster, rep, n_shingles, digest), on full sets.
+
+    A cluster that fits one block is compared in full. In a larger one, members linked with the smallest one are its core, which
+    needs no comparison within; the others are compared with all members, in pairs of blocks.
+    """
+
+    def blocks(some: Column) -> Column:
+        """Blocks that the rows of a group with ``some`` need; 0 if there are none."""
+        rows, shingles = F.count_if(some), F.sum(F.when(some, F.col("n_shingles")).otherwise(0))
+        return F.greatest(F.ceil(rows / rule.block_docs), F.ceil(shingles / rule.block_shingles))
+
+    sizes = stash(members.groupBy("cluster").agg(blocks(F.lit(True)).alias("blocks")), "near-sizes")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = stash(members.join(texts, "rep"), "near-texts")
+    held = stash(members.join(sizes, "cluster").join(texts, "rep"), "near-texts")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_hashes(t, rule.words) for t in pdf["text"]]
@@ -249,7 +299,22 @@ def confirmed_links(members: DataFrame, docs: DataFrame, rule: NearRule, id_col:
         kept = forest(reps[x], reps[y])
         return pd.DataFrame({"a": reps[x[kept]], "b": reps[y[kept]]})
 
-    return block_pairs(held, "cluster", sizes).groupBy("cluster", "bi", "bj").applyInPandas(run, "a long, b long")
+    columns = ["cluster", "rep", "digest", "text"]
+    zero = F.lit(0).cast("long")
+    small = held.where("blocks = 1").select(*columns, zero.alias("block"), zero.alias("bi"), zero.alias("bj"))
+
+    marked = stash(with_core(held.where("blocks > 1"), rule), "near-marked")
+    dealt = stash(marked.groupBy("cluster").agg(blocks(F.col("core")).alias("cores"), blocks(~F.col("core")).alias("others")), "near-blocks")
+    dealt = marked.join(dealt.where("others > 0"), "cluster")
+    of_hash = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    block = F.when(F.col("core"), of_hash("cores")).otherwise(F.col("cores") + of_hash("others"))
+    start = F.when(F.col("core"), F.col("cores")).otherwise(0)
+    other = F.explode(F.sequence(start, F.col("cores") + F.col("others") - 1)).alias("other")
+    large = pair_up(dealt.select(*columns, block.alias("block"), other), "cluster")
+
+    stars = marked.where("core and rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
+    in_blocks = [pairs.groupBy("cluster", "bi", "bj").applyInPandas(run, "a long, b long") for pairs in (small, large)]
+    return stars.unionByName(in_blocks[0]).unionByName(in_blocks[1])
 
 
 def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
