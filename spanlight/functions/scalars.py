@@ -189,3 +189,18 @@ def reasons(*pairs: tuple[Column, str]) -> Column:
 def all_of(*conditions: Column | None) -> Column:
     """Those conditions that are given, and-ed; true if none is."""
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
+
+
+def email_key(address: Column | str) -> Column:
+    """An e-mail address as it is compared: trimmed, lower case."""
+    return F.lower(F.trim(col(address)))
+
+
+def turkish_number(n: Column | str) -> Column:
+    """A whole number with points between groups of three digits."""
+    return F.replace(F.format_number(col(n), 0), F.lit(","), F.lit("."))
+
+
+def year_of(date: Column | str) -> Column:
+    """The year that a date's text begins with; null if it does not begin with four digits."""
+    return F.left(col(date), F.lit(4)).try_cast("int")

@@ -112,3 +112,9 @@ def top_label(index: DataFrame, membership: DataFrame, group: str, key: str, val
     """(group, key, value): the key with the largest value of each group; ties: the smaller key."""
     ranked = index.join(membership, key).withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.col(value).desc(), key)))
     return ranked.where("_r = 1").select(group, key, value)
+
+
+def rating_chain(titles: DataFrame, external_ids: DataFrame, ratings: DataFrame, id_col: str = "id", external: str = "external_id") -> DataFrame:
+    """(id, external_id, rating, votes): ratings found over the external id; null from the step on that finds nothing."""
+    found = titles.select(id_col).join(external_ids.select(id_col, external), id_col, "left")
+    return found.join(ratings.select(external, "rating", "votes"), external, "left").select(id_col, external, "rating", "votes")

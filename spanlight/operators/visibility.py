@@ -48,6 +48,11 @@ def with_tags(titles: DataFrame, store: DataFrame, id_col: str = "id") -> DataFr
     return titles.join(store, id_col, "left").withColumn("tags", tags).drop("human_tags", "auto_tags")
 
 
+def without(df: DataFrame, *sensitive: str) -> DataFrame:
+    """The rows as they may be shown: columns that must not leave the service are gone."""
+    return df.drop(*sensitive)
+
+
 def top_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
