@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes repeated runs of lines; a document of which nothing is left goes."""
     lines, deleted = fresh(docs, "__n_lines", "__n_deleted")
-    done = line_dedup.dedup_lines(docs, counts=(lines, deleted))
+    done = line_dedup.dedup_lines(docs, counts=(lines, deleted), runs=True)
     done = done.where((F.col(deleted) == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

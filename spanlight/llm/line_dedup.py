@@ -61,15 +61,77 @@ def line_windows(docs: DataFrame, window: int, long_words: int, min_words: int,
     )
 
 
-def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_runs(docs: DataFrame, window: int, long_words: int, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``line_windows``, with every line in one place: (doc_id, at, print, low, high, lines).
+
+    A row is a run of ``window`` lines or of one line with ``long_words`` words: the shortest that starts at a line, and
+    the shortest that ends at one. ``at`` is the place of its first line among the lines that are not blank. Runs
+    with fewer than ``min_words`` words are left out.
+    """
+    lines = F.split(whole(F.col(text_col)), "\n", -1)
+    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    base = docs.select(F.col(id_col).alias("doc_id"), trimmed.alias("trimmed"))
+    numbered = F.transform(
+        "trimmed",
+        lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.size(blank_words(x)).alias("n"), i.alias("i")),
+    )
+    kept = base.select("doc_id", F.filter(numbered, lambda x: x["n"] > 0).alias("p")).where(F.size("p") > 0)
+    kept = kept.select("doc_id", "p", F.transform("p", lambda x: x["n"]).alias("n"))
+    reach = max(window, 1)
+
+    def fits(run):
+        return (run["units"] >= window) | run["long"]
+
+    def shortest(words):
+        """Lines of the shortest run at the beginning of ``words``, 0 if there is none."""
+        none = F.struct(F.lit(0).alias("units"), F.lit(0).alias("words"), F.lit(False).alias("long"))
+        grown = lambda run, n: F.struct((run["units"] + 1).alias("units"), (run["words"] + n).alias("words"), (run["long"] | (n >= long_words)).alias("long"))
+        return F.aggregate(words, none, lambda run, n: F.when(fits(run), run).otherwise(grown(run, n)), lambda run: F.when(fits(run), run["units"]).otherwise(0))
+
+    places = F.sequence(F.lit(0), F.size("n") - 1)
+    onward = F.transform(places, lambda i: shortest(F.slice("n", i + 1, F.lit(reach))))
+    back = F.transform(places, lambda i: shortest(F.reverse(F.slice("n", F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, F.lit(reach))))))
+    sized = kept.select("doc_id", "p", onward.alias("onward"), back.alias("back"))
+    starts = F.transform("onward", lambda n, i: F.struct(i.alias("at"), n.alias("n")))
+    ends = F.transform("back", lambda n, i: F.struct((i + 1 - n).alias("at"), n.alias("n")))
+    # What is the shortest from both sides is taken once.
+    ends = F.filter(ends, lambda s: F.get("onward", s["at"]) != s["n"])
+    spans = F.filter(F.concat(starts, ends), lambda s: s["n"] > 0)
+    each = sized.select("doc_id", "p", spans.alias("spans"))
+
+    def one(s):
+        part = F.slice("p", s["at"] + 1, s["n"])
+        a = F.transform(part, lambda x: x["a"])
+        return F.struct(
+            s["at"].alias("at"),
+            F.array_min(a).alias("print"),
+            F.xxhash64(a).alias("low"),
+            F.xxhash64(F.transform(part, lambda x: x["b"])).alias("high"),
+            F.transform(part, lambda x: x["i"]).alias("lines"),
+            F.aggregate(part, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
+        )
+
+    made = each.select("doc_id", F.transform("spans", one).alias("w"))
+    return made.select("doc_id", F.explode(F.filter("w", lambda x: x["n"] >= min_words)).alias("w")).select(
+        "doc_id", "w.at", "w.print", "w.low", "w.high", "w.lines"
+    )
+
+
+def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """(doc_id, dead): the numbers of the lines to delete, for documents that have any."""
-    windows = stash(line_windows(docs, window, long_words, min_words, id_col, text_col), "line-windows")
+    make = line_runs if runs else line_windows
+    windows = stash(make(docs, window, long_words, min_words, id_col, text_col), "line-windows")
     # Written, so that both sides of the joins are plain shuffles and a very frequent line is split over tasks.
     prints = stash(windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "line-prints")
     near = windows.join(prints, "print", "left_semi")
     first = near.groupBy("low", "high").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stash(first, "line-firsts")
     later = near.join(first, ["low", "high"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
+    if runs:
+        # Where a run overlaps its own first occurrence, the lines that both have stay.
+        shared = F.col("first.at") + F.size("lines") - F.col("at")
+        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (shared > 0)
+        later = later.withColumn("lines", F.when(own, F.slice("lines", shared + 1, F.size("lines"))).otherwise(F.col("lines")))
     return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dead"))
 
 
@@ -81,6 +143,7 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     counts: tuple[str, str] = ("n_lines", "n_deleted"),
+    runs: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` rewritten and two columns more (long), named by ``counts``; like-named columns go.
 
@@ -88,9 +151,12 @@ def dedup_lines(
     whole run) and ``min_words`` words that stands earlier too: in a document with a smaller id, or higher up in the
     same one. Null text stays null and counts as one line; blank lines stay. Rows with equal id and lines are one occurrence, so none
     of them counts as the later one. Null ids come first. An empty table gives no rows.
+
+    With ``runs`` a line has one place whatever its length, and a later run leaves the lines of its first occurrence
+    alone, so a copy of every deleted line stays. Without, a long line that stands twice in succession loses both copies.
     """
     key, gone, lines = fresh(docs, "__id", "__dead", "__lines")
-    dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col).select(F.col("doc_id").alias(key), F.col("dead").alias(gone))
+    dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col, runs).select(F.col("doc_id").alias(key), F.col("dead").alias(gone))
     joined = docs.join(dead, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(lines, F.split(F.col(text_col), "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
