@@ -64,9 +64,10 @@ def line_windows(docs: DataFrame, window: int, long_words: int, min_words: int,
 def line_runs(docs: DataFrame, window: int, long_words: int, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``line_windows``, with every line in one place: (doc_id, at, print, low, high, lines).
 
-    A row is a run of ``window`` lines or of one line with ``long_words`` words: the shortest that starts at a line, and
-    the shortest that ends at one. ``at`` is the place of its first line among the lines that are not blank. Runs
-    with fewer than ``min_words`` words are left out.
+    A row is a run of at least ``window`` lines (or one line with ``long_words`` words) and ``min_words`` words: the
+    shortest that starts at a line, and the shortest that ends at one. ``at`` is the place of its first line among the
+    lines that are not blank. Each line of a longer run lies in one of these inside it, and equal content is cut
+    alike everywhere, so all repeated runs are found, however few words their lines have.
     """
     lines = F.split(whole(F.col(text_col)), "\n", -1)
     trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
@@ -77,10 +78,10 @@ def line_runs(docs: DataFrame, window: int, long_words: int, min_words: int, id_
     )
     kept = base.select("doc_id", F.filter(numbered, lambda x: x["n"] > 0).alias("p")).where(F.size("p") > 0)
     kept = kept.select("doc_id", "p", F.transform("p", lambda x: x["n"]).alias("n"))
-    reach = max(window, 1)
+    reach = max(window, min_words, 1)  # every line has a word
 
     def fits(run):
-        return (run["units"] >= window) | run["long"]
+        return ((run["units"] >= window) | run["long"]) & (run["words"] >= min_words)
 
     def shortest(words):
         """Lines of the shortest run at the beginning of ``words``, 0 if there is none."""
@@ -108,13 +109,10 @@ def line_runs(docs: DataFrame, window: int, long_words: int, min_words: int, id_
             F.xxhash64(a).alias("low"),
             F.xxhash64(F.transform(part, lambda x: x["b"])).alias("high"),
             F.transform(part, lambda x: x["i"]).alias("lines"),
-            F.aggregate(part, F.lit(0), lambda n, x: n + x["n"]).alias("n"),
         )
 
-    made = each.select("doc_id", F.transform("spans", one).alias("w"))
-    return made.select("doc_id", F.explode(F.filter("w", lambda x: x["n"] >= min_words)).alias("w")).select(
-        "doc_id", "w.at", "w.print", "w.low", "w.high", "w.lines"
-    )
+    made = each.select("doc_id", F.explode(F.transform("spans", one)).alias("w"))
+    return made.select("doc_id", "w.at", "w.print", "w.low", "w.high", "w.lines")
 
 
 def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
@@ -153,7 +151,8 @@ def dedup_lines(
     of them counts as the later one. Null ids come first. An empty table gives no rows.
 
     With ``runs`` a line has one place whatever its length, and a later run leaves the lines of its first occurrence
-    alone, so a copy of every deleted line stays. Without, a long line that stands twice in succession loses both copies.
+    alone, so a copy of every deleted line stays; ``min_words`` holds for the whole run. Without, a long line that
+    stands twice in succession loses both copies, and ``min_words`` holds for each ``window`` lines of the run.
     """
     key, gone, lines = fresh(docs, "__id", "__dead", "__lines")
     dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col, runs).select(F.col("doc_id").alias(key), F.col("dead").alias(gone))

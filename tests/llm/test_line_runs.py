@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from data import DOCUMENTS, random_text
 
 import corpus_pipeline
@@ -30,3 +31,34 @@ def test_the_stage_keeps_a_doubled_paragraph(spark):
     line = " ".join(f"w{n}" for n in range(30))
     got = corpus_pipeline.line_stage(spark, frame(spark, [(1, f"{line}\n{line}")]), "").collect()
     assert [r["text"] for r in got] == [line]
+
+
+def brute_runs(rows, window, long_words, min_words):
+    """All runs of any length against their first occurrences."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        units = [(line.strip(" \t\n\x0b\x0c\r"), k, len(line.split())) for k, line in enumerate(lines) if line.strip()]
+        dead = set()
+        for at in range(len(units)):
+            for to in range(at + 1, len(units) + 1):
+                run = units[at:to]
+                if sum(n for *_, n in run) >= min_words and (len(run) >= window or any(n >= long_words for *_, n in run)):
+                    places = {(i, k) for _, k, _ in run}
+                    dead |= {k for _, k in places - first.setdefault(tuple(line for line, *_ in run), places)}
+        out[i] = "\n".join(line for k, line in enumerate(lines) if k not in dead)
+    return out
+
+
+@pytest.mark.parametrize("window,long,least", [(1, 25, 1), (2, 25, 10), (3, 8, 20), (2, 5, 0)])
+def test_runs_of_any_length(spark, window, long, least):
+    rng = random.Random(window + least)
+    pool = [random_text(rng, rng.randrange(1, 8), 400, 1000) for _ in range(6)] + [random_text(rng, 30, 400, 1000), "", " ", "a", "b"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for k in range(40)] + [(50, None), (51, "")]
+    got = line_dedup.dedup_lines(frame(spark, rows), window, long, least, runs=True).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in got} == brute_runs(rows, window, long, least)
+
+
+def test_many_short_lines_are_one_run(spark):
+    verse = "\n".join(f"line {k} of verse" for k in range(20))
+    assert deduped(spark, [(1, verse), (2, f"before\n{verse}\nafter")]) == {1: verse, 2: "before\nafter"}
