@@ -66,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
+    return sharding.sharded(table(spark, sf_dir, "documents"), n_shards=24)
 
 
 QUERIES: dict[str, Query] = {

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlight.llm.common import stash, whole
+from spanlight.llm.common import scratch_path, stash, whole
 
 
 def bucket_offsets(counts: DataFrame, group: int = 1000) -> DataFrame:
@@ -32,6 +32,15 @@ def bucket_offsets(counts: DataFrame, group: int = 1000) -> DataFrame:
     return within.join(totals, "g").select("bucket", (F.col("start") + F.col("inside")).alias("offset"))
 
 
+def text_size(text: Column) -> Column:
+    """UTF-8 bytes plus 8."""
+    return (F.octet_length(text) + 8).cast("long")
+
+
+def text_checksum(text: Column) -> Column:
+    return F.crc32(text.cast("binary")).cast("long")
+
+
 def shuffle_into_shards(
     docs: DataFrame,
     n_shards: int = 24,
@@ -52,15 +61,17 @@ def shuffle_into_shards(
     text = whole(F.col(text_col))
     records = docs.select(
         F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        text_size(text).alias("size"),
+        text_checksum(text).alias("text_crc32"),
         *[F.col(c).alias(f"payload_{k}") for k, c in enumerate(carry)],
     )
-    records = stash(records, "shard-records")
-    total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Only keys are written for the counts; the payload goes straight from the input into the scatter.
+    keys = stash(records.select("doc_id", "size", "text_crc32"), "shard-records")
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_buckets = max(1, math.ceil(total / bucket_bytes))
-    scattered = records.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), F.lit(n_buckets)))
-    offsets = bucket_offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n")))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), F.lit(n_buckets))
+    scattered = (records if carry else keys).withColumn("bucket", bucket)
+    offsets = bucket_offsets(keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n")))
     tasks = min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = (
         scattered.repartition(tasks, "bucket")
@@ -85,5 +96,30 @@ def shuffle_into_shards(
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write placed records (made with ``carry``) as one folder per shard, in slot order within files."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write placed records (made with ``carry``) as one folder per shard, in slot order within files.
+
+    Each bucket writes its own file into a shard's folder, so the payload is not dealt out a second time.
+    """
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def sharded(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``shuffle_into_shards``, read from shards that were written with their texts in the shared folder.
+
+    ``size`` and ``text_crc32`` are those of the text that lies in the slot.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "shards")
+    placed = shuffle_into_shards(docs, n_shards, seed, bucket_bytes, id_col, text_col, carry=(text_col,))
+    records = placed.select("doc_id", "shard", "slot", F.col(f"`{text_col}`").alias("text"))
+    write_shards(records, path)
+    text = whole(F.col("text"))
+    return spark.read.schema(records.schema).parquet(path).select(
+        "doc_id",
+        text_size(text).alias("size"),
+        text_checksum(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
