@@ -63,35 +63,48 @@ def split_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return calls.unionByName(asked), results.unionByName(said), rest
 
 
-def topo_levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def topo_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need nothing, else one more than the deepest call needed.
 
-    Rounds of Kahn's algorithm over the edges that are still open; each round is a join on identifiers, and
-    its tables shrink. Calls on a cycle, or behind one, get a null level. Needs that name no call are void.
+    Kahn's algorithm with jumps: a call that waits for one call only is that call's level plus a length, so needs of it
+    become needs of that call, and chains halve in each round. In any round the first calls that wait get their levels, so
+    it ends when nothing moves, however deep the calls are. Calls on a cycle, or behind one, get a null level: a length
+    that exceeds the number of calls is a cycle, and so is what does not move. Needs that name no call are void.
     """
     ids = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("need")).distinct()
     known = ids.withColumnRenamed("call_id", "need")
     edges = edges.join(known.select(F.col("conv_id").alias("c"), F.col("need").alias("n")), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("n")), "left_semi")
     edges = stash(edges, "call-edges")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["call_id"] == b["call_id"])
-    done = ids.join(waiting, same(ids, waiting), "left_anti").withColumn("level", F.lit(0))
     if edges.isEmpty():
-        return done
-    done = stash(done, "call-levels")
-    for level in range(1, max_rounds + 1):
-        d = done.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"))
-        open_ = edges.join(d, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("n")), "left_anti")
-        open_ = stash(open_.select("conv_id", "call_id").distinct(), "call-open")
-        ready = waiting.join(open_, same(waiting, open_), "left_anti").withColumn("level", F.lit(level))
-        ready = stash(ready, "call-ready")
-        if ready.isEmpty():
+        return ids.withColumn("level", F.lit(0))
+    ids = stash(ids, "call-ids")
+    n_calls = ids.count()
+    waiting = edges.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n")).distinct()
+    free = ids.join(waiting, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("n")), "left_anti")
+    # kind 0: the target is the call ``need``; 1: nothing is needed any more; 2: a cycle.
+    links = edges.select("conv_id", "call_id", F.lit(0).alias("kind"), "need", F.lit(1).cast("long").alias("length"))
+    links = links.unionByName(free.select("conv_id", "call_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("need"), F.lit(0).cast("long").alias("length")))
+    links = stash(links, "call-links")
+    while True:
+        target = F.max(F.struct("kind", "need", "length")).alias("t")
+        single = links.groupBy("conv_id", "call_id").agg(target, F.count("*").alias("n")).where("n = 1 or t.kind = 2")
+        single = single.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "t")
+        meets = (F.col("kind") == 0) & F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("i"))
+        moved = F.col("t").isNotNull()
+        length = F.when(moved, F.col("length") + F.col("t.length")).otherwise(F.col("length"))
+        kind = F.when(length > n_calls, 2).when(moved, F.col("t.kind")).otherwise(F.col("kind"))
+        need = F.when(kind == 0, F.when(moved, F.col("t.need")).otherwise(F.col("need")))
+        after = links.join(single, meets, "left").select(
+            "conv_id", "call_id", kind.alias("kind"), need.alias("need"), F.when(kind == 2, 0).otherwise(length).alias("length"), moved.alias("moved")
+        )
+        after = after.groupBy("conv_id", "call_id", "kind", "need").agg(F.max("length").alias("length"), F.max("moved").alias("moved"))
+        after = stash(after, "call-links")
+        if after.where("moved").isEmpty():
             break
-        done, waiting = done.unionByName(ready), open_
-        if waiting.isEmpty():
-            break
-    return done.unionByName(waiting.select("conv_id", "call_id", F.lit(None).cast("int").alias("level")))
+        links = after.drop("moved")
+    one = links.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.max("length").alias("length"))
+    return one.select("conv_id", "call_id", F.when((F.col("n") == 1) & (F.col("kind") == 1), F.col("length")).cast("int").alias("level"))
 
 
 def arguments_valid(name: Column, arguments: Column, tools: dict[str, Tool]) -> Column:
