@@ -1,12 +1,13 @@
 """Exact dedup with a log-structured merge index of digests.
 
 Each input split is a memtable that is flushed as a run: a parquet file of (digest, id), sorted by digest and
-written with a bloom filter. Compaction merges all runs into one row per digest with the smallest or largest
+written with a bloom filter. Runs of an index that further tables are added to hold the normalised texts too. Compaction merges all runs into one row per digest with the smallest or largest
 identifier. Digests with more than one row are hits, and hits are verified on the bytes of the texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,19 +15,34 @@ from pyspark.sql import functions as F
 
 from spanlight.llm.common import ascii_lower, scratch_path, stash, whole
 
-RUN_SCHEMA = "digest string, doc_id bigint"
+RUN_SCHEMA = "digest string, doc_id bigint, run string, body string"
 
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def flush_runs(docs: DataFrame, path: str, digest: Callable[[Column], Column] = sha256_hex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def flush_runs(
+    docs: DataFrame,
+    path: str,
+    digest: Callable[[Column], Column] = sha256_hex,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    run: str | None = None,
+    bodies: bool = True,
+) -> DataFrame:
     """Append a run for each split of ``docs`` to level 0 at ``path`` and return all runs there.
 
-    Sorting stays within a split, so flushing needs no shuffle; only ids and digests are written.
+    Sorting stays within a split, so flushing needs no shuffle. ``run`` names what is flushed together. Without ``bodies``
+    only ids and digests are written, which is enough where no later table is compared with this one.
     """
-    entries = docs.select(digest(ascii_lower(whole(F.col(text_col)))).alias("digest"), F.col(id_col).cast("long").alias("doc_id"))
+    text = ascii_lower(whole(F.col(text_col)))
+    entries = docs.select(
+        digest(text).alias("digest"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.lit(run or uuid.uuid4().hex).alias("run"),
+        (text if bodies else F.lit(None).cast("string")).alias("body"),
+    )
     (
         entries.sortWithinPartitions("digest")
         .write.mode("append")
@@ -68,22 +84,33 @@ def dedup(
     one group. Of equal texts the row with the smallest (or largest) id stays; if that id occurs in several
     rows of the group, all of them count as staying. An empty table gives no rows. Two texts with one digest
     but different bytes end in different groups, because groups of hits are formed on the bytes.
+
+    At ``index_path`` lies an index that may hold tables of earlier calls. Their rows count in the groups (``keep_id`` may be
+    one of theirs) but are not returned, and ``docs`` is added to the index.
     """
     spark = docs.sparkSession
     path = index_path or scratch_path(spark, "digest-index")
-    runs = flush_runs(docs, path, digest, id_col, text_col)
+    run = uuid.uuid4().hex
+    runs = flush_runs(docs, path, digest, id_col, text_col, run, bodies=index_path is not None)
     merged = compact(spark, path, keep)
     pick = {"smallest": F.min, "largest": F.max}[keep]
 
-    single = runs.join(merged.where("n = 1").select("digest"), "digest", "left_semi")
+    single = runs.where(F.col("run") == run).select("digest", "doc_id").join(merged.where("n = 1").select("digest"), "digest", "left_semi")
     single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
 
+    if index_path is not None:
+        single = stash(single, "digest-single")  # the next table's compaction replaces level 1
+
     text = ascii_lower(whole(F.col(text_col)))
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
     hits = stash(bodies.join(merged.where("n > 1").select("digest"), "digest", "left_semi"), "digest-hits")
     # Byte verification: the class of a hit is its digest and its bytes. Classes are written, so that both sides of the
     # join are plain shuffles and a group that holds a third of all rows is split over tasks.
-    classes = hits.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    met = hits
+    if index_path is not None:
+        earlier = runs.where(F.col("run") != run).select("doc_id", "body", "digest")
+        met = hits.unionByName(earlier.join(hits.select("digest").distinct(), "digest", "left_semi").select("doc_id", "body", "digest"))
+    classes = met.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = stash(classes, "digest-classes")
     several = hits.join(classes, ["digest", "body"])
     sha = F.col("digest") if digest is sha256_hex else None
