@@ -28,7 +28,7 @@ TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0
 #: Phrases that always count, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: names as they are written, as regular expressions; _ is any short gap between words.
+#: label: names as they are written, as regular expressions; _ is any gap between words.
 NAMES = {
     "mit": ["mit", "expat", "massachusetts_institute_of_technology"],
     "mit-0": ["mit_no_attribution"],
@@ -162,13 +162,13 @@ LINKS = {
     "boost": "boost\\.org/license",
 }
 
-GAP = r"[\W_]{1,8}"
+GAP = r"[\W_]+"
 #: How names are used: kind, pattern around the name, keyword, confidence. Earlier is better.
 USES = [
     ("tag", r"spdx-license-identifier:{gap}{name}", "spdx", 1.0),
     ("grant", r"(?:licensed|released|distributed|available|published){gap}under{gap}(?:the{gap}|an?{gap})?(?:terms{gap}of{gap}the{gap})?{name}", "under", 0.95),
     ("title", r"{name}{gap}(?:public{gap})?licen[sc]e(?:{gap}v(?:ersion|\.)?{gap}?\d+(?:\.\d+)?)?", "licen", 0.9),
-    ("field", r"licen[sc]e{gap}?[:=]{gap}?{name}", "licen", 0.8),
+    ("field", r"licen[sc]e[\W_](?:(?![:=])[\W_])*+[:=][\W_]++{name}", "licen", 0.8),
 ]
 
 
