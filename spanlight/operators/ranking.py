@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanlight.functions.scalars import clamp, exact_sum, half_up, share_pct
+from spanlight.scratch import stash
 
 
 def with_total(df: DataFrame, value: str, out: str = "total") -> DataFrame:
@@ -122,6 +123,21 @@ def top_in_group(items: DataFrame, membership: DataFrame, n: int, value: str, gr
     return joined.withColumn("rank", rank).where(F.col("rank") <= n).select(group, country, F.col(value).alias("value"), "rank")
 
 
-def boolean_first(df: DataFrame, flag: Column, *then: Column | str) -> DataFrame:
-    """Rows with the flag first."""
-    return df.orderBy(F.coalesce(flag, F.lit(False)).desc(), *then)
+def placed(df: DataFrame, *order: Column | str, out: str = "rank") -> DataFrame:
+    """All rows with their place in an order, from 1. Rows that are equal in it get places in any order among them.
+
+    No task sees all rows: they are sorted in ranges, which are written; the place is the row's number in its range
+    plus the rows of earlier ranges, of which there are as many as shuffle partitions.
+    """
+    row_bits = 33  # ``monotonically_increasing_id`` has the range above them
+    written = stash(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    held = written.groupBy(F.shiftright("_at", row_bits).alias("_range")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = written.withColumn("_range", F.shiftright("_at", row_bits)).join(F.broadcast(starts), "_range")
+    return joined.withColumn(out, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << row_bits) - 1)) + 1).drop("_at", "_range", "_start")
+
+
+def boolean_first(df: DataFrame, flag: Column, *then: Column | str, out: str = "rank") -> DataFrame:
+    """All rows with their place, those with the flag first."""
+    return placed(df, F.coalesce(flag, F.lit(False)).desc(), *then, out=out)

@@ -89,10 +89,15 @@ def visibility(facts: DataFrame, threshold: int = 70, country: str = "country")
 
 
 def title_list(facts: DataFrame, country: str = "country", limit: int | None = None) -> DataFrame:
-    """(country, titles): titles of each country, most popular first. Nested, for the edge of a service only."""
+    """(country, titles): titles of each country, most popular first. Nested, for the edge of a service only.
+
+    With a limit, each task keeps that many rows of a country before the shuffle, and no more are nested.
+    """
+    if limit is not None:
+        place = F.row_number().over(W.partitionBy(country).orderBy(F.col("popularity").desc(), "ordinal"))
+        facts = facts.withColumn("_place", place).where(F.col("_place") <= limit)
     listed = F.sort_array(F.collect_list(F.struct("popularity", (-F.col("ordinal")).alias("o"), "id", "name")), asc=False)
-    out = facts.groupBy(country).agg(listed.alias("titles"))
-    return out if limit is None else out.withColumn("titles", F.slice("titles", 1, limit))
+    return facts.groupBy(country).agg(listed.alias("titles"))
 
 
 def theme_scores(facts: DataFrame, country: str = "country") -> DataFrame:

@@ -28,8 +28,8 @@ def tag_store(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("auto_tags"), human.alias("human_tags"))
 
 
-def availability(spark: SparkSession, d: str) -> DataFrame:
-    """(id, country, access) from who bought which part; return flags stand for access types."""
+def sales(spark: SparkSession, d: str) -> DataFrame:
+    """(id, country, access), a row for each sale of a part; return flags stand for access types."""
     lines = read_table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id"), "l_returnflag")
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
     customers = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")
@@ -37,11 +37,15 @@ def availability(spark: SparkSession, d: str) -> DataFrame:
     where = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     placed = orders.join(where, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "country")
     access = F.when(F.col("l_returnflag") == "A", "flatrate").when(F.col("l_returnflag") == "R", "free").otherwise("rent")
-    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "country", access.alias("access")).distinct()
+    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "country", access.alias("access"))
+
+
+def availability(spark: SparkSession, d: str) -> DataFrame:
+    return sales(spark, d).distinct()
 
 
 def reach(spark: SparkSession, d: str) -> DataFrame:
-    return vis.streamable(availability(spark, d))
+    return vis.streamable(sales(spark, d))
 
 
 def themed(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions import scalars as sc
 from spanlight.operators import ledger
+from spanlight.operators import ranking as rank
 from spanlight.operators import temporal as tm
 from spanlight.operators import text as tx
 from spanlight.operators import upsert as change
@@ -171,9 +172,10 @@ def matched(spark, d):
 
 
 def users_sorted(spark, d):
+    """All users, those who wait first."""
     c = read_table(spark, d, "customer")
-    pending = F.col("c_mktsegment") == "BUILDING"
-    return c.select(F.col("c_custkey").alias("id"), pending.alias("pending"), "c_acctbal").orderBy(F.col("pending").desc(), F.col("c_acctbal").desc(), "id").limit(100)
+    listed = c.select(F.col("c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").alias("pending"), "c_acctbal")
+    return rank.placed(listed, F.col("pending").desc(), F.col("c_acctbal").desc(), "id")
 
 
 QUERIES = {
@@ -285,5 +287,5 @@ SELECT id, CASE WHEN top = 0 THEN ty WHEN s = top THEN 'small' WHEN c = top THEN
     "title_match": "SELECT 'tt' || p_partkey AS tconst, upper(p_name) AS primaryTitle, p_type AS originalTitle FROM part WHERE lower(p_name) = 'red widget' OR lower(p_type) = 'red widget'",
     "akas_dedup": "SELECT c_custkey % 50 AS titleId, CASE WHEN c_nationkey = 0 THEN 'NA' ELSE 'R' || c_nationkey END AS region, c_mktsegment AS title, min(c_custkey) AS ordinal FROM customer WHERE c_nationkey % 5 <> 1 OR c_nationkey = 0 GROUP BY 1, 2, 3",
     "ranked_pages_dedup": "SELECT p_partkey AS id, p_name AS name, p_retailprice AS popularity, (row_number() OVER (ORDER BY p_partkey)) AS ordinal FROM part ORDER BY p_partkey LIMIT 200",
-    "users_sorted": "SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS pending, c_acctbal FROM customer ORDER BY pending DESC, c_acctbal DESC, id LIMIT 100",
+    "users_sorted": "SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS pending, c_acctbal, row_number() OVER (ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal DESC, c_custkey) AS rank FROM customer",
 }

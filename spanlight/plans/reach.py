@@ -55,9 +55,9 @@ def title_ranks(spark, d):
 
 
 def untagged_first(spark, d):
-    tagged = b.tagged(spark, d)
-    rows = rank.boolean_first(tagged, F.size("tags") == 0, "id").limit(200)
-    return rows.select("id", (F.size("tags") == 0).alias("untagged"))
+    """All titles, those without tags first."""
+    listed = b.tagged(spark, d).select("id", (F.size("tags") == 0).alias("untagged"))
+    return rank.boolean_first(listed, F.col("untagged"), "id")
 
 
 def needs_review(spark, d):
@@ -66,7 +66,7 @@ def needs_review(spark, d):
 
 
 def index(spark, d):
-    return find.search_index(b.titles(spark, d), b.credits(spark, d).where("person < 20"), read_table(spark, d, "nation").select(F.col("n_name").alias("country")))
+    return find.search_index(b.titles(spark, d), b.credits(spark, d), read_table(spark, d, "nation").select(F.col("n_name").alias("country")))
 
 
 def migrated(spark, d):
@@ -106,6 +106,12 @@ QUERIES = {
 }
 
 
+INDEX_SQL = (
+    "x AS (SELECT 'title' AS kind, p_partkey::VARCHAR AS key, p_name AS label, '' AS related FROM part "
+    "UNION ALL SELECT DISTINCT 'person', person::VARCHAR, person::VARCHAR, p_name FROM credits JOIN part ON id = p_partkey "
+    "UNION ALL SELECT 'country', n_name, n_name, '' FROM nation)"
+)
+
 ORACLES = {
     "visibility_by_country": sql("SELECT * FROM totals"),
     "theme_scores": sql("SELECT country, theme, score::DOUBLE AS score, confidence, titles FROM by_theme"),
@@ -135,7 +141,7 @@ ORACLES = {
         "FROM (SELECT DISTINCT origin, id FROM o) JOIN part ON id = p_partkey GROUP BY 1) x JOIN (SELECT origin, count(DISTINCT country) AS countries_reached FROM o GROUP BY 1) y ON x.origin = y.origin)",
     ),
     "title_list_top10": sql("SELECT country, rank, id, popularity FROM (SELECT country, id, popularity, row_number() OVER (PARTITION BY country ORDER BY popularity DESC, ordinal) AS rank FROM facts) WHERE rank <= 10"),
-    "untagged_first": sql("SELECT id, len(tags) = 0 AS untagged FROM tagged ORDER BY len(tags) = 0 DESC, id LIMIT 200"),
+    "untagged_first": sql("SELECT id, len(tags) = 0 AS untagged, row_number() OVER (ORDER BY len(tags) = 0 DESC, id) AS rank FROM tagged"),
     "person_impact": sql(
         "SELECT person, id, country_count, impact FROM credits JOIN (SELECT id, count(*) AS country_count, floor(sum((floor(t.score * 10.0 + 0.5) / 10.0)::DECIMAL(24, 4))::DOUBLE * 10.0 + 0.5) / 10.0 AS impact "
         "FROM reach JOIN totals t USING (country) GROUP BY id) USING (id)"
@@ -145,16 +151,11 @@ ORACLES = {
         "JOIN places USING (country) WHERE lat IS NOT NULL AND lng IS NOT NULL"
     ),
     "series_countries": sql("SELECT f.id, f.country, t.score AS country_score, floor(f.popularity / t.score * 100.0 * 100.0 + 0.5) / 100.0 AS share FROM facts f JOIN totals t ON f.country = t.country"),
-    "search_index": sql(
-        "SELECT 'title' AS kind, p_partkey::VARCHAR AS key, p_name AS label, '' AS related FROM part "
-        "UNION ALL SELECT 'person', person::VARCHAR, person::VARCHAR, string_agg(DISTINCT p_name, '|' ORDER BY p_name) FROM credits JOIN part ON id = p_partkey WHERE person < 20 GROUP BY person "
-        "UNION ALL SELECT 'country', n_name, n_name, '' FROM nation"
-    ),
+    "search_index": sql("SELECT * FROM x", INDEX_SQL),
     "search_prefix": sql(
-        "SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY label, key))::INT AS rank FROM x WHERE contains(lower(label), 're')) WHERE rank <= 6",
-        "x AS (SELECT 'title' AS kind, p_partkey::VARCHAR AS key, p_name AS label, '' AS related FROM part "
-        "UNION ALL SELECT 'person', person::VARCHAR, person::VARCHAR, string_agg(DISTINCT p_name, '|' ORDER BY p_name) FROM credits JOIN part ON id = p_partkey WHERE person < 20 GROUP BY person "
-        "UNION ALL SELECT 'country', n_name, n_name, '' FROM nation)",
+        "SELECT r.kind, r.key, r.label, r.rank, string_agg(DISTINCT related, '|' ORDER BY related) AS related FROM r JOIN x USING (kind, key, label) GROUP BY ALL",
+        INDEX_SQL + ", r AS (SELECT * FROM (SELECT kind, key, label, (row_number() OVER (PARTITION BY kind ORDER BY label, key))::INT AS rank "
+        "FROM (SELECT DISTINCT kind, key, label FROM x WHERE contains(lower(label), 're'))) WHERE rank <= 6)",
     ),
     "filter_optional": sql("SELECT id, name, theme FROM themed JOIN tagged USING (id) WHERE contains(name, 'ring') AND theme = 'SMALL' AND list_contains(tags, 'small')"),
     "schema_migration": sql(

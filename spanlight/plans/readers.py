@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions import scalars as sc
 from spanlight.operators import matching as mt
+from spanlight.operators import ranking as rank
 from spanlight.operators import visibility as vis
 from spanlight.plans import bindings as b
 from spanlight.plans.bindings import sql
@@ -26,9 +27,9 @@ def leading(spark, d):
 
 
 def offers(spark, d):
-    """Nested offers (country -> access -> providers) of two titles in three."""
+    """Nested offers (country -> access -> providers) of all titles that have any."""
     each = F.map_from_entries(F.collect_list(F.struct("access", F.array(F.lit("p")))))
-    kinds = b.availability(spark, d).where("id % 3 <> 0").groupBy("id", "country").agg(each.alias("kinds"))
+    kinds = b.availability(spark, d).groupBy("id", "country").agg(each.alias("kinds"))
     return kinds.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("country", "kinds"))).alias("offers"))
 
 
@@ -99,8 +100,8 @@ def presented(spark, d):
 
 
 def collated(spark, d):
-    """The first hundred titles by name in Turkish order."""
-    return b.titles(spark, d).orderBy(F.collate("name", "tr"), "id").limit(100).select("id", "name")
+    """All titles by name in Turkish order."""
+    return rank.placed(b.titles(spark, d).select("id", "name"), F.collate("name", "tr"), "id")
 
 
 QUERIES = {
@@ -120,9 +121,9 @@ QUERIES = {
 
 ORACLES = {
     "leading_credits": "SELECT id, (r - 1)::INT AS pos, person FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY person DESC) AS r FROM (SELECT DISTINCT l_partkey AS id, l_suppkey AS person FROM lineitem)) WHERE r <= 5",
-    "nested_offers_reach": sql("SELECT id, country FROM reach WHERE id % 3 <> 0"),
+    "nested_offers_reach": sql("SELECT id, country FROM reach"),
     "assembled_titles": sql(
-        "SELECT t.id, coalesce(c, 0)::INT AS countries, coalesce(n, 0)::INT AS people FROM themed t LEFT JOIN (SELECT id, count(DISTINCT country) AS c FROM avail WHERE id % 3 <> 0 GROUP BY id) a ON t.id = a.id "
+        "SELECT t.id, coalesce(c, 0)::INT AS countries, coalesce(n, 0)::INT AS people FROM themed t LEFT JOIN (SELECT id, count(DISTINCT country) AS c FROM avail GROUP BY id) a ON t.id = a.id "
         "LEFT JOIN (SELECT id, least(5, count(*)) AS n FROM credits GROUP BY id) p ON t.id = p.id"
     ),
     "country_attributes": "SELECT left(n_name, 2) AS iso2, n_name, CASE WHEN n_regionkey > 1 THEN 'R' || n_regionkey END AS region_id FROM nation WHERE n_regionkey <> 0 AND n_nationkey % 7 <> 3",
@@ -134,5 +135,5 @@ ORACLES = {
     "CASE WHEN p_partkey % 4 <> 0 AND p_size % 2 = 0 THEN p_partkey END AS votes FROM part",
     "public_users": "SELECT c_custkey AS id, lower(c_name) || '@x.org' AS email FROM customer",
     "presented_values": "SELECT o_orderkey, replace(format('{:,}', o_orderkey * 977), ',', '.') AS views, year(o_orderdate)::INT AS year FROM orders",
-    "names_collated": "SELECT p_partkey AS id, p_name AS name FROM part ORDER BY p_name, p_partkey LIMIT 100",
+    "names_collated": "SELECT p_partkey AS id, p_name AS name, row_number() OVER (ORDER BY p_name, p_partkey) AS rank FROM part",
 }

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines see: below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlight-stream-")
-    return f"{root.rstrip('/')}/spanlight/{name}-{uuid.uuid4().hex}"
+from spanlight.scratch import scratch_path
 
 
 def drain(spark: SparkSession, folder: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -20,7 +14,7 @@ def drain(spark: SparkSession, folder: str, name: str, build: Callable[[DataFram
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_path(spark, folder, name))
     made = build(stream)
-    out = shared_folder(spark, name)
+    out = scratch_path(spark, name)
     query = made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(made.schema).parquet(out)

@@ -215,3 +215,28 @@ def test_retry_stream(spark, tmp_path):
     query.awaitTermination()
     got = {r["key"]: (r["failure_count"], r["next_retry_ms"] - r["last_failed_ms"]) for r in spark.table("retries").collect()}
     assert got == {"a": (2, 600_000), "b": (0, 0)}
+
+
+def test_places_over_ranges(spark):
+    import random
+
+    from spanlight.operators import ranking
+
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(5)) for k in range(500)] + [(500, None)]
+    got = ranking.placed(spark.createDataFrame(rows, "id long, v int").repartition(7), F.col("v").desc(), "id").collect()
+    want = sorted(rows, key=lambda r: (-r[1] if r[1] is not None else 9, r[0]))
+    assert [(r["id"], r["v"]) for r in sorted(got, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in got) == list(range(1, 502))
+    assert ranking.placed(spark.createDataFrame([], "id long"), "id").collect() == []
+
+
+def test_scratch_scope_drops_tables(spark):
+    import os
+
+    from spanlight.scratch import scratch_scope, stash
+
+    with scratch_scope(spark):
+        held = stash(spark.range(3).toDF("id"), "held")
+        path = held.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
