@@ -1,37 +1,22 @@
-"""What the operators of this subpackage share: scratch tables and word rules."""
+"""What the operators of this subpackage share: shipping code, names and word rules."""
 
 from __future__ import annotations
 
 import string
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlight.scratch import scratch_path, stash  # noqa: F401
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
-
-    Only where it is unset (tests on one machine) a temporary folder is taken, once per application.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        root = tempfile.mkdtemp(prefix="spanlight-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python, once per application; Spark hands it out like any other file."""
     context = spark.sparkContext
@@ -46,20 +31,6 @@ def ship(spark: SparkSession) -> None:
     context._spanlight_shipped = True
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/spanlight/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts the lineage, and what was written survives the loss of any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where ``df`` has such a column already."""
     taken, made = {c.lower() for c in df.columns}, []

@@ -1,136 +1,161 @@
 """Line dedup by winnowing over line hashes.
 
-The lines of a document that are not blank are hashed in order; a line with many words counts as ``window`` lines.
-Of every ``window`` consecutive hashes the smallest is selected, so two equal runs of ``window`` lines always
-select the same fingerprint. Fingerprints that occur once are dropped. Around those that repeat, matches are
-extended both ways: every window that holds the fingerprint is compared as a whole with all other such windows.
-All but the first occurrence (by document, then line) go, and overlapping windows make up the longer runs.
-
-Comparing whole windows by key replaces walking outward from each pair of positions: it finds the same runs,
-and a line that stands in a third of all documents makes no pairs.
+The lines of a document that are not blank are hashed in order. Of every ``window`` consecutive hashes the smallest is
+selected (the last of equal ones), so two equal runs of ``window`` lines always select the same fingerprint. Only selected
+minima go into the search, as positions: those whose fingerprint stands at one position alone are dropped, the
+others are extended both ways, line by line, until the run is long enough to count. Extended runs
+meet by their content, each with the first place that has it (by document, then line); there all but the first go.
+A longer run is a chain of such matches that overlap, and it is found whole: every stretch of it that counts
+holds a minimum. A fingerprint that stands in a third of all documents makes no pairs, as each position meets one place only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from spanlight.llm.common import BLANKS, blank_words, fresh, stash, whole
-
-
-def line_windows(docs: DataFrame, window: int, long_words: int, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, print, low, high, lines): one row per window of a document.
-
-    ``at`` numbers the windows, ``print`` is the fingerprint, ``low`` and ``high`` are 128 bits of the window's content and
-    ``lines`` the numbers of its lines. Windows with fewer than ``min_words`` words are left out.
+from pyspark.sql import Window as W
+
+from spanlight.llm.batches import record_batch, slices
+from spanlight.llm.bitmaps import split_by_keys
+from spanlight.llm.common import BLANKS, fresh, ship, stash, whole
+
+HASH = 16  # bytes of a line's hash; the first 8 are its fingerprint
+
+LINES = "doc_id long, tag long, hashes binary, words binary, minima array<int>, prints array<long>"
+LINES_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("tag", pa.int64()), ("hashes", pa.binary()), ("words", pa.binary()), ("minima", pa.list_(pa.int32())), ("prints", pa.list_(pa.int64()))]
+)
+RUNS = "doc_id long, tag long, at int, n int, low long, high long"
+RUNS_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def line_hashes(text: str) -> tuple[bytes, np.ndarray]:
+    """Hashes and numbers of words of the lines that are not blank."""
+    lines = [line for raw in text.encode().split(b"\n") if (line := raw.strip())]
+    return b"".join(map(xxhash.xxh3_128_digest, lines)), np.fromiter((len(line.split()) for line in lines), np.int32, len(lines))
+
+
+def select_minima(prints: np.ndarray, words: np.ndarray, window: int, long_words: int) -> np.ndarray:
+    """Positions of the smallest fingerprint of each window, and of lines that are long enough to be a run alone."""
+    chosen = np.flatnonzero(words >= long_words)
+    if len(prints) >= window:
+        windows = np.lib.stride_tricks.sliding_window_view(prints, window)[:, ::-1]
+        chosen = np.concatenate([chosen, np.arange(window - 1, len(prints)) - windows.argmin(axis=1)])
+    return np.unique(chosen)
+
+
+def least_runs(words: np.ndarray, window: int, long_words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that count and are the shortest that begin, or the shortest that end, at a line."""
+    n = len(words)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n + 1)
+    is_long = np.flatnonzero(words >= long_words)
+    after = np.append(is_long, 2 * n + window)[np.searchsorted(is_long, at[:-1])] + 1  # behind the next long line
+    before = np.append(is_long, -1)[np.searchsorted(is_long, at[1:]) - 1]  # the last long line, -1 without one
+    end = np.maximum(np.minimum(at[:-1] + window, after), np.searchsorted(upto, upto[:-1] + min_words))
+    start = np.minimum(np.maximum(at[1:] - window, before), np.searchsorted(upto, upto[1:] - min_words, "right") - 1)
+    starts, ends = np.concatenate([at[:-1], start]), np.concatenate([end, at[1:]])
+    fits = (starts >= 0) & (ends <= n)
+    both = np.unique(starts[fits] * (n + 1) + ends[fits])
+    return both // (n + 1), both % (n + 1)
+
+
+def line_table(docs: DataFrame, window: int, long_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tag, hashes, words, minima, prints): a row per document that has lines; ``tag`` tells texts of one id apart."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            rows = []
+            for text in texts:
+                hashes, words = line_hashes(text)
+                prints = np.frombuffer(hashes, np.int64)[::2]
+                minima = select_minima(prints, words, window, long_words)
+                rows.append((hashes, words.tobytes(), minima, prints[minima]))
+            columns = dict(zip(LINES_ARROW.names[2:], zip(*rows, strict=True), strict=True))
+            yield record_batch(LINES_ARROW, doc_id=part.column(0), tag=part.column(1), **columns)
+
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return rows.mapInArrow(run, LINES).where("size(minima) > 0")
+
+
+def extended_runs(lines: DataFrame, spots: DataFrame, window: int, long_words: int, min_words: int) -> DataFrame:
+    """(doc_id, tag, at, n, low, high): repeated minima ``spots`` (doc_id, tag, spots) extended both ways until the run counts.
+
+    A run is ``n`` lines from the line ``at`` (of those that are not blank) on; ``low`` and ``high`` are 128 bits of its content.
     """
-    lines = F.split(whole(F.col(text_col)), "\n", -1)
-    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
-    base = docs.select(F.col(id_col).alias("doc_id"), trimmed.alias("trimmed"))
-    numbered = F.transform(
-        "trimmed",
-        lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.size(blank_words(x)).alias("n"), i.alias("i")),
-    )
-    kept = base.select("doc_id", F.filter(numbered, lambda x: x["n"] > 0).alias("units"))
-    # A long line takes the place of several lines; each place knows its share of the words.
-    places = F.flatten(
-        F.transform(
-            "units",
-            lambda x: F.when(x["n"] >= long_words, F.array_repeat(x, window)).otherwise(F.array(x)),
-        )
-    )
-    placed = kept.select("doc_id", places.alias("p")).where(F.size("p") >= window)
-
-    def at(i, name: str) -> list:
-        return [F.get("p", i + k)[name] for k in range(window)]
-
-    def one(i):
-        words = at(i, "n")
-        return F.struct(
-            i.alias("at"),
-            (F.least(*at(i, "a")) if window > 1 else at(i, "a")[0]).alias("print"),
-            F.xxhash64(*at(i, "a")).alias("low"),
-            F.xxhash64(*at(i, "b")).alias("high"),
-            F.array_distinct(F.array(*at(i, "i"))).alias("lines"),
-            sum(words[1:], words[0]).alias("n"),
-        )
-
-    made = placed.select("doc_id", F.transform(F.sequence(F.lit(0), F.size("p") - window), one).alias("w"))
-    return made.select("doc_id", F.explode(F.filter("w", lambda x: x["n"] >= min_words)).alias("w")).select(
-        "doc_id", "w.at", "w.print", "w.low", "w.high", "w.lines"
-    )
-
-
-def line_runs(docs: DataFrame, window: int, long_words: int, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``line_windows``, with every line in one place: (doc_id, at, print, low, high, lines).
 
-    A row is a run of at least ``window`` lines (or one line with ``long_words`` words) and ``min_words`` words: the
-    shortest that starts at a line, and the shortest that ends at one. ``at`` is the place of its first line among the
-    lines that are not blank. Each line of a longer run lies in one of these inside it, and equal content is cut
-    alike everywhere, so all repeated runs are found, however few words their lines have.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                owner, at, size, keys = [], [], [], []
+                for row, (hashes, counts, places) in enumerate(zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
+                    words = np.frombuffer(counts, np.int32)
+                    starts, ends = least_runs(words, window, long_words, min_words)
+                    marks = np.zeros(len(words) + 1, np.int64)
+                    marks[np.asarray(places) + 1] = 1
+                    marks = marks.cumsum()
+                    held = marks[ends] > marks[starts]
+                    starts, ends = starts[held], ends[held]
+                    keys += [xxhash.xxh3_128_digest(hashes[s * HASH : e * HASH]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    owner.append(np.full(len(starts), row))
+                    at.append(starts)
+                    size.append(ends - starts)
+                rows = pa.array(np.concatenate(owner))
+                key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                yield record_batch(
+                    RUNS_ARROW, doc_id=part.column(0).take(rows), tag=part.column(1).take(rows), at=np.concatenate(at), n=np.concatenate(size), low=key[:, 0], high=key[:, 1]
+                )
+
+    theirs = spots.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spots")
+    met = lines.join(theirs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
+    return met.select("doc_id", "tag", "hashes", "words", "spots").mapInArrow(run, RUNS)
+
+
+def repeated_runs(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tag, at, n, first_doc, first_tag, first_at): runs that stand earlier too, with the first place that has them.
+
+    ``at`` and ``first_at`` number the lines that are not blank. Of a run that overlaps its own first occurrence only the
+    lines behind that are listed.
     """
-    lines = F.split(whole(F.col(text_col)), "\n", -1)
-    trimmed = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
-    base = docs.select(F.col(id_col).alias("doc_id"), trimmed.alias("trimmed"))
-    numbered = F.transform(
-        "trimmed",
-        lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.size(blank_words(x)).alias("n"), i.alias("i")),
-    )
-    kept = base.select("doc_id", F.filter(numbered, lambda x: x["n"] > 0).alias("p")).where(F.size("p") > 0)
-    kept = kept.select("doc_id", "p", F.transform("p", lambda x: x["n"]).alias("n"))
-    reach = max(window, min_words, 1)  # every line has a word
-
-    def fits(run):
-        return ((run["units"] >= window) | run["long"]) & (run["words"] >= min_words)
-
-    def shortest(words):
-        """Lines of the shortest run at the beginning of ``words``, 0 if there is none."""
-        none = F.struct(F.lit(0).alias("units"), F.lit(0).alias("words"), F.lit(False).alias("long"))
-        grown = lambda run, n: F.struct((run["units"] + 1).alias("units"), (run["words"] + n).alias("words"), (run["long"] | (n >= long_words)).alias("long"))
-        return F.aggregate(words, none, lambda run, n: F.when(fits(run), run).otherwise(grown(run, n)), lambda run: F.when(fits(run), run["units"]).otherwise(0))
-
-    places = F.sequence(F.lit(0), F.size("n") - 1)
-    onward = F.transform(places, lambda i: shortest(F.slice("n", i + 1, F.lit(reach))))
-    back = F.transform(places, lambda i: shortest(F.reverse(F.slice("n", F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, F.lit(reach))))))
-    sized = kept.select("doc_id", "p", onward.alias("onward"), back.alias("back"))
-    starts = F.transform("onward", lambda n, i: F.struct(i.alias("at"), n.alias("n")))
-    ends = F.transform("back", lambda n, i: F.struct((i + 1 - n).alias("at"), n.alias("n")))
-    # What is the shortest from both sides is taken once.
-    ends = F.filter(ends, lambda s: F.get("onward", s["at"]) != s["n"])
-    spans = F.filter(F.concat(starts, ends), lambda s: s["n"] > 0)
-    each = sized.select("doc_id", "p", spans.alias("spans"))
-
-    def one(s):
-        part = F.slice("p", s["at"] + 1, s["n"])
-        a = F.transform(part, lambda x: x["a"])
-        return F.struct(
-            s["at"].alias("at"),
-            F.array_min(a).alias("print"),
-            F.xxhash64(a).alias("low"),
-            F.xxhash64(F.transform(part, lambda x: x["b"])).alias("high"),
-            F.transform(part, lambda x: x["i"]).alias("lines"),
-        )
-
-    made = each.select("doc_id", F.explode(F.transform("spans", one)).alias("w"))
-    return made.select("doc_id", "w.at", "w.print", "w.low", "w.high", "w.lines")
-
-
-def repeated_lines(docs: DataFrame, window: int = 2, long_words: int = 25, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """(doc_id, dead): the numbers of the lines to delete, for documents that have any."""
-    make = line_runs if runs else line_windows
-    windows = stash(make(docs, window, long_words, min_words, id_col, text_col), "line-windows")
+    lines = stash(line_table(docs, window, long_words, id_col, text_col), "line-hashes")
+    minima = lines.select("doc_id", "tag", F.explode(F.arrays_zip("minima", "prints")).alias("m"))
+    minima = stash(minima.select("doc_id", "tag", F.col("m.minima").alias("at"), F.col("m.prints").alias("print")), "line-minima")
     # Written, so that both sides of the joins are plain shuffles and a very frequent line is split over tasks.
-    prints = stash(windows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "line-prints")
-    near = windows.join(prints, "print", "left_semi")
-    first = near.groupBy("low", "high").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stash(first, "line-firsts")
-    later = near.join(first, ["low", "high"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-    if runs:
-        # Where a run overlaps its own first occurrence, the lines that both have stay.
-        shared = F.col("first.at") + F.size("lines") - F.col("at")
-        own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (shared > 0)
-        later = later.withColumn("lines", F.when(own, F.slice("lines", shared + 1, F.size("lines"))).otherwise(F.col("lines")))
-    return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dead"))
+    prints = stash(minima.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "line-prints")
+    spots = minima.join(prints, "print", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("spots"))
+    runs = stash(extended_runs(lines, spots, window, long_words, min_words), "line-runs")
+    place = F.struct("doc_id", "tag", "at")
+    first = stash(runs.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "line-firsts")
+    later = runs.join(first, ["low", "high"]).where(~place.eqNullSafe(F.col("first")))
+    shared = F.col("first.at") + F.col("n") - F.col("at")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (shared > 0)
+    skip = F.when(own, shared).otherwise(0)
+    return later.select(
+        "doc_id", "tag", (F.col("at") + skip).alias("at"), (F.col("n") - skip).alias("n"), F.col("first.doc_id").alias("first_doc"),
+        F.col("first.tag").alias("first_tag"), (F.col("first.at") + skip).alias("first_at"),
+    ).distinct()
+
+
+def longest_runs(runs: DataFrame) -> DataFrame:
+    """Matches of ``repeated_runs`` that overlap or touch, with one place each in the same earlier document, as one run.
+
+    Those have one distance between the places, so the runs of a (document, earlier document, distance) are merged in order.
+    """
+    shift = (F.col("at") - F.col("first_at")).alias("shift")
+    on = W.partitionBy("doc_id", "tag", "first_doc", "first_tag", "shift").orderBy("at")
+    spans = runs.select("doc_id", "tag", "first_doc", "first_tag", shift, "at", (F.col("at") + F.col("n")).alias("to"))
+    reached = F.max("to").over(on.rowsBetween(W.unboundedPreceding, -1))
+    begun = spans.withColumn("new", (reached.isNull() | (F.col("at") > reached)).cast("int")).withColumn("run", F.sum("new").over(on))
+    merged = begun.groupBy("doc_id", "tag", "first_doc", "first_tag", "shift", "run").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return merged.select("doc_id", "tag", "at", (F.col("to") - F.col("at")).alias("n"), "first_doc", "first_tag", (F.col("at") - F.col("shift")).alias("first_at"))
 
 
 def dedup_lines(
@@ -141,23 +166,28 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     counts: tuple[str, str] = ("n_lines", "n_deleted"),
-    runs: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` rewritten and two columns more (long), named by ``counts``; like-named columns go.
 
     A line goes if it lies in a run of at least ``window`` lines (a line of ``long_words`` or more words counts as a
     whole run) and ``min_words`` words that stands earlier too: in a document with a smaller id, or higher up in the
-    same one. Null text stays null and counts as one line; blank lines stay. Rows with equal id and lines are one occurrence, so none
-    of them counts as the later one. Null ids come first. An empty table gives no rows.
-
-    With ``runs`` a line has one place whatever its length, and a later run leaves the lines of its first occurrence
-    alone, so a copy of every deleted line stays; ``min_words`` holds for the whole run. Without, a long line that
-    stands twice in succession loses both copies, and ``min_words`` holds for each ``window`` lines of the run.
+    same one. A later run leaves the lines of its first occurrence alone, so a copy of every deleted line stays.
+    Null text stays null and counts as one line; blank lines stay. Rows with equal id and text are one occurrence, so none
+    of them counts as the later one; different texts of one id are ordered by their hash. Null ids come first. An empty table
+    gives no rows. Documents without a deletion are not shuffled.
     """
-    key, gone, lines = fresh(docs, "__id", "__dead", "__lines")
-    dead = repeated_lines(docs, window, long_words, min_words, id_col, text_col, runs).select(F.col("doc_id").alias(key), F.col("dead").alias(gone))
-    joined = docs.join(dead, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(lines, F.split(F.col(text_col), "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    key, tag, gone, lines, shown = fresh(docs, "__id", "__tag", "__dead", "__lines", "__shown")
+    runs = repeated_runs(docs, window, long_words, min_words, id_col, text_col)
+    each = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
+    dead = runs.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("dead"))
+    dead = stash(dead.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("dead").alias(gone)), "line-dead")
+    own_id, own_tag = F.col(id_col).cast("long"), F.xxhash64(whole(F.col(text_col)))
+    hit, clean = split_by_keys(docs, F.xxhash64(own_id, own_tag), dead.select(F.xxhash64(key, tag)))
+    joined = hit.join(dead, own_id.eqNullSafe(F.col(key)) & (own_tag == F.col(tag)), "left")
+    joined = joined.drop(key, tag).unionByName(clean.withColumn(gone, F.lit(None).cast("array<int>"))).withColumn(lines, F.split(F.col(text_col), "\n", -1))
+    # The numbers in ``gone`` leave blank lines out.
+    joined = joined.withColumn(shown, F.when(F.col(gone).isNotNull(), F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(BLANKS)) != "")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda d: F.get(shown, d)))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts],

@@ -156,16 +156,15 @@ FROM m WHERE role NOT IN ('user', 'assistant') GROUP BY conv_id, turn, role, tex
     "op8_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 t AS (SELECT doc_id, i, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
-n AS (SELECT doc_id, i, line, len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) AS words FROM t WHERE line <> ''),
-u AS (SELECT doc_id, i, line, words, unnest(range(CASE WHEN words >= 25 THEN 2 ELSE 1 END)) AS part FROM n),
-w AS (SELECT doc_id, i, line, words,
-             lead(i) OVER s AS j, lead(line) OVER s AS line2, lead(words) OVER s AS words2, row_number() OVER s AS pos
-      FROM u WINDOW s AS (PARTITION BY doc_id ORDER BY i, part)),
-f AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS nth FROM w WHERE j IS NOT NULL AND words + words2 >= 10),
-dead AS (SELECT doc_id, i FROM f WHERE nth > 1 UNION SELECT doc_id, j FROM f WHERE nth > 1),
-g AS (SELECT l.doc_id, count(*) AS n_lines, count(dead.i) AS n_deleted,
-             coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE dead.i IS NULL), '') AS body
-      FROM l LEFT JOIN dead ON l.doc_id = dead.doc_id AND l.i = dead.i GROUP BY l.doc_id)
-SELECT doc_id, n_lines, n_deleted, sha256(body) AS text_sha256 FROM g
+n AS (SELECT doc_id, i, line, len(string_split_regex(line, '[\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM t WHERE line <> ''),
+g AS (SELECT doc_id, list(line ORDER BY p) AS lines, list(words ORDER BY p) AS words, list(i ORDER BY p) AS places FROM n GROUP BY doc_id),
+s AS (SELECT doc_id, lines, words, places, a, unnest(range(a, least(a + 9, len(lines)) + 1)) AS b FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS a FROM g)),
+r AS (SELECT doc_id, a, b, places, lines[a:b] AS run FROM s WHERE list_sum(words[a:b]) >= 10 AND (b > a OR words[a] >= 25)),
+f AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(a) OVER w AS fa FROM r WINDOW w AS (PARTITION BY run ORDER BY doc_id, a)),
+dead AS (SELECT DISTINCT doc_id, unnest(places[CASE WHEN doc_id = fd THEN greatest(a, fa + b - a + 1) ELSE a END:b]) AS i FROM f WHERE doc_id <> fd OR a <> fa),
+done AS (SELECT l.doc_id, count(*) AS n_lines, count(dead.i) AS n_deleted,
+                coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE dead.i IS NULL), '') AS body
+         FROM l LEFT JOIN dead ON l.doc_id = dead.doc_id AND l.i = dead.i GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, sha256(body) AS text_sha256 FROM done
 """,
 }

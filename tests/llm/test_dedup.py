@@ -9,7 +9,7 @@ import pytest
 from data import DOCUMENTS, awkward_rows, random_text
 from pyspark.sql import functions as F
 
-from spanlight.llm import exact_dedup, line_dedup, near_dedup
+from spanlight.llm import exact_dedup, near_dedup
 from spanlight.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,34 +128,3 @@ def test_components(spark):
     want = {n: root(n) for n in label}
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
-
-
-def brute_lines(rows, window=2, long_words=25, min_words=10):
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        lines = (text or "").split("\n")
-        units = []
-        for k, line in enumerate(lines):
-            words = WORD.findall(line)
-            if words:
-                units += [(line.strip(" \t\n\x0b\x0c\r"), k, len(words))] * (window if len(words) >= long_words else 1)
-        dead = set()
-        for at in range(len(units) - window + 1):
-            part = units[at : at + window]
-            if sum(n for *_, n in part) < min_words:
-                continue
-            key = tuple(line for line, *_ in part)
-            if key in seen:
-                dead |= {k for _, k, _ in part}
-            seen.add(key)
-        out[i] = "\n".join(line for k, line in enumerate(lines) if k not in dead)
-    return out
-
-
-@pytest.mark.parametrize("window,least", [(1, 1), (2, 3), (3, 10)])
-def test_line_dedup(spark, window, least):
-    rng = random.Random(window)
-    pool = [random_text(rng, rng.randrange(1, 40), 400, 1000) for _ in range(25)] + ["", " ", "a", "b"]
-    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
-    got = line_dedup.dedup_lines(frame(spark, rows), window=window, min_words=least).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows, window, 25, least)
