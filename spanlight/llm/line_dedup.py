@@ -14,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from spanlight.llm.batches import record_batch, slices
 from spanlight.llm.bitmaps import split_by_keys
@@ -176,21 +178,36 @@ def dedup_lines(
     of them counts as the later one; different texts of one id are ordered by their hash. Null ids come first. An empty table
     gives no rows. Documents without a deletion are not shuffled.
     """
-    key, tag, gone, lines, shown = fresh(docs, "__id", "__tag", "__dead", "__lines", "__shown")
+    key, tag, gone = fresh(docs, "__id", "__tag", "__dead")
     runs = repeated_runs(docs, window, long_words, min_words, id_col, text_col)
     each = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
     dead = runs.groupBy("doc_id", "tag").agg(F.array_distinct(F.flatten(F.collect_list(each))).alias("dead"))
     dead = stash(dead.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("dead").alias(gone)), "line-dead")
     own_id, own_tag = F.col(id_col).cast("long"), F.xxhash64(whole(F.col(text_col)))
     hit, clean = split_by_keys(docs, F.xxhash64(own_id, own_tag), dead.select(F.xxhash64(key, tag)))
-    joined = hit.join(dead, own_id.eqNullSafe(F.col(key)) & (own_tag == F.col(tag)), "left")
-    joined = joined.drop(key, tag).unionByName(clean.withColumn(gone, F.lit(None).cast("array<int>"))).withColumn(lines, F.split(F.col(text_col), "\n", -1))
-    # The numbers in ``gone`` leave blank lines out.
-    joined = joined.withColumn(shown, F.when(F.col(gone).isNotNull(), F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(BLANKS)) != "")))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda d: F.get(shown, d)))
-    text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return joined.select(
-        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts],
-        F.when(F.col(lines).isNull(), 1).otherwise(F.size(lines)).cast("long").alias(counts[0]),
-        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(counts[1]),
-    )
+    hit = hit.join(dead, own_id.eqNullSafe(F.col(key)) & (own_tag == F.col(tag)), "left")
+
+    def result(rows: DataFrame, text: Column, deleted: Column) -> DataFrame:
+        n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(1)).cast("long")
+        kept = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts]
+        return rows.select(*kept, n_lines.alias(counts[0]), deleted.cast("long").alias(counts[1]))
+
+    changed = result(hit, without_lines(F.col(text_col), F.col(gone)), F.coalesce(F.size(gone), F.lit(0)))
+    return changed.unionByName(result(clean, F.col(text_col), F.lit(0)))
+
+
+@F.pandas_udf(T.StringType())
+def without_lines(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines numbered in ``gone``, which leaves blank lines out of the count; null changes nothing."""
+
+    def rest(text: str, dead: set[int]) -> str:
+        kept, k = [], 0
+        for line in text.split("\n"):
+            if line.strip(BLANKS):
+                k += 1
+                if k - 1 in dead:
+                    continue
+            kept.append(line)
+        return "\n".join(kept)
+
+    return pd.Series([t if d is None else rest(t, set(d.tolist())) for t, d in zip(texts, gone, strict=True)], dtype=object)
