@@ -7,28 +7,56 @@ Messages: (conv_id, turn, role, text). Recognised are
 * an ``assistant`` text that is a JSON object ``{"call_id", "name", "arguments", "after"}``: a tool call; ``after``
   lists identifiers of calls whose results it needs;
 * a ``tool`` text ``{"call_id", "content"}``: a result;
-* a ``user`` text: a call of the built-in tool ``reply`` with argument ``prompt``, identifier ``<turn>``;
+* a ``user`` text: a call of the built-in tool ``reply`` with argument ``prompt``, identifier ``<turn>``; it follows up on the
+  message before it, so it needs the ``reply`` call of which that is the result (two turns earlier), if there is one;
 * any other ``assistant`` text: the result of the ``reply`` call of the turn before it;
 * everything else (system, unknown or null role): context.
+
+Identifiers of messages and of ``reply`` calls are two name spaces: a call ``"3"`` is not the call of turn 3.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.common import stash, whole
 
-#: Parameters of a tool: name -> (type as ``schema_of_variant`` prints it, required).
-Tool = dict[str, tuple[str, bool]]
-TOOLS: dict[str, Tool] = {"reply": {"prompt": ("STRING", True)}}
+
+@dataclass(frozen=True)
+class Param:
+    """What a tool accepts as a parameter: the type as ``schema_of_variant`` prints it, and for strings their length in characters."""
+
+    kind: str
+    required: bool = True
+    least: int = 0
+    most: int | None = None
+
+    def accepts(self, value: Column) -> Column:
+        """Whether a variant, which may be missing, fits."""
+        ok = F.schema_of_variant(value) == self.kind
+        if self.least or self.most is not None:
+            length = F.length(F.try_variant_get(value, "$", "string"))
+            ok = ok & (length >= self.least)
+            ok = ok if self.most is None else ok & (length <= self.most)
+        return F.coalesce(ok, F.lit(False)) if self.required else value.isNull() | F.coalesce(ok, F.lit(False))
+
+
+Tool = dict[str, Param]
+#: A prompt has something to say and fits a chat window.
+TOOLS: dict[str, Tool] = {"reply": {"prompt": Param("STRING", least=1, most=300)}}
 
 CALL = "call_id string, name string, arguments string, after array<string>"
 RESULT = "call_id string, content string"
 
 
 def split_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and context of ``messages``; null text counts as empty, null ids stay null."""
+    """Calls, results and context of ``messages``; null text counts as empty, null ids stay null.
+
+    ``key`` is the identifier with its name space, and ``after`` lists keys.
+    """
     text = whole(F.col("text"))
     role = F.coalesce(F.col("role"), F.lit(""))
     looks = text.rlike(r"^\s*\{") & role.isin("assistant", "tool")
@@ -44,20 +72,30 @@ def split_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     )
     is_call = F.col("call.call_id").isNotNull() & F.col("call.name").isNotNull()
     is_result = F.col("result.call_id").isNotNull()
+    turn_text = lambda back: F.coalesce((F.col("turn") - back).cast("string"), F.lit(""))
+    of_call = lambda i: F.concat(F.lit("call:"), i)
+    of_turn = lambda i: F.concat(F.lit("turn:"), i)
     calls = base.where(is_call).select(
-        "conv_id", "turn", "call.call_id", "call.name", F.coalesce("call.arguments", F.lit("{}")).alias("arguments"), "call.after"
+        "conv_id",
+        "turn",
+        of_call(F.col("call.call_id")).alias("key"),
+        "call.call_id",
+        "call.name",
+        F.coalesce("call.arguments", F.lit("{}")).alias("arguments"),
+        F.transform("call.after", of_call).alias("after"),
     )
     asked = base.where(F.col("role") == "user").select(
         "conv_id",
         "turn",
-        F.coalesce(F.col("turn").cast("string"), F.lit("")).alias("call_id"),
+        of_turn(turn_text(0)).alias("key"),
+        turn_text(0).alias("call_id"),
         F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"),
-        F.array().cast("array<string>").alias("after"),
+        F.when(F.col("turn").isNotNull(), F.array(of_turn(turn_text(2)))).alias("after"),
     )
-    results = base.where(is_result).select("conv_id", "turn", "result.call_id", F.coalesce("result.content", F.lit("")).alias("content"))
+    results = base.where(is_result).select("conv_id", "turn", of_call(F.col("result.call_id")).alias("key"), "result.call_id", F.coalesce("result.content", F.lit("")).alias("content"))
     said = base.where((F.col("role") == "assistant") & ~F.coalesce(is_call, F.lit(False))).select(
-        "conv_id", "turn", F.coalesce((F.col("turn") - 1).cast("string"), F.lit("")).alias("call_id"), F.col("text").alias("content")
+        "conv_id", "turn", of_turn(turn_text(1)).alias("key"), turn_text(1).alias("call_id"), F.col("text").alias("content")
     )
     rest = base.where(~F.col("role").isin("user", "assistant") & ~is_result).select("conv_id", "turn", "role", "text")
     return calls.unionByName(asked), results.unionByName(said), rest
@@ -116,10 +154,8 @@ def arguments_valid(name: Column, arguments: Column, tools: dict[str, Tool]) ->
     valid = F.lit(False)
     for tool, params in tools.items():
         fits = F.array_size(F.array_except(F.json_object_keys(arguments), F.array(*[F.lit(p) for p in params]))) == 0
-        for param, (kind, required) in params.items():
-            value = F.try_variant_get(parsed, f"$.{param}", "variant")
-            ok = F.schema_of_variant(value) == kind
-            fits = fits & (F.coalesce(ok, F.lit(False)) if required else value.isNull() | ok)
+        for name_of, param in params.items():
+            fits = fits & param.accepts(F.try_variant_get(parsed, f"$.{name_of}", "variant"))
         valid = F.when(name == tool, F.coalesce(fits, F.lit(False))).otherwise(valid)
     return valid
 
@@ -131,25 +167,27 @@ def format_chats(messages: DataFrame, tools: dict[str, Tool] | None = None) -> D
     (rows that carried the identifier), level (topological; calls sort by (conv_id, level, turn)), args_valid,
     message (canonical JSON: sorted keys, no white space, no null fields).
 
-    Rows that repeat an identifier are one call (or result): the one that sorts first stays, all are counted.
+    Identifiers that agents give and turns are kept apart, so one identifier may have a row of each kind.
+    Rows that repeat an identifier are one call (or result): the one that sorts first stays, all are counted. An empty table
+    gives no rows; other columns are not read; null text is empty, and null conversations and turns are values like others.
     They combine before the shuffle, so neither a long conversation nor a repeated identifier makes pairs
     or meets in one task as rows. Arguments that are no JSON stay as a string and are not valid.
     """
     tools = tools or TOOLS
     calls, results, rest = split_messages(messages)
-    one = F.min(F.struct("turn", "name", "arguments", "after")).alias("c")
-    calls = calls.groupBy("conv_id", "call_id").agg(one, F.count("*").alias("n_calls"))
-    calls = calls.select("conv_id", "call_id", "c.*", "n_calls")
-    levels = topo_levels(calls)
+    one = F.min(F.struct("turn", "call_id", "name", "arguments", "after")).alias("c")
+    calls = calls.groupBy("conv_id", "key").agg(one, F.count("*").alias("n_calls"))
+    calls = calls.select("conv_id", "key", "c.*", "n_calls")
+    levels = topo_levels(calls.select("conv_id", F.col("key").alias("call_id"), "after"))
     calls = calls.join(
         levels.select(F.col("conv_id").alias("lc"), F.col("call_id").alias("li"), "level"),
-        F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("call_id") == F.col("li")),
+        F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("key") == F.col("li")),
         "left",
     ).drop("lc", "li")
-    first = F.min(F.struct("turn", "content")).alias("r")
-    results = results.groupBy("conv_id", "call_id").agg(first, F.count("*").alias("n_results"))
-    results = results.select(F.col("conv_id").alias("rc"), F.col("call_id").alias("ri"), F.col("r.turn").alias("rt"), "r.content", "n_results")
-    linked = calls.join(results, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("call_id") == F.col("ri")), "full")
+    first = F.min(F.struct("turn", "call_id", "content")).alias("r")
+    results = results.groupBy("conv_id", "key").agg(first, F.count("*").alias("n_results"))
+    results = results.select(F.col("conv_id").alias("rc"), F.col("key").alias("rk"), F.col("r.call_id").alias("ri"), F.col("r.turn").alias("rt"), "r.content", "n_results")
+    linked = calls.join(results, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("key") == F.col("rk")), "full")
 
     is_call = F.col("n_calls").isNotNull()
     is_result = F.col("n_results").isNotNull()

@@ -137,13 +137,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """,
     "op5_chat_formatting": """
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, turn, min(text) AS prompt, count(*) AS n FROM m WHERE role = 'user' GROUP BY conv_id, turn),
+a AS (SELECT conv_id, turn, min(text) AS prompt, count(*) AS n FROM m WHERE role = 'user' GROUP BY conv_id, turn),
+i AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM i),
 r AS (SELECT conv_id, turn, min(text) AS said, count(*) AS n FROM m WHERE role = 'assistant' GROUP BY conv_id, turn)
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn,
        coalesce(c.turn, r.turn - 1)::VARCHAR AS call_id,
        CASE WHEN c.turn IS NOT NULL AND r.turn IS NOT NULL THEN 'linked' WHEN c.turn IS NOT NULL THEN 'unanswered' ELSE 'orphan' END AS status,
        coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results,
-       CASE WHEN c.turn IS NOT NULL THEN 0 END AS level, CASE WHEN c.turn IS NOT NULL THEN true END AS args_valid,
+       level::INT AS level, CASE WHEN c.turn IS NOT NULL THEN length(prompt) BETWEEN 1 AND 300 END AS args_valid,
        CASE WHEN c.turn IS NOT NULL AND r.turn IS NOT NULL
               THEN to_json({'arguments': {'prompt': prompt}, 'call_id': c.turn::VARCHAR, 'name': 'reply', 'result': said})::VARCHAR
             WHEN c.turn IS NOT NULL THEN to_json({'arguments': {'prompt': prompt}, 'call_id': c.turn::VARCHAR, 'name': 'reply'})::VARCHAR

@@ -21,10 +21,10 @@ def brute(rows):
 
 
 def test_a_long_chain_is_no_cycle(spark):
-    rows = [(1, f"c{k}", [f"c{k - 1}"]) for k in range(1100)]
+    rows = [(1, f"c{k}", [f"c{k - 1}"]) for k in range(1500)]
     rows += [(2, "a", ["b"]), (2, "b", ["c"]), (2, "c", ["a"]), (2, "d", ["c"]), (2, "e", [])]
     got = levels(spark, rows)
-    assert [got[1, f"c{k}"] for k in range(1100)] == list(range(1100))
+    assert [got[1, f"c{k}"] for k in range(1500)] == list(range(1500))
     assert [got[2, i] for i in "abcde"] == [None, None, None, None, 0]
 
 

@@ -126,7 +126,7 @@ CHAT = "conv_id long, turn long, role string, text string"
 
 
 def test_chat_formatting(spark):
-    tools = chat_format.TOOLS | {"find": {"q": ("STRING", True), "top": ("BIGINT", False)}}
+    tools = chat_format.TOOLS | {"find": {"q": chat_format.Param("STRING"), "top": chat_format.Param("BIGINT", required=False)}}
     call = lambda i, name, args, after=(): json.dumps({"call_id": i, "name": name, "arguments": args, "after": list(after)})
     rows = [
         (1, 0, "system", "be brief"),
@@ -157,6 +157,32 @@ def test_chat_formatting(spark):
     assert got[(None, "", "context")]["n_calls"] == 1
 
 
+def test_identifiers_and_turns_are_two_name_spaces(spark):
+    call = json.dumps({"call_id": "3", "name": "find", "arguments": {}, "after": ["1"]})
+    rows = [(1, 3, "user", "hi"), (1, 4, "assistant", "hello"), (1, 5, "assistant", call), (1, 6, "tool", json.dumps({"call_id": "3", "content": "found"})), (1, 1, "user", "first")]
+    got = sorted((r["call_id"], r["status"], r["n_calls"], r["level"], json.loads(r["message"]).get("result")) for r in chat_format.format_chats(spark.createDataFrame(rows, CHAT)).collect())
+    assert got == [("1", "unanswered", 1, 0, None), ("3", "linked", 1, 0, "found"), ("3", "linked", 1, 1, "hello")]
+
+
+def test_prompts_against_the_schema(spark):
+    texts = ["", None, "x", "é" * 300, "é" * 301, "y" * 2_000_000]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)]
+    got = {r["conv_id"]: (r["args_valid"], json.loads(r["message"])["arguments"]["prompt"]) for r in chat_format.format_chats(spark.createDataFrame(rows, CHAT)).collect()}
+    assert got == {k: (1 <= len(t or "") <= 300, t or "") for k, t in enumerate(texts)}
+
+
+def test_chats_with_awkward_rows(spark):
+    rows = [(None, None, None, None), (None, None, "user", "u"), (None, None, "user", "u"), (None, None, "assistant", "a"), (1, None, "tool", "{"), (1, 2, "assistant", '{"call_id": null}')]
+    plain = spark.createDataFrame(rows, CHAT)
+    extra = plain
+    for name in ("key", "level", "call_id", "after", "n", "message", "c", "r", "status"):
+        extra = extra.withColumn(name, extra["role"])
+    key = lambda df: sorted(map(repr, chat_format.format_chats(df).collect()))
+    assert key(plain) == key(extra)
+    got = collections.Counter((r["conv_id"], r["status"], r["n_calls"], r["n_results"]) for r in chat_format.format_chats(plain).collect())
+    assert got == {(None, "context", 1, 0): 1, (None, "linked", 2, 1): 1, (1, "context", 1, 0): 1, (1, "orphan", 0, 1): 1}
+
+
 def test_chat_formatting_of_nothing(spark):
     assert chat_format.format_chats(spark.createDataFrame([], CHAT)).collect() == []
 
