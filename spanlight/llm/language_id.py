@@ -2,7 +2,9 @@
 
 Pieces come from a fixed public vocabulary; each language has a probability for each piece. The likelihood of a word
 is the sum, over every way to cut it into pieces, of the product of the pieces' probabilities, computed by
-the forward algorithm. A text's likelihood is the product over its words.
+the forward algorithm over the whole word, however long. A text's likelihood is the product over its words.
+
+Languages are held in groups, so a model of any number of them needs the memory of one group at a time.
 """
 
 from __future__ import annotations
@@ -22,13 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlight.llm.batches import record_batch, slices
-from spanlight.llm.common import ship, stash
+from spanlight.llm.common import fresh, ship, stash
 
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"  # begins the pieces that begin a word
 UNKNOWN = "und"
-#: Words with more letters are scored in blocks of this many, so that products stay above zero.
-BLOCK = 40
 
 COUNTS = "lang string, piece int, n long"
 COUNTS_ARROW = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
@@ -88,41 +88,50 @@ def piece_counts(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_
 
 
 @dataclass
-class Model:
-    """Probabilities of pieces (rows; the last row for letters outside the vocabulary, none is zero) by language."""
+class LanguageGroup:
+    """Probabilities of pieces (rows; the last but one for letters outside the vocabulary, the last is zero) by language."""
 
     langs: list[str]
     probs: np.ndarray
 
 
-def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.1, max_languages: int = 500) -> Model:
-    """Learn from all rows with a language and a text. The model has languages x pieces numbers, whatever the rows.
-
-    More than ``max_languages`` labels are refused, so that the size stays bounded.
-    """
+@dataclass
+class Model:
+    """Piece counts by language, a written table, and the languages by name in groups."""
+
+    counts: DataFrame
+    groups: list[list[str]]
+    smooth: float
+
+    def group(self, langs: list[str], vocabulary: str) -> LanguageGroup:
+        """The probabilities of some languages: as many numbers as languages x pieces, whatever the rows."""
+        model, pieces, _ = load(vocabulary)
+        size = model.get_piece_size()
+        found = self.counts.where(F.col("lang").isin(langs)).toArrow()
+        column = {lang: k for k, lang in enumerate(langs)}
+        at = np.array([column[x] for x in found.column("lang").to_pylist()], np.int64)
+        table = np.zeros((size + 2, len(langs)))
+        np.add.at(table, (found.column("piece").to_numpy(), at), found.column("n").to_numpy())
+        usable = np.zeros(size, bool)
+        usable[list(pieces.values())] = True
+        table[:size][~usable] = 0
+        table[:size][usable] += self.smooth
+        table[size] = self.smooth
+        return LanguageGroup(langs, table / table.sum(axis=0, keepdims=True))
+
+
+def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", smooth: float = 0.1, group_size: int = 100) -> Model:
+    """Learn from all rows with a language and a text. Any number of languages; ``group_size`` of them are held at once."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = stash(piece_counts(labelled, vocabulary, lang_col, text_col), "piece-counts")
-    model, pieces, _ = load(vocabulary)
-    size = model.get_piece_size()
-    if counts.select("lang").distinct().count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    found = counts.toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    table = np.zeros((size + 2, len(langs)))
-    at = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
-    np.add.at(table, (found.column("piece").to_numpy(), at), found.column("n").to_numpy())
-    usable = np.zeros(size, bool)
-    usable[list(pieces.values())] = True
-    table[:size][~usable] = 0
-    table[:size][usable] += smooth
-    table[size] = smooth
-    return Model(langs, table / table.sum(axis=0, keepdims=True))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    return Model(counts, [langs[k : k + group_size] for k in range(0, len(langs), group_size)], smooth)
 
 
 class Scorer:
     """Log-likelihoods of words by language; remembers words up to a number of them."""
 
-    def __init__(self, model: Model, vocabulary: str, memory: int = 400_000):
+    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 400_000):
         _, pieces, self.longest = load(vocabulary)
         #: Of each string that begins a piece: the piece it is, or -1.
         self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
@@ -131,50 +140,75 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.langs)))
 
-    def forward(self, blocks: list[str]) -> np.ndarray:
-        """Log of the sum over all segmentations, for blocks of similar length at once."""
-        n, width = len(blocks), max(map(len, blocks))
-        none, known, deep = self.other + 1, self.starts.get, self.longest + 1
+    def pieces_from(self, words: list[str], begin: int, count: int) -> np.ndarray:
+        """[start - begin, length, word]: the piece of that length at that place; a letter alone is always one."""
+        n, none, known = len(words), self.other + 1, self.starts.get
+        deep = self.longest + 1
         cells, values = [], []
-        for w, s in enumerate(blocks):
+        for w, s in enumerate(words):
             size = len(s)
-            for start in range(size):
+            for start in range(begin, min(size, begin + count)):
                 for end in range(start + 1, size + 1):
                     piece = known(s[start:end])
                     if piece is None:
                         break
                     if piece >= 0:
-                        cells.append((end * deep + end - start) * n + w)
+                        cells.append(((start - begin) * deep + end - start) * n + w)
                         values.append(piece)
-        ids = np.full(((width + 1) * deep, n), none, np.int32)
+        ids = np.full((count, deep, n), none, np.int32)
         ids.ravel()[cells] = values
-        ids = ids.reshape(width + 1, deep, n)
-        ids[1:, 1][ids[1:, 1] == none] = self.other
-        alpha = np.zeros((width + 1, n, self.probs.shape[1]))
-        alpha[0] = 1
-        for end in range(1, width + 1):
-            for k in range(1, min(end, self.longest) + 1):
-                used = np.flatnonzero(ids[end, k] != none)
+        ids[:, 1][ids[:, 1] == none] = self.other
+        return ids
+
+    def forward(self, words: list[str], chunk: int = 512, pause: int = 4) -> np.ndarray:
+        """Log of the sum over all segmentations, for words of similar length at once.
+
+        ``ahead[k]`` is the sum for the first ``at + k`` letters, divided by ``exp(scale)``: products of many pieces are too
+        small for a number, so every ``pause`` letters what is ahead is divided by its largest value. A chunk of places is looked
+        up at a time, so memory does not depend on the length of a word.
+        """
+        n, none = len(words), self.other + 1
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        ahead = np.zeros((self.longest + 1, n, self.probs.shape[1]))
+        ahead[0] = 1
+        scale = np.zeros(ahead.shape[1:])
+        out = np.zeros(ahead.shape[1:])
+        for at in range(sizes.max() + 1):
+            done = sizes == at
+            if done.any():
+                out[done] = np.log(ahead[0, done]) + scale[done]
+            if at == sizes.max():
+                break
+            if at % chunk == 0:
+                ids = self.pieces_from(words, at, min(chunk, int(sizes.max()) - at))
+            for k in range(1, self.longest + 1):
+                row = ids[at % chunk, k]
+                used = np.flatnonzero(row != none)
                 if len(used):
-                    alpha[end, used] += alpha[end - k, used] * self.probs[ids[end, k, used]]
-        ends = np.fromiter(map(len, blocks), np.int64, n)
-        return np.log(np.maximum(alpha[ends, np.arange(n)], 1e-300))
-
-    def learn(self, words: set[str]) -> None:
+                    ahead[k, used] += ahead[0, used] * self.probs[row[used]]
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+            if at % pause == pause - 1:
+                top = ahead.max(axis=0)
+                top[top == 0] = 1
+                ahead /= top
+                scale += np.log(top)
+        return out
+
+    def learn(self, words: set[str], letters: int = 60_000) -> None:
+        """Score words, as many of similar length at once as have about ``letters`` letters."""
         if len(self.row) > self.memory:
             self.row, self.logs = {}, self.logs[:0]
         listed = sorted(words, key=len)
-        blocks, owner = [], []
-        for w, word in enumerate(listed):
-            marked = START + word
-            for k in range(0, len(marked), BLOCK):
-                blocks.append(marked[k : k + BLOCK])
-                owner.append(w)
-        found = np.zeros((len(listed), self.logs.shape[1]))
-        for k in range(0, len(blocks), 2000):
-            np.add.at(found, owner[k : k + 2000], self.forward(blocks[k : k + 2000]))
+        found, at = [self.logs], 0
+        while at < len(listed):
+            upto = at + 1
+            while upto < len(listed) and (upto + 1 - at) * (len(listed[upto]) + 1) <= letters:
+                upto += 1
+            found.append(self.forward([START + w for w in listed[at:upto]]))
+            at = upto
         base = len(self.logs)
-        self.logs = np.concatenate([self.logs, found])
+        self.logs = np.concatenate(found)
         self.row.update(zip(listed, range(base, base + len(listed)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -192,29 +226,44 @@ def add_language(docs: DataFrame, model: Model, vocabulary: str, text_col: str =
     """The rows and columns of ``docs`` and two columns more: the language and its posterior under equal priors (0 to 1).
 
     ``und`` with score 0 for a text that is null or has no letter, or if nothing was learned. Equal
-    likelihoods: the first language by name. The model's size is bounded, and it is broadcast; there is no shuffle.
+    likelihoods: the first language by name. A group of languages has a bounded size and is broadcast; there is no
+    shuffle. With several groups, the best language so far and the sum of likelihoods are written with the rows between them.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    lang, top, total = fresh(docs, "__lang", "__top", "__total")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in ((lang, "string"), (top, "double"), (total, "double"))]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *none)
+    for k, langs in enumerate(model.groups):
+        rows = _score(rows, model.group(langs, vocabulary), vocabulary, text_col, (lang, top, total))
+        if k + 1 < len(model.groups):
+            rows = stash(rows, "language-group")
+    score = F.when(F.col(lang).isNull(), 0.0).otherwise(F.exp(F.col(top) - F.col(total)))
+    plain = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return rows.select(*plain, F.coalesce(lang, F.lit(UNKNOWN)).alias(names[0]), F.least(score, F.lit(1.0)).alias(names[1]))
+
+
+def _score(rows: DataFrame, group: LanguageGroup, vocabulary: str, text_col: str, state: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with their state (best language, its log-likelihood, log of the sum of all) brought up to date by a group."""
+    shared = rows.sparkSession.sparkContext.broadcast(group)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = Scorer(model, vocabulary) if model.langs else None
+        langs = shared.value.langs
+        scorer = Scorer(shared.value, vocabulary)
         for part, texts in slices(batches, text_col):
-            langs, scores = [], []
-            for logs in scorer(texts) if scorer else [None] * len(texts):
-                if logs is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
+            held = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in state), strict=True)
+            new = []
+            for logs, (lang, top, total) in zip(scorer(texts), held, strict=True):
+                if logs is not None:
                     best = int(logs.argmax())
-                    langs.append(model.langs[best])
-                    scores.append(float(1 / np.exp(logs - logs[best]).sum()))
-            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
-
-    return docs.mapInArrow(run, schema)
+                    total = float(np.logaddexp.reduce(logs if total is None else np.append(logs, total)))
+                    if top is None or logs[best] > top:
+                        lang, top = langs[best], float(logs[best])
+                new.append((lang, top, total))
+            lang, top, total = zip(*new, strict=True)
+            kept = part.columns[: part.num_columns - len(state)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64())], part.schema.names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: -len(state)], *(T.StructField(c, t) for c, t in zip(state, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True))]))
 
 
 def predict(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,13 @@
 """Quality rules, license scan, BPE and language identification."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from data import DOCUMENTS, awkward, awkward_rows, random_text
@@ -144,33 +147,55 @@ def test_word_memory_does_not_change_results():
     assert [x for t in texts for x in small([t])] == list(large(texts))
 
 
-def test_forward_sums_all_segmentations():
-    import math
+def segmentation_sums(pieces, model, word, lang):
+    """Log of the sum over all segmentations, as a fraction of whole numbers would give it."""
+    from fractions import Fraction
+
+    size = len(model.probs) - 2
+    exact = lambda p: Fraction(float(model.probs[p, lang]))
+    sums = [Fraction(1)] + [Fraction(0)] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - 20), end):
+            p = pieces.get(word[start:end])
+            if p is None and end - start == 1:
+                p = size
+            if p is not None:
+                sums[end] += sums[start] * exact(p)
+    total = sums[-1]
+    return math.log(total.numerator) - math.log(total.denominator)
 
-    import numpy as np
 
-    _, pieces, _ = language_id.load(PIECES)
-    rng = np.random.default_rng(1)
+def test_forward_sums_all_segmentations():
+    _, pieces, longest = language_id.load(PIECES)
+    assert longest <= 20
+    nprng, rng = np.random.default_rng(1), random.Random(2)
     size = max(pieces.values()) + 1
-    model = language_id.Model(["x", "y"], rng.random((size + 2, 2)) / size)
+    model = language_id.LanguageGroup(["x", "y"], nprng.random((size + 2, 2)) / size)
+    model.probs[:, 1] *= 1e-9
     model.probs[-1] = 0
+    scorer = language_id.Scorer(model, PIECES)
+    words = ["the", "der", "漢字", "x" * 41, "ᚠ" * 60] + ["".join(rng.choice("etaoinshrdlu漢") for _ in range(k)) for k in range(30, 301, 45)]
+    for got, word in zip(scorer([*words]), words, strict=True):
+        want = [segmentation_sums(pieces, model, language_id.START + word, k) for k in (0, 1)]
+        assert np.allclose(got, want, rtol=1e-10), word
+    assert np.allclose(scorer(["the und 漢字"])[0], sum(scorer([w])[0] for w in ("the", "und", "漢字")))
+    assert np.isfinite(scorer(["z" * 50_000])[0]).all()
 
-    def total(word, lang):
-        sums = [1.0] + [0.0] * len(word)
-        for end in range(1, len(word) + 1):
-            for start in range(end):
-                p = pieces.get(word[start:end])
-                if p is None and end - start == 1:
-                    p = size
-                if p is not None:
-                    sums[end] += sums[start] * model.probs[p, lang]
-        return math.log(sums[-1])
 
-    scorer = language_id.Scorer(model, PIECES)
-    for text in ("the", "und der", "漢字 abc"):
-        got = scorer([text])[0]
-        want = [sum(total(language_id.START + w, k) for w in language_id.words_of(text)) for k in (0, 1)]
-        assert np.allclose(got, want)
+def test_held_out_fold(spark):
+    ids = [0, 1, 2, 7, -3, 10**15, *range(100, 400), None]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_languages_in_groups(spark):
+    """More languages than a group holds give the same results as one group."""
+    rng = random.Random(6)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(6)] for k in range(7)}
+    rows = [(k, " ".join(rng.choices(words[lang], k=5)), lang, "a", 0) for k, lang in enumerate(rng.choices(list(words), k=60))] + [(99, "12", "l01", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    told = [sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(docs, language_id.fit(docs, PIECES, group_size=n), PIECES).collect()) for n in (100, 3)]
+    assert told[0] == told[1]
 
 
 def test_language_id_holds_out(spark):
