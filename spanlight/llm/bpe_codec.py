@@ -4,6 +4,9 @@ The encoding of a word's prefix is known from its last token and the prefix befo
 node therefore holds one state, and a prefix that many words share is encoded once. Which token ends a
 prefix follows from a test on token pairs: two adjacent tokens can stand side by side only if no merge
 across their border would have come before the merges that built them.
+
+Texts are cut into words by Python's tables of letters and cases where these agree with the tokenizers library's; texts with
+other characters are normalised and cut by the library's own tables, which belong to another version of Unicode.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,10 @@ ENCODED = "doc_id long, ids array<int>, decoded string"
 ENCODED_ARROW = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
+#: Blocks of characters on whose class, case and composition all Unicode versions agree; a test goes through them.
+AGREED = regex.compile("[^\\u0000-\\u052F\\u1E00-\\u202E\\u2030-\\u205E\\u2190-\\u23FF\\u2500-\\u27BF\\u3001-\\u3029\\u3041-\\u3096\\u30A1-\\u30FF\\u4E00-\\u9FA5\\uAC00-\\uD7A3\\U0001F300-\\U0001F5FF\\U0001F600-\\U0001F64F]")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where it prints in Latin-1, else the next letter from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,6 +77,7 @@ class WordBpe:
         self.fits: dict[int, bool] = {}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.path = path
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def side_by_side(self, a: int, b: int) -> bool:
@@ -154,15 +163,27 @@ class WordBpe:
             if k % 2:
                 words.append(part)
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words += self.word.findall(plain)
+                words += self.split_by_library(part) if AGREED.search(part) else self.split_plain(part)
         return words
 
+    def split_plain(self, part: str) -> list[str]:
+        return self.word.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
+    def split_by_library(self, part: str) -> list[str]:
+        library = load_library(self.path)
+        plain = library.normalizer.normalize_str(part)
+        return [plain[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(plain)]
+
 
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@lru_cache(maxsize=2)
+def load_library(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)

@@ -110,12 +110,33 @@ def expected(tokenizer, text):
     return list(e.ids), tokenizer.decode(e.ids, skip_special_tokens=False)
 
 
-@settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8", categories=["L", "N", "P", "S", "Z", "M"]), st.sampled_from("abehilnorst '<|>endoftext\t\n")), max_size=40))
+def same_as_library(texts):
+    tokenizer = bpe_codec.load_library(WORD_BPE)
+    for text, (ids, decoded) in zip(texts, bpe_codec.Encoder(WORD_BPE)(texts), strict=True):
+        assert (list(struct.unpack(f"<{len(ids) // 4}I", ids)), decoded) == expected(tokenizer, text), ascii(text)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abehilnorst '<|>endoftext\t\n")), max_size=40))
 def test_bpe_is_the_library(text):
-    tokenizer = Tokenizer.from_file(WORD_BPE)
-    ids, decoded = next(bpe_codec.Encoder(WORD_BPE)([text]))
-    assert (list(struct.unpack(f"<{len(ids) // 4}I", ids)), decoded) == expected(tokenizer, text)
+    same_as_library([text])
+
+
+def test_bpe_of_every_code_point():
+    """Alone, between letters, and before a combining mark, where Python's tables are used; the library's own are used elsewhere."""
+    library, bpe = Tokenizer.from_file(WORD_BPE), bpe_codec.load(WORD_BPE)
+    marks, own = "\u0301\u0327\u0345", 0
+    for cp in range(0x110000):
+        c = chr(cp)
+        if bpe_codec.AGREED.search(c):
+            continue
+        own += 1
+        frames = [c, f"a{c}b", f"{c}\u0301", f"x{c}{marks}y 1{c}Σ"]
+        for text in frames:
+            plain = library.normalizer.normalize_str(text)
+            assert bpe.split(text) == [plain[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(plain)], hex(cp)
+    assert 30_000 < own < 40_000
+    same_as_library([chr(cp) + "e" for cp in range(0, 0x110000, 97) if not 0xD800 <= cp < 0xE000])
 
 
 def test_bpe_words_from_few_letters():
