@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records with a seeded hash into buckets small enough for memory. Pass two shuffles each
+Pass one writes every record with a seeded hash, which scatters them into buckets small enough for memory. Pass two shuffles each
 bucket (Fisher-Yates, by the engine's ``shuffle``) and gives every record a place in the whole order: the
 records of earlier buckets, then its place in its own. Place modulo the number of shards is the shard, so
 shards differ by one record at most, and the quotient is the slot. Only DataFrame functions are used.
@@ -41,6 +41,23 @@ def text_checksum(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("long")
 
 
+def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """Pass one: the written records (doc_id, size, text_crc32, payload, mark) with their ``bucket``, and the number of buckets."""
+    text = whole(F.col(text_col))
+    records = docs.select(
+        F.col(id_col).alias("doc_id"),
+        text_size(text).alias("size"),
+        text_checksum(text).alias("text_crc32"),
+        *[F.col(f"`{c}`").alias(f"payload_{k}") for k, c in enumerate(carry)],
+    )
+    number = F.monotonically_increasing_id()
+    records = stash(records.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", number)), "shard-records", "zstd")
+    rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(rows / bucket_rows))
+    scattered = records.withColumn("bucket", F.pmod("mark", F.lit(n_buckets)))
+    return scattered, n_buckets
+
+
 def shuffle_into_shards(
     docs: DataFrame,
     n_shards: int = 24,
@@ -49,32 +66,20 @@ def shuffle_into_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
+    bucket_rows: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, then ``carry``.
 
-    ``size`` is the text's UTF-8 bytes plus 8 and sizes the buckets; ``carry`` names payload columns that
-    travel along (none: places only). Null text counts as empty. Repeated rows get a place each. An empty
-    table gives no rows. The order depends on ``seed``; buckets are uniform whatever a key, source or group holds,
-    because the hash takes id, size and checksum.
+    ``size`` is the text's UTF-8 bytes plus 8; a bucket has about ``bucket_bytes`` and no more than about ``bucket_rows`` rows.
+    ``carry`` names payload columns that travel along (none: places only). Null text counts as empty. Repeated rows get a
+    place each. An empty table gives no rows. The hash takes id, size, checksum and the number of the row in its input
+    partition, so copies of one row are scattered like any others. It is written with the records, so a task that runs
+    again finds the same buckets. The order depends on ``seed`` and, among copies of a row, on how the input is split.
     """
-    spark = docs.sparkSession
-    text = whole(F.col(text_col))
-    records = docs.select(
-        F.col(id_col).alias("doc_id"),
-        text_size(text).alias("size"),
-        text_checksum(text).alias("text_crc32"),
-        *[F.col(c).alias(f"payload_{k}") for k, c in enumerate(carry)],
-    )
-    # Only keys are written for the counts; the payload goes straight from the input into the scatter.
-    keys = stash(records.select("doc_id", "size", "text_crc32"), "shard-records")
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"), F.lit(n_buckets))
-    scattered = (records if carry else keys).withColumn("bucket", bucket)
-    offsets = bucket_offsets(keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n")))
-    tasks = min(n_buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scattered, n_buckets = scatter(docs, seed, bucket_bytes, bucket_rows, id_col, text_col, carry)
+    offsets = bucket_offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n")))
     packed = (
-        scattered.repartition(tasks, "bucket")
+        scattered.repartition(n_buckets, "bucket")
         .groupBy("bucket")
         .agg(F.array_sort(F.collect_list(F.struct(*[c for c in scattered.columns if c != "bucket"]))).alias("rows"))
         .sortWithinPartitions("bucket")
@@ -100,7 +105,7 @@ def write_shards(placed: DataFrame, path: str) -> None:
 
     Each bucket writes its own file into a shard's folder, so the payload is not dealt out a second time.
     """
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def sharded(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
