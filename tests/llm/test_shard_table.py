@@ -43,14 +43,3 @@ def test_copies_of_one_row_are_scattered(spark):
 def test_empty_texts_are_bounded_by_rows(spark):
     sizes = buckets_of(spark, [(k, None, "en", "a", 0) for k in range(3000)], bucket_rows=100)
     assert len(sizes) > 15 and max(sizes) < 500
-
-
-def test_a_shard_is_several_files(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"text {k}", "en", "a", 0) for k in range(400)], DOCUMENTS)
-    placed = sharding.shuffle_into_shards(docs, n_shards=2, bucket_bytes=1000, carry=("text",))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one task
-    sharding.write_shards(placed, f"{tmp_path}/shards")
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    for shard in (0, 1):
-        files = list((tmp_path / "shards" / f"shard={shard}").glob("*.parquet"))
-        assert len(files) > 2
