@@ -1,73 +1,93 @@
 """Exact dedup with a log-structured merge index of digests.
 
-Each input split is a memtable that is flushed as a run: a parquet file of (digest, id), sorted by digest and
-written with a bloom filter. Runs of an index that further tables are added to hold the normalised texts too. Compaction merges all runs into one row per digest with the smallest or largest
-identifier. Digests with more than one row are hits, and hits are verified on the bytes of the texts.
+Each split of a table is a memtable that is flushed as a sorted run of (digest, id); all runs of one table are a batch of
+level 0. Compaction merges the last level 1 with the batches flushed since, into one row per digest with the
+smallest and the largest identifier and the number of rows. Digests of a batch that more than one row has are its hits. A
+bitmap over the hits is probed where texts are read, so only texts that may be hits leave their
+task; groups are then formed on digest and bytes. Runs of an index that further tables are added to hold the texts too.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlight.llm.bitmaps import MOST, split_by_keys
 from spanlight.llm.common import ascii_lower, scratch_path, stash, whole
 
-RUN_SCHEMA = "digest string, doc_id bigint, run string, body string"
+RUN_SCHEMA = "digest string, doc_id bigint, sha string, body string, batch int"
+LEVEL_SCHEMA = "digest string, smallest bigint, largest bigint, n bigint"
 
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers N of the finished folders ``name=N`` in a folder, ascending."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [f.getPath() for f in fs.listStatus(at)]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of level 0 with the number of their batch."""
+    batches = [spark.read.schema(RUN_SCHEMA).parquet(f"{path}/level0/batch={k}").withColumn("batch", F.lit(k)) for k in _numbers(spark, f"{path}/level0")]
+    runs = batches[0]
+    for more in batches[1:]:
+        runs = runs.unionByName(more)
+    return runs
+
+
 def flush_runs(
     docs: DataFrame,
     path: str,
     digest: Callable[[Column], Column] = sha256_hex,
     id_col: str = "doc_id",
     text_col: str = "text",
-    run: str | None = None,
     bodies: bool = True,
-) -> DataFrame:
-    """Append a run for each split of ``docs`` to level 0 at ``path`` and return all runs there.
+) -> int:
+    """Add the runs of ``docs``, one for each split, to level 0 at ``path`` as a new batch, and return its number.
 
-    Sorting stays within a split, so flushing needs no shuffle. ``run`` names what is flushed together. Without ``bodies``
-    only ids and digests are written, which is enough where no later table is compared with this one.
+    Sorting stays within a split, so flushing needs no shuffle. Without ``bodies`` only ids and digests are written, which is
+    enough where no later table is compared with this one. Of two writers at once the second fails.
     """
+    spark = docs.sparkSession
     text = ascii_lower(whole(F.col(text_col)))
     entries = docs.select(
         digest(text).alias("digest"),
         F.col(id_col).cast("long").alias("doc_id"),
-        F.lit(run or uuid.uuid4().hex).alias("run"),
+        (F.lit(None).cast("string") if digest is sha256_hex else sha256_hex(text)).alias("sha"),
         (text if bodies else F.lit(None).cast("string")).alias("body"),
     )
-    (
-        entries.sortWithinPartitions("digest")
-        .write.mode("append")
-        .option("parquet.bloom.filter.enabled#digest", "true")
-        .parquet(f"{path}/level0")
-    )
-    return docs.sparkSession.read.schema(RUN_SCHEMA).parquet(f"{path}/level0")
+    batch = max(_numbers(spark, f"{path}/level0"), default=0) + 1
+    entries.sortWithinPartitions("digest").write.parquet(f"{path}/level0/batch={batch}")
+    return batch
 
 
-def compact(spark: SparkSession, path: str, keep: str = "smallest") -> DataFrame:
-    """Merge the runs of level 0 into level 1: (digest, keep_id, n), sorted, one row per digest.
+def compact(spark: SparkSession, path: str) -> DataFrame:
+    """Merge level 1 and the batches flushed since: (digest, smallest, largest, n), sorted, one row per digest.
 
     Counts and identifiers combine before the shuffle, so a digest that holds a third of all rows reaches
-    the merge as one row per task.
+    the merge as one row per task. The new level stands beside the old one; an attempt that failed counts for nothing.
     """
-    pick = {"smallest": F.min, "largest": F.max}[keep]
-    runs = spark.read.schema(RUN_SCHEMA).parquet(f"{path}/level0")
-    merged = runs.groupBy("digest").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    (
-        merged.sortWithinPartitions("digest")
-        .write.mode("overwrite")
-        .option("parquet.bloom.filter.enabled#digest", "true")
-        .parquet(f"{path}/level1")
-    )
-    return spark.read.schema("digest string, keep_id bigint, n bigint").parquet(f"{path}/level1")
+    levels, batches = _numbers(spark, f"{path}/level1"), _numbers(spark, f"{path}/level0")
+    done, last = max(levels, default=0), max(batches, default=0)
+    target = f"{path}/level1/upto={last}"
+    if last > done:
+        fresh = read_runs(spark, path).where(F.col("batch") > done)
+        rows = fresh.select("digest", F.col("doc_id").alias("smallest"), F.col("doc_id").alias("largest"), F.lit(1).cast("long").alias("n"))
+        if done:
+            rows = rows.unionByName(spark.read.schema(LEVEL_SCHEMA).parquet(f"{path}/level1/upto={done}"))
+        merged = rows.groupBy("digest").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"), F.sum("n").alias("n"))
+        merged.sortWithinPartitions("digest").write.mode("overwrite").parquet(target)
+    return spark.read.schema(LEVEL_SCHEMA).parquet(target)
 
 
 def dedup(
@@ -77,47 +97,48 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     index_path: str | None = None,
+    filter_bits: int = MOST,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, so null and empty texts form
     one group. Of equal texts the row with the smallest (or largest) id stays; if that id occurs in several
-    rows of the group, all of them count as staying. An empty table gives no rows. Two texts with one digest
-    but different bytes end in different groups, because groups of hits are formed on the bytes.
+    rows of the group, all of them count as staying; ids that are null come into question only if all are. An empty
+    table gives no rows. Two texts with one digest but different bytes end in different groups.
 
     At ``index_path`` lies an index that may hold tables of earlier calls. Their rows count in the groups (``keep_id`` may be
-    one of theirs) but are not returned, and ``docs`` is added to the index.
+    one of theirs) but are not returned, and ``docs`` is added to the index. The filter has ``filter_bits`` at most; where that
+    is few for the hits, more texts are verified, and none is missed.
     """
     spark = docs.sparkSession
     path = index_path or scratch_path(spark, "digest-index")
-    run = uuid.uuid4().hex
-    runs = flush_runs(docs, path, digest, id_col, text_col, run, bodies=index_path is not None)
-    merged = compact(spark, path, keep)
     pick = {"smallest": F.min, "largest": F.max}[keep]
+    batch = flush_runs(docs, path, digest, id_col, text_col, bodies=index_path is not None)
+    merged = compact(spark, path)
+    runs = read_runs(spark, path)
+    own = runs.where(F.col("batch") == batch).select("digest", "doc_id", F.coalesce("sha", "digest").alias("sha"))
 
-    single = runs.where(F.col("run") == run).select("digest", "doc_id").join(merged.where("n = 1").select("digest"), "digest", "left_semi")
-    single = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    several = merged.where("n > 1").select("digest")
+    if batch > 1:
+        several = several.join(own.select("digest"), "digest", "left_semi")
+    keys = stash(several.select(F.xxhash64("digest").alias("k")), "digest-hits")
 
-    if index_path is not None:
-        single = stash(single, "digest-single")  # the next table's compaction replaces level 1
+    def probe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return split_by_keys(rows, F.xxhash64("digest"), keys, filter_bits)
 
+    single = probe(own)[1].select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     text = ascii_lower(whole(F.col(text_col)))
     bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body")).withColumn("digest", digest(F.col("body")))
-    hits = stash(bodies.join(merged.where("n > 1").select("digest"), "digest", "left_semi"), "digest-hits")
+    hits = stash(probe(bodies)[0], "digest-bodies")
     # Byte verification: the class of a hit is its digest and its bytes. Classes are written, so that both sides of the
     # join are plain shuffles and a group that holds a third of all rows is split over tasks.
     met = hits
-    if index_path is not None:
-        earlier = runs.where(F.col("run") != run).select("doc_id", "body", "digest")
-        met = hits.unionByName(earlier.join(hits.select("digest").distinct(), "digest", "left_semi").select("doc_id", "body", "digest"))
+    if batch > 1:
+        met = hits.unionByName(probe(runs.where(F.col("batch") < batch).select("doc_id", "body", "digest"))[0])
     classes = met.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = stash(classes, "digest-classes")
-    several = hits.join(classes, ["digest", "body"])
-    sha = F.col("digest") if digest is sha256_hex else None
-    if sha is None:
-        single = single.join(bodies.select("doc_id", "digest", sha256_hex(F.col("body")).alias("sha")), ["doc_id", "digest"])
-        several = several.withColumn("sha", sha256_hex(F.col("body")))
-    else:
-        single, several = single.withColumn("sha", sha), several.withColumn("sha", sha)
-    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")]
-    return single.select(*columns).unionByName(several.select(*columns))
+    sha = F.col("digest") if digest is sha256_hex else sha256_hex(F.col("body"))
+    grouped = hits.join(classes, ["digest", "body"]).select("doc_id", "keep_id", "group_size", sha.alias("sha"))
+    return single.unionByName(grouped).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+    )

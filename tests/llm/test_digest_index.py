@@ -1,5 +1,7 @@
 """Exact dedup against an index of earlier tables."""
 
+import random
+
 import pytest
 from data import DOCUMENTS
 from pyspark.sql import functions as F
@@ -30,3 +32,38 @@ def test_results_outlive_the_next_table(spark, tmp_path):
     first = exact_dedup.dedup(frame(spark, [(1, "a"), (2, "b")]), index_path=path)
     exact_dedup.dedup(frame(spark, [(3, "a")]), index_path=path)
     assert sorted((r["doc_id"], r["group_size"]) for r in first.collect()) == [(1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_hex, lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)], ids=["sha256", "colliding"])
+@pytest.mark.parametrize("keep,pick", [("smallest", min), ("largest", max)])
+def test_three_batches_are_one_table(spark, tmp_path, digest, keep, pick):
+    """What each batch says is what brute force says of all rows so far; the last batch agrees with one table of everything."""
+    rng = random.Random(7)
+    texts = ["", None, *(f"Text {k}" for k in range(30)), *(f"TEXT {k}" for k in range(30))]
+    rows = [(k if k % 11 else None, rng.choice(texts)) for k in range(150)] + [(40, "text 1"), (40, "text 1")]
+    path, so_far = f"file://{tmp_path}/index", []
+    for batch in (rows[:60], rows[60:61], rows[61:]):
+        so_far += batch
+        groups = {}
+        for i, t in so_far:
+            groups.setdefault((t or "").lower(), []).append(i)
+        want = []
+        for i, t in batch:
+            ids = groups[(t or "").lower()]
+            best = pick((x for x in ids if x is not None), default=None)
+            want.append((i, best, len(ids), i == best))
+        got = exact_dedup.dedup(frame(spark, batch), keep, digest, index_path=path)
+        assert sorted(map(repr, ((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_texts_of_single_rows_are_not_shuffled(spark, tmp_path):
+    """Only bodies that may be hits are written for verification."""
+    rows = [(k, f"a text of its own {k}" * 20) for k in range(2000)] + [(3000 + k, "twice") for k in range(2)]
+    held = []
+    stash = exact_dedup.stash
+    exact_dedup.stash = lambda df, name: held.append((name, out := stash(df, name))) or out
+    try:
+        assert exact_dedup.dedup(frame(spark, rows)).where("not kept").count() == 1
+    finally:
+        exact_dedup.stash = stash
+    assert dict(held)["digest-bodies"].count() < 10
