@@ -1,7 +1,7 @@
 """License scan with ordered signature rules.
 
-Rules are regular expressions for names, notices, tags, links and phrases of licenses. A keyword automaton
-reads each text once; only rules whose keyword occurs are tried. Detections may overlap: one that lies
+Rules are regular expressions for notices, links, tags, names and fields of licenses, written by hand in ``license_rules``. A
+keyword automaton reads each text once; only rules whose own keyword occurs are tried. Detections may overlap: one that lies
 inside a detection of a better or equal priority is suppressed.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spanlight.llm.batches import record_batch, slices
 from spanlight.llm.common import ship
+from spanlight.llm.license_rules import COMMON, KINDS
 
 #: Word bytes of the base rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -28,149 +29,16 @@ TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0
 #: Phrases that always count, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: names as they are written, as regular expressions; _ is any gap between words.
-NAMES = {
-    "mit": ["mit", "expat", "massachusetts_institute_of_technology"],
-    "mit-0": ["mit_no_attribution"],
-    "apache": ["apache", "apache_software"],
-    "apache-1.1": ["apache_software_license_1\\.1"],
-    "gpl": ["gnu_general_public", "gnu_gpl", "gpl"],
-    "lgpl": ["gnu_lesser_general_public", "gnu_library_general_public", "lgpl"],
-    "agpl": ["gnu_affero_general_public", "affero_general_public", "agpl"],
-    "gfdl": ["gnu_free_documentation", "gfdl"],
-    "bsd": ["bsd", "berkeley_software_distribution"],
-    "bsd-2-clause": ["simplified_bsd", "two_clause_bsd", "2_clause_bsd", "freebsd"],
-    "bsd-3-clause": ["new_bsd", "modified_bsd", "three_clause_bsd", "3_clause_bsd"],
-    "bsd-4-clause": ["original_bsd", "four_clause_bsd", "4_clause_bsd"],
-    "0bsd": ["zero_clause_bsd", "0bsd"],
-    "mpl": ["mozilla_public", "mpl"],
-    "epl": ["eclipse_public", "epl"],
-    "edl": ["eclipse_distribution"],
-    "cddl": ["common_development_and_distribution", "cddl"],
-    "cpl": ["common_public", "cpl"],
-    "cpal": ["common_public_attribution"],
-    "ipl": ["ibm_public"],
-    "eupl": ["european_union_public", "eupl"],
-    "isc": ["isc", "internet_systems_consortium"],
-    "zlib": ["zlib", "zlib_libpng"],
-    "libpng": ["libpng"],
-    "boost": ["boost_software", "bsl"],
-    "artistic": ["artistic", "clarified_artistic"],
-    "perl": ["perl_artistic"],
-    "python": ["python_software_foundation", "psf"],
-    "ruby": ["ruby"],
-    "php": ["php"],
-    "w3c": ["w3c_software", "w3c_document"],
-    "unlicense": ["unlicense"],
-    "wtfpl": ["do_what_the_fuck_you_want_to_public", "wtfpl"],
-    "beerware": ["beerware", "beer_ware"],
-    "ofl": ["sil_open_font", "open_font"],
-    "afl": ["academic_free"],
-    "osl": ["open_software"],
-    "aladdin": ["aladdin_free_public"],
-    "apsl": ["apple_public_source"],
-    "nposl": ["non_profit_open_software"],
-    "ncsa": ["university_of_illinois_ncsa", "ncsa_open_source"],
-    "ms-pl": ["microsoft_public"],
-    "ms-rl": ["microsoft_reciprocal"],
-    "qpl": ["q_public"],
-    "sleepycat": ["sleepycat"],
-    "openssl": ["openssl"],
-    "ssleay": ["ssleay"],
-    "curl": ["curl"],
-    "vim": ["vim"],
-    "tcl": ["tcl_tk"],
-    "x11": ["x11", "x_consortium"],
-    "hpnd": ["historical_permission_notice"],
-    "icu": ["icu", "unicode"],
-    "postgresql": ["postgresql"],
-    "cecill": ["cecill"],
-    "mulan": ["mulan_permissive_software"],
-    "odbl": ["open_database"],
-    "odc-by": ["open_data_commons_attribution"],
-    "pddl": ["public_domain_dedication_and"],
-    "cc0": ["cc0", "creative_commons_zero"],
-    "cc-by": ["creative_commons_attribution", "cc_by"],
-    "cc-by-sa": ["creative_commons_attribution_share_?alike", "cc_by_sa"],
-    "cc-by-nc": ["creative_commons_attribution_non_?commercial", "cc_by_nc"],
-    "cc-by-nd": ["creative_commons_attribution_no_?deriv(?:ative)?s?", "cc_by_nd"],
-    "cc-by-nc-sa": ["creative_commons_attribution_non_?commercial_share_?alike", "cc_by_nc_sa"],
-    "cc-by-nc-nd": ["creative_commons_attribution_non_?commercial_no_?deriv(?:ative)?s?", "cc_by_nc_nd"],
-    "elastic": ["elastic"],
-    "sspl": ["server_side_public", "sspl"],
-    "busl": ["business_source"],
-    "openrail": ["openrail", "responsible_ai"],
-    "llama": ["llama_community"],
-    "gemma": ["gemma_terms_of_use"],
+#: Word characters and gaps are those of the base rule, so every character beyond ASCII belongs to a word.
+LETTER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+PARTS = {
+    "LIC:": rf"licen[sc]e(?:(?![:=]){GAP})*+[:=]{GAP}++",
+    "LIC": "licen[sc]e",
+    " VER": rf"(?:{GAP}++(?:v(?:er|ersion)?{GAP}*+)?[0-9]+(?:{GAP}[0-9]+)?)?",
+    "NUM": rf"v?[0-9]+(?:{GAP}[0-9]+)?",
 }
 
-#: label: sentences of notices and other wording, highest priority.
-NOTICES = {
-    "mit": [
-        "permission_is_hereby_granted_free_of_charge_to_any_person_obtaining_a_copy",
-        "the_above_copyright_notice_and_this_permission_notice_shall_be_included",
-    ],
-    "bsd": [
-        "redistribution_and_use_in_source_and_binary_forms_with_or_without_modification",
-        "redistributions_of_source_code_must_retain_the_above_copyright_notice",
-        "redistributions_in_binary_form_must_reproduce_the_above_copyright_notice",
-    ],
-    "bsd-3-clause": ["neither_the_name_of_.{1,60}?_nor_the_names_of_its_contributors"],
-    "bsd-4-clause": ["all_advertising_materials_mentioning_features_or_use_of_this_software"],
-    "apache": [
-        "unless_required_by_applicable_law_or_agreed_to_in_writing_software_distributed_under_the",
-        "you_may_not_use_this_file_except_in_compliance_with_the_license",
-    ],
-    "gpl": [
-        "you_can_redistribute_it_and_or_modify_it_under_the_terms_of_the_gnu_general_public",
-        "you_should_have_received_a_copy_of_the_gnu_general_public",
-    ],
-    "lgpl": ["you_should_have_received_a_copy_of_the_gnu_lesser_general_public"],
-    "agpl": ["you_should_have_received_a_copy_of_the_gnu_affero_general_public"],
-    "isc": ["permission_to_use_copy_modify_and_or_distribute_this_software_for_any_purpose"],
-    "zlib": ["this_software_is_provided_as_is_without_any_express_or_implied_warranty"],
-    "boost": ["permission_is_hereby_granted_free_of_charge_to_any_person_or_organization"],
-    "mpl": ["this_source_code_form_is_subject_to_the_terms_of_the_mozilla_public"],
-    "unlicense": ["this_is_free_and_unencumbered_software_released_into_the_public_domain"],
-    "public-domain": ["released_into_the_public_domain", "dedicated_to_the_public_domain", "in_the_public_domain"],
-    "proprietary": [
-        "all_rights_reserved",
-        "proprietary_and_confidential",
-        "unauthorized_copying_of_this_file",
-        "may_not_be_reproduced_without_(?:prior_)?(?:written_)?permission",
-    ],
-}
-
-#: label: link to the text of the license.
-LINKS = {
-    "mit": "opensource\\.org/licenses?/mit",
-    "apache": "apache\\.org/licenses",
-    "gpl": "gnu\\.org/licenses/(?:old-licenses/)?gpl",
-    "lgpl": "gnu\\.org/licenses/(?:old-licenses/)?lgpl",
-    "agpl": "gnu\\.org/licenses/agpl",
-    "mpl": "mozilla\\.org/(?:en-us/)?mpl",
-    "epl": "eclipse\\.org/legal/epl",
-    "bsd": "opensource\\.org/licenses?/bsd",
-    "unlicense": "unlicense\\.org",
-    "ofl": "scripts\\.sil\\.org/ofl",
-    "cc0": "creativecommons\\.org/publicdomain/zero",
-    "cc-by": "creativecommons\\.org/licenses/by/",
-    "cc-by-sa": "creativecommons\\.org/licenses/by-sa/",
-    "cc-by-nc": "creativecommons\\.org/licenses/by-nc/",
-    "cc-by-nc-sa": "creativecommons\\.org/licenses/by-nc-sa/",
-    "cc-by-nd": "creativecommons\\.org/licenses/by-nd/",
-    "boost": "boost\\.org/license",
-}
-
-GAP = r"[\W_]+"
-#: How names are used: kind, pattern around the name, keyword, confidence. Earlier is better.
-USES = [
-    ("tag", r"spdx-license-identifier:{gap}{name}", "spdx", 1.0),
-    ("grant", r"(?:licensed|released|distributed|available|published){gap}under{gap}(?:the{gap}|an?{gap})?(?:terms{gap}of{gap}the{gap})?{name}", "under", 0.95),
-    ("title", r"{name}{gap}(?:public{gap})?licen[sc]e(?:{gap}v(?:ersion|\.)?{gap}?\d+(?:\.\d+)?)?", "licen", 0.9),
-    ("field", r"licen[sc]e[\W_](?:(?![:=])[\W_])*+[:=][\W_]++{name}", "licen", 0.8),
-]
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -179,37 +47,39 @@ class Rule:
     priority: int  # smaller is better
     order: int
     keyword: str
-    needs: tuple[str, ...]  # one of these must occur as well; none: no matter
     pattern: re.Pattern
     confidence: float
 
 
-def words_pattern(text: str) -> str:
-    """``_?`` is a gap that may be missing, ``_`` a gap."""
-    return text.replace("_?", "\0").replace("_", GAP).replace("\0", r"[\W_]?")
+def signature_pattern(signature: str, link: bool) -> str:
+    """The regular expression of a signature: parts filled in, blanks as gaps, whole words."""
+    if link:
+        return signature
+    text = re.sub("LIC: ?|LIC| VER|NUM", lambda m: PARTS[m.group().rstrip() if m.group().startswith("LIC:") else m.group()].replace(" ", "\0"), signature)
+    text = text.replace(" ?", f"{GAP}?").replace(" ", f"{GAP}++").replace("\0", " ")
+    return rf"(?<!{LETTER}){text}(?!{LETTER})"
+
+
+def keyword_of(signature: str) -> str:
+    """The longest literal that every match contains, if possible one that is no common word."""
+    plain = signature
+    while plain != (plain := re.sub(r"\((?:[^()])*\)\??", "#", plain)):
+        pass
+    plain = re.sub(r"\\\.", ".", plain.replace("LIC:", "licen").replace("LIC", "licen").replace(" VER", "").replace("NUM", "#"))
+    plain = re.sub(r"\[[^]]*\]|\.\{[^}]*\}\??|.\?|(?<![a-z])\.(?![a-z])", "#", plain)
+    words = [w.strip(".-/_") for w in re.findall(r"[a-z0-9./_-]+", plain)]
+    return max([w for w in words if w not in COMMON] or words, key=len)
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[list[Rule], ahocorasick.Automaton]:
     """All rules in order, and the automaton from keywords to rules."""
     made: list[Rule] = []
-
-    def add(label: str, kind: str, keyword: str, pattern: str, confidence: float, rank: int, needs: tuple[str, ...] = ()) -> None:
-        made.append(Rule(label, kind, rank, len(made), keyword, needs, re.compile(pattern, re.ASCII | re.DOTALL), confidence))
-
-    def longest_word(text: str) -> str:
-        return max(re.findall(r"[a-z0-9]+", re.sub(r"\(.*?\)|\{.*?\}|\\.|_\?", "_", text).replace("_", " ")), key=len)
-
-    for label, sentences in NOTICES.items():
-        for sentence in sentences:
-            add(label, "notice", longest_word(sentence), rf"(?<![a-z0-9]){words_pattern(sentence)}(?![a-z0-9])", 1.0, 0)
-    for label, link in LINKS.items():
-        add(label, "link", re.match(r"[a-z.]+?(?=\\|/|$)", link.replace("\\.", ".")).group(), link, 1.0, 1)
-    for rank, (kind, use, keyword, confidence) in enumerate(USES, 2):
-        for label, names in NAMES.items():
-            name = "(?:" + "|".join(words_pattern(n) for n in sorted(names, key=len, reverse=True)) + ")"
-            pattern = use.replace("{gap}", GAP).replace("{name}", name)
-            add(label, kind, keyword, rf"(?<![a-z0-9]){pattern}(?![a-z0-9])", confidence, rank, tuple(map(longest_word, names)))
+    for rank, (kind, table, confidence) in enumerate(KINDS):
+        for line in table.strip().splitlines():
+            label, signature = line.split(" | ", 1)
+            pattern = re.compile(signature_pattern(signature, kind == "link"), re.DOTALL)
+            made.append(Rule(label, kind, rank, len(made), keyword_of(signature), pattern, confidence))
     automaton = ahocorasick.Automaton()
     by_word: dict[str, list[int]] = {}
     for k, rule in enumerate(made):
@@ -230,9 +100,7 @@ def detections(lowered: str) -> list[tuple[int, int, Rule]]:
     wanted: set[int] = set()
     for _, found in automaton.iter(lowered):
         wanted.update(found)
-    tried = [r for r in map(made.__getitem__, sorted(wanted)) if not r.needs or any(w in lowered for w in r.needs)]
-    hits = [(m.start(), m.end(), r) for r in tried for m in r.pattern.finditer(lowered)]
-    return suppress(hits)
+    return suppress([(m.start(), m.end(), made[k]) for k in sorted(wanted) for m in made[k].pattern.finditer(lowered)])
 
 
 def suppress(hits: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:

@@ -32,6 +32,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op2_license_scan``, which SQL can state."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.NearRule(words=2))
 
@@ -72,6 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
+    "license_base_phrases": license_base_phrases,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_formatting": op5_chat_formatting,
@@ -115,6 +121,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND host_ok) AS kept, counts.host, host_ok
 FROM counts JOIN verdict ON counts.host IS NOT DISTINCT FROM verdict.host
+""",
+    "license_base_phrases": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+      FROM documents),
+h AS (SELECT doc_id, len(w) AS n,
+             list_filter(range(1, len(w)), lambda k: w[k] = 'mit' AND w[k + 1] = 'license') AS mit,
+             list_filter(range(1, len(w)), lambda k: w[k] = 'apache' AND w[k + 1] = 'license') AS apache,
+             list_filter(range(1, len(w) - 1), lambda k: w[k] = 'general' AND w[k + 1] = 'public' AND w[k + 2] = 'license') AS gpl FROM w)
+SELECT doc_id, n AS n_words, len(mit) + len(apache) + len(gpl) AS n_base, list_min(mit || apache || gpl) - 1 AS first_word, list_max(mit || apache || gpl) - 1 AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM h
 """,
     "op3_near_dedup": """
 WITH RECURSIVE

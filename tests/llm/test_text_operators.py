@@ -89,14 +89,59 @@ def test_signatures(text, label):
 
 
 def test_rules_by_hundreds():
-    assert len(license_scan.rules()[0]) > 300
+    made = license_scan.rules()[0]
+    assert len(made) > 300 and len({r.keyword for r in made}) > 150
+
+
+def test_keywords_stand_in_their_rules():
+    """A text made of each signature is found, so its keyword lets it through."""
+    from spanlight.llm.license_rules import KINDS
+
+    for kind, table, _ in KINDS:
+        for line in table.strip().splitlines():
+            label, text = line.split(" | ", 1)
+            text = text.replace("LIC:", "license:").replace("LIC", "license").replace(" VER", "").replace("NUM", "4.0")
+            text = re.sub(r"\\.", ".", text)
+            while re.search(r"\(\?:[^()]*\)", text):
+                text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", text)
+            text = re.sub(r"\.\{.,..?\}\??", "xx", text).replace(" ?", "").replace("[123]", "2").replace("[23]", "2").replace("[13]", "3").replace("[12]", "2").replace("[01]", "0").replace("[0-2]", "1").replace("s?", "s").replace("licenses?", "licenses")
+            hits = [r for r in license_scan.rules()[0] if r.label == label and r.kind == kind and r.pattern.search(text)]
+            assert hits, (line, text)
+            assert any(r.keyword in text for r in hits), (line, text)
+            assert license_scan.detections(text), (line, text)
+
+
+@pytest.mark.parametrize("text", ["émit licence", "mit élicense", "mit 许可 license", "xmit license", "license—mit"])
+def test_letters_beyond_ascii_belong_to_words(text):
+    assert license_scan.detections(text) == []
+
+
+def brute_base(text):
+    words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    hits = []
+    for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):
+        parts = phrase.split()
+        hits += [(k, label) for k in range(len(words)) if words[k : k + len(parts)] == parts]
+    at = [k for k, _ in hits]
+    return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_base_columns_by_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["mit", "MIT", "License", "license", "licence", "Apache", "general", "public", "GNU", "é", "mité", "x1", "_", "\x00", "许可"]
+    gaps = [" ", "\n", "-", "_", "  ", "\u00a0", ".", "'", "", "\t*"]
+    rows = [(k, "".join(rng.choice(bits) + rng.choice(gaps) for _ in range(rng.randrange(60))), None, None, 0) for k in range(300)] + [(999, None, None, None, 0)]
+    got = license_scan.scan(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in got} == {r[0]: brute_base(r[1]) for r in rows}
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(1, 8), st.integers(0, 3)), max_size=12))
 def test_suppression_is_containment(hits):
     rule = license_scan.rules()[0][0]
-    made = [(s, s + n, license_scan.Rule("x", "x", p, k, "", (), rule.pattern, 1.0)) for k, (s, n, p) in enumerate(hits)]
+    made = [(s, s + n, license_scan.Rule("x", "x", p, k, "", rule.pattern, 1.0)) for k, (s, n, p) in enumerate(hits)]
     rank = lambda h: (h[2].priority, h[0] - h[1], h[2].order, h[0])
     kept = []
     for h in sorted(made, key=rank):
