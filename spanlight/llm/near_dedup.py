@@ -6,6 +6,9 @@ all pairs with d <= 19: each chunk is entered five times, each time with another
 similarity threshold 0.8 a component differs with probability 0.2, and a pair has no common entry with
 probability 0.263 ** 10, below two in a million.
 
+Pairs that share an entry are candidates if their signatures differ in no more components than ``recall`` asks for (25 of
+50); a recall of 1 makes every such pair a candidate.
+
 Pairs are never listed within a group. Documents with equal sets are one from the start. In each index entry
 every member is compared with the smallest one; entries whose members are not yet in one cluster are compared
 in full, inside tasks, on signatures. Links are then confirmed on the shingle sets. A small cluster is compared in full.
@@ -16,6 +19,7 @@ forest of the confirmed links of its block pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlight.llm.batches import record_batch, slices
+from spanlight.llm.bitmaps import split_by_keys
 from spanlight.llm.common import ship, stash
 from spanlight.llm.components import connected_components
 
@@ -42,8 +47,9 @@ class NearRule:
     percent: int = 80
     chunks: int = 10
     chunk: int = 5
-    max_distance: int = 24  # components of a signature that may differ in a candidate pair
+    recall: float = 0.999998  # of pairs at the similarity itself that share an entry; 1 holds every such pair a candidate
     seed: int = 11
+    salts: int = 16
     block_docs: int = 500
     block_shingles: int = 400_000
 
@@ -51,6 +57,18 @@ class NearRule:
     def size(self) -> int:
         return self.chunks * self.chunk
 
+    @property
+    def max_distance(self) -> int:
+        """Components that may differ in a candidate pair: as few as the recall allows, where each differs by chance alone."""
+        differ, kept = 1 - self.percent / 100, 0.0
+        if self.recall >= 1:
+            return self.size
+        for d in range(self.size + 1):
+            kept += math.comb(self.size, d) * differ**d * (1 - differ) ** (self.size - d)
+            if kept >= self.recall:
+                return d
+        return self.size
+
     def multipliers(self) -> np.ndarray:
         return np.random.default_rng(self.seed).integers(1, 2**63, self.size, dtype=np.uint64) * U(2) + U(1)
 
@@ -333,11 +351,16 @@ def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str =
     entries = index_entries(classes, rule)
     full = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     full = stash(full, "near-keys")  # written, so that the join below can split a key with very many entries
-    members = stash(entries.join(full, "key"), "near-members")
+    repeated, _ = split_by_keys(entries, F.col("key"), full.select("key"))  # the others need no second shuffle
+    members = stash(repeated.join(full, "key"), "near-members")
 
     signed = classes.select("rep", "signature")
-    stars = members.where("rep <> pivot").select("pivot", "rep").distinct()
-    stars = stars.join(signed, "rep").join(signed.select(F.col("rep").alias("pivot"), F.col("signature").alias("other")), "pivot")
+    # A pivot may have very many members, so each of them meets one of several copies of the pivot's signature.
+    salt = F.pmod(F.xxhash64("rep"), F.lit(rule.salts)).alias("salt")
+    stars = members.where("rep <> pivot").select("pivot", "rep").distinct().join(signed, "rep").select("*", salt)
+    pivots = members.select("pivot").distinct().join(signed, F.col("pivot") == F.col("rep"))
+    pivots = pivots.select("pivot", F.col("signature").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rule.salts - 1).cast("long"))).alias("salt"))
+    stars = stars.join(pivots, ["pivot", "salt"])
     stars = stars.withColumn("d", distance(F.col("signature"), F.col("other"), rule)).where(F.col("d") <= rule.max_distance)
     stars = stash(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "near-stars")
 

@@ -110,6 +110,12 @@ def test_all_pairs_within_the_guaranteed_distance_meet(spark):
     assert keys.where("rep > 0").join(base_keys, "key").select("rep").distinct().count() == 199
 
 
+def test_distance_follows_from_recall():
+    assert near_dedup.NearRule().max_distance == 25
+    assert near_dedup.NearRule(recall=0.5).max_distance == 10
+    assert near_dedup.NearRule(recall=1.0).max_distance == near_dedup.NearRule().size
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(500, 620)] + [(700, k) for k in range(701, 780)]
