@@ -117,7 +117,7 @@ def extended_runs(lines: DataFrame, spots: DataFrame, window: int, long_words: i
                 )
 
     theirs = spots.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spots")
-    met = lines.join(theirs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
+    met = lines.join(theirs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
     return met.select("doc_id", "tag", "hashes", "words", "spots").mapInArrow(run, RUNS)
 
 
@@ -130,13 +130,13 @@ def repeated_runs(docs: DataFrame, window: int = 2, long_words: int = 25, min_wo
     lines = stash(line_table(docs, window, long_words, id_col, text_col), "line-hashes")
     minima = lines.select("doc_id", "tag", F.explode(F.arrays_zip("minima", "prints")).alias("m"))
     minima = stash(minima.select("doc_id", "tag", F.col("m.minima").alias("at"), F.col("m.prints").alias("print")), "line-minima")
-    # Written, so that both sides of the joins are plain shuffles and a very frequent line is split over tasks.
+    # Both sides of the joins are plain shuffles at any size, so that a very frequent line is split over tasks.
     prints = stash(minima.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "line-prints")
-    spots = minima.join(prints, "print", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("spots"))
+    spots = minima.join(prints.hint("merge"), "print", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("spots"))
     runs = stash(extended_runs(lines, spots, window, long_words, min_words), "line-runs")
     place = F.struct("doc_id", "tag", "at")
     first = stash(runs.groupBy("low", "high").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1"), "line-firsts")
-    later = runs.join(first, ["low", "high"]).where(~place.eqNullSafe(F.col("first")))
+    later = runs.join(first.hint("merge"), ["low", "high"]).where(~place.eqNullSafe(F.col("first")))
     shared = F.col("first.at") + F.col("n") - F.col("at")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (shared > 0)
     skip = F.when(own, shared).otherwise(0)
@@ -185,7 +185,7 @@ def dedup_lines(
     dead = stash(dead.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("dead").alias(gone)), "line-dead")
     own_id, own_tag = F.col(id_col).cast("long"), F.xxhash64(whole(F.col(text_col)))
     hit, clean = split_by_keys(docs, F.xxhash64(own_id, own_tag), dead.select(F.xxhash64(key, tag)))
-    hit = hit.join(dead, own_id.eqNullSafe(F.col(key)) & (own_tag == F.col(tag)), "left")
+    hit = hit.join(dead.hint("merge"), own_id.eqNullSafe(F.col(key)) & (own_tag == F.col(tag)), "left")
 
     def result(rows: DataFrame, text: Column, deleted: Column) -> DataFrame:
         n_lines = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(1)).cast("long")
