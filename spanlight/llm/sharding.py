@@ -42,7 +42,7 @@ def text_checksum(text: Column) -> Column:
 
 
 def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """Pass one: the written records (doc_id, size, text_crc32, payload, mark) with their ``bucket``, and the number of buckets."""
+    """Pass one: the written records (doc_id, size, text_crc32, payload, number, mark) with their ``bucket``, and the number of buckets."""
     text = whole(F.col(text_col))
     records = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -50,8 +50,8 @@ def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_
         text_checksum(text).alias("text_crc32"),
         *[F.col(f"`{c}`").alias(f"payload_{k}") for k, c in enumerate(carry)],
     )
-    number = F.monotonically_increasing_id()
-    records = stash(records.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", number)), "shard-records", "zstd")
+    records = records.withColumn("number", F.monotonically_increasing_id())
+    records = stash(records.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "number")), "shard-records", "zstd")
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(rows / bucket_rows))
     scattered = records.withColumn("bucket", F.pmod("mark", F.lit(n_buckets)))
@@ -74,36 +74,33 @@ def shuffle_into_shards(
     ``carry`` names payload columns that travel along (none: places only). Null text counts as empty. Repeated rows get a
     place each. An empty table gives no rows. The hash takes id, size, checksum and the number of the row in its input
     partition, so copies of one row are scattered like any others. It is written with the records, so a task that runs
-    again finds the same buckets. The order depends on ``seed`` and, among copies of a row, on how the input is split.
+    again finds the same buckets. The order depends on ``seed`` and on how the input is split.
     """
     scattered, n_buckets = scatter(docs, seed, bucket_bytes, bucket_rows, id_col, text_col, carry)
     offsets = bucket_offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n")))
-    packed = (
-        scattered.repartition(n_buckets, "bucket")
-        .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list(F.struct(*[c for c in scattered.columns if c != "bucket"]))).alias("rows"))
-        .sortWithinPartitions("bucket")
-    )
-    # The array is sorted before it is shuffled, so the same seed gives the same order on every run.
-    mixed = packed.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    placed = mixed.join(offsets, "bucket").select("offset", F.posexplode("rows").alias("pos", "r"))
+    # Fisher-Yates draws lots for the keys of the records, so a bucket is held in memory without its texts. The array is
+    # sorted before it is shuffled, so the same seed gives the same order on every run.
+    packed = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32", "number"))).alias("rows"))
+    drawn = packed.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "r"))
+    drawn = drawn.join(offsets, "bucket").select("r.number", "offset", "pos")
+    placed = scattered.join(drawn.hint("merge"), "number")
     place = F.col("offset") + F.col("pos")
     return placed.select(
-        "r.doc_id",
-        "r.size",
-        "r.text_crc32",
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(place / n_shards).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"r.payload_{k}").alias(c) for k, c in enumerate(carry)],
+        *[F.col(f"payload_{k}").alias(c) for k, c in enumerate(carry)],
     )
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
     """Write placed records (made with ``carry``) as one folder per shard, in slot order within files.
 
-    Each bucket writes its own file into a shard's folder, so the payload is not dealt out a second time.
+    Each task writes its own file into a shard's folder, so the payload is not dealt out a second time.
     """
     placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
