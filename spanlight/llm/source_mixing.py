@@ -80,24 +80,25 @@ def find_exponent(sources: DataFrame, total: int, target: MixTarget) -> tuple[fl
         low, high = tried[max(0, k - (target.entropy is None))]["exponent"], tried[min(len(tried) - 1, k + (target.entropy is not None))]["exponent"]
         if low == high:
             break
-    return best["exponent"], best
+    return best["exponent"], best | {"reached": good(best)}
 
 
 def source_plan(counted: DataFrame, target: MixTarget) -> DataFrame:
-    """(source, tokens, n, weight, epochs, full, rest): passes over each source, whole ones and the tokens of the cut one.
+    """(source, tokens, n, reached, weight, epochs, full, rest): passes over each source, whole ones and the tokens of the cut one.
 
     Sources without any token are passed over once and have weight 0.
     """
     sources = stash(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "mix-sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return sources.select("*", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"))
+        return sources.select("*", F.lit(True).alias("reached"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"))
     exponent, found = find_exponent(sources.where("tokens > 0"), total, target)
     p = F.col("tokens") / F.lit(float(total))
     some = F.col("tokens") > 0
     epochs = F.when(some, F.pow(p, F.lit(exponent - 1)) * F.lit(found["scale"])).otherwise(1.0)
     planned = sources.select(
         "*",
+        F.lit(found["reached"]).alias("reached"),
         F.when(some, F.pow(p, F.lit(exponent)) / F.lit(found["sum"])).otherwise(0.0).alias("weight"),
         # Nine digits: a pass that is whole but for the last bit of a float counts as whole.
         (F.floor(epochs * 1e9 + 0.5) / 1e9).alias("epochs"),
@@ -119,7 +120,7 @@ def permuted(counted: DataFrame, plan: DataFrame, target: MixTarget) -> DataFram
     spread over many tasks. Rows with equal key have equal ``upto``.
     """
     blocks = F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.col("rest") > 0, 0).otherwise(1))
-    rows = counted.join(plan.select(F.col("source").alias("s"), "n", "weight", "full", "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = counted.join(plan.select(F.col("source").alias("s"), "n", "reached", "weight", "full", "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.where("full > 0 or rest > 0").withColumn("block", F.explode(blocks))
     rows = rows.withColumn("key", order_key(target.seed, F.col("block"), F.col("doc_id")))
     buckets = F.ceil(F.col("n") / target.bucket_rows)
@@ -138,21 +139,21 @@ def permuted(counted: DataFrame, plan: DataFrame, target: MixTarget) -> DataFram
     rows = rows.select("*", F.row_number().over(inside).alias("rn"), F.sum("n_tokens").over(inside).alias("cum"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")) & (F.col("bucket") == F.col("b"))
     return rows.join(sums, on).select(
-        "doc_id", "source", "n_tokens", "weight", "full", "rest", "block", "key", (F.col("rows0") + F.col("rn") - 1).alias("before"), (F.col("sum0") + F.col("cum")).alias("upto")
+        "doc_id", "source", "n_tokens", "weight", "reached", "full", "rest", "block", "key", (F.col("rows0") + F.col("rn") - 1).alias("before"), (F.col("sum0") + F.col("cum")).alias("upto")
     )
 
 
 def mix(docs: DataFrame, target: MixTarget | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row for each time a document is passed: doc_id, source, n_tokens, weight, block, position (from 0 in its block).
+    """One row for each time a document is passed: doc_id, source, n_tokens, weight, reached, block, position (from 0 in its block).
 
-    Null text has no tokens; a null source is a source. Repeated rows are passed each. An empty table gives no rows.
+    ``reached`` is false in all rows if no exponent from 0 to 1 meets the target; the nearest one is taken then. Null text has no tokens; a null source is a source. Repeated rows are passed each. An empty table gives no rows.
     """
     target = target or MixTarget()
     counted = stash(count_tokens(docs, id_col, source_col, text_col), "mix-tokens")
     plan = stash(source_plan(counted, target), "mix-plan")
     rows = permuted(counted, plan, target)
     taken = rows.where((F.col("block") < F.col("full")) | (F.col("upto") <= F.col("rest")))
-    return taken.select("doc_id", "source", "n_tokens", "weight", "block", F.col("before").alias("position"))
+    return taken.select("doc_id", "source", "n_tokens", "weight", "reached", "block", F.col("before").alias("position"))
 
 
 def repeat_documents(docs: DataFrame, target: MixTarget | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -122,6 +122,15 @@ def test_mixing(spark, target):
     assert again == collections.Counter(r["doc_id"] for r in got)
 
 
+@pytest.mark.parametrize(
+    "target,reached",
+    [(source_mixing.MixTarget(max_repeats=50.0), True), (source_mixing.MixTarget(max_repeats=2.0, budget_tokens=10**6), False), (source_mixing.MixTarget(entropy=9.0), False), (source_mixing.MixTarget(entropy=0.5), True)],
+)
+def test_targets_out_of_reach_are_told(spark, target, reached):
+    plan = source_mixing.source_plan(source_mixing.count_tokens(documents(spark, mixed_rows())), target)
+    assert {r["reached"] for r in plan.select("reached").collect()} == {reached}
+
+
 CHAT = "conv_id long, turn long, role string, text string"
 
 
