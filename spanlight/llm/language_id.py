@@ -169,23 +169,24 @@ class Scorer:
         """
         n, none = len(words), self.other + 1
         sizes = np.fromiter(map(len, words), np.int64, n)
+        ends = set(sizes.tolist())
         ahead = np.zeros((self.longest + 1, n, self.probs.shape[1]))
         ahead[0] = 1
         scale = np.zeros(ahead.shape[1:])
         out = np.zeros(ahead.shape[1:])
         for at in range(sizes.max() + 1):
-            done = sizes == at
-            if done.any():
+            if at in ends:
+                done = sizes == at
                 out[done] = np.log(ahead[0, done]) + scale[done]
             if at == sizes.max():
                 break
             if at % chunk == 0:
                 ids = self.pieces_from(words, at, min(chunk, int(sizes.max()) - at))
-            for k in range(1, self.longest + 1):
+                lengths = [np.flatnonzero(some) for some in (ids != none).any(axis=2)]
+            for k in lengths[at % chunk]:
                 row = ids[at % chunk, k]
                 used = np.flatnonzero(row != none)
-                if len(used):
-                    ahead[k, used] += ahead[0, used] * self.probs[row[used]]
+                ahead[k, used] += ahead[0, used] * self.probs[row[used]]
             ahead[:-1] = ahead[1:]
             ahead[-1] = 0
             if at % pause == pause - 1:
