@@ -47,7 +47,7 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def piece_counts(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", memory: int = 200_000) -> DataFrame:
+def piece_counts(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str = "text", memory: int = 100_000) -> DataFrame:
     """(lang, piece, n): how often each piece of the vocabulary occurs in the documents of a language.
 
     Each task counts words first and cuts each distinct word once with the vocabulary's own segmentation;
@@ -129,9 +129,9 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
 
 
 class Scorer:
-    """Log-likelihoods of words by language; remembers words up to a number of them."""
+    """Log-likelihoods of words by language; remembers words up to a number of them, then only those it meets again."""
 
-    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 400_000):
+    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 100_000):
         _, pieces, self.longest = load(vocabulary)
         #: Of each string that begins a piece: the piece it is, or -1.
         self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
@@ -196,10 +196,8 @@ class Scorer:
                 scale += np.log(top)
         return out
 
-    def learn(self, words: set[str], letters: int = 60_000) -> None:
+    def learn(self, words: set[str], letters: int = 30_000) -> None:
         """Score words, as many of similar length at once as have about ``letters`` letters."""
-        if len(self.row) > self.memory:
-            self.row, self.logs = {}, self.logs[:0]
         listed = sorted(words, key=len)
         found, at = [self.logs], 0
         while at < len(listed):
@@ -217,9 +215,10 @@ class Scorer:
         split = [words_of(t) for t in texts]
         fresh = set().union(*split)
         if len(self.row) > self.memory:
-            self.learn(fresh)
-        else:
-            self.learn(fresh - self.row.keys())
+            again = list(fresh & self.row.keys())
+            self.logs = self.logs[[self.row[w] for w in again]]
+            self.row = {w: k for k, w in enumerate(again)}
+        self.learn(fresh - self.row.keys())
         return [self.logs[list(map(self.row.__getitem__, words))].sum(axis=0) if words else None for words in split]
 
 
