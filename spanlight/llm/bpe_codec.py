@@ -102,7 +102,7 @@ class WordBpe:
                 until, a = rank[a], self.right[a]
             else:
                 until, b = rank[b] + 1, self.left[b]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[key] = fits
         return fits
@@ -190,9 +190,9 @@ def load(path: str) -> WordBpe:
 
 
 class Encoder:
-    """Encodes batches of texts; remembers words up to a number of them."""
+    """Encodes batches of texts; remembers words up to a number of them, then only those it meets again."""
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 100_000):
         self.bpe, self.memory = load(path), memory
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
@@ -200,9 +200,11 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers and the decoded text (tokens joined by spaces), for each text."""
         split = [self.bpe.split(t) if t else [] for t in texts]
+        fresh = set().union(*split)
         if len(self.ids) > self.memory:
-            self.ids, self.text = {}, {}
-        fresh = set().union(*split) - self.ids.keys()
+            again = fresh & self.ids.keys()
+            self.ids, self.text = ({w: held[w] for w in again} for held in (self.ids, self.text))
+        fresh -= self.ids.keys()
         for word in fresh & self.bpe.special.keys():
             self.ids[word], self.text[word] = self.bpe.special[word].to_bytes(4, "little"), word
         text_of = self.bpe.text_of
