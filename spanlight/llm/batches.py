@@ -11,7 +11,8 @@ import pyarrow.compute  # noqa: F401
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut batches into runs of rows with about ``limit`` bytes of ``column``, and the column as a list.
 
-    A single longer text is a run of its own, so memory depends on the longest text only.
+    A single longer text is a run of its own, so memory depends on the longest text only. Arrow's memory goes back to the
+    system after the last batch, as a Python worker lives on between tasks.
     """
     for batch in batches:
         at, size = 0, 0
@@ -26,6 +27,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         if at < len(lengths):
             part = batch.slice(at)
             yield part, part.column(column_at).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:

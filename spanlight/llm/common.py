@@ -17,9 +17,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch where the session leaves Spark's own number: texts are long, and a batch is held on both sides.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once per application; Spark hands it out like any other file."""
-    context = spark.sparkContext
+    """Give this package to the executors' Python, once per application; Spark hands it out like any other file.
+
+    A session that has Spark's default of 10,000 rows in an Arrow batch goes on with ``ARROW_ROWS``; another number stays.
+    """
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     if getattr(context, "_spanlight_shipped", False):
         return
     package = Path(__file__).parent.parent
