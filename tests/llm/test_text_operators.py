@@ -248,6 +248,19 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(scorer(["z" * 50_000])[0]).all()
 
 
+def test_scored_words_that_are_forgotten_or_kept_do_not_change_results():
+    nprng, rng = np.random.default_rng(3), random.Random(3)
+    size = max(language_id.load(PIECES)[1].values()) + 1
+    model = language_id.LanguageGroup(["x", "y"], nprng.random((size + 2, 2)) / size)
+    model.probs[-1] = 0
+    words = ["".join(rng.choice("etaoins") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(40)]
+    small, large = language_id.Scorer(model, PIECES, memory=5), language_id.Scorer(model, PIECES)
+    got = [small([t])[0] for t in texts]
+    assert np.allclose(got, large(texts), rtol=1e-12)
+    assert len(small.row) < len(large.row)
+
+
 def test_held_out_fold(spark):
     ids = [0, 1, 2, 7, -3, 10**15, *range(100, 400), None]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()
