@@ -131,7 +131,7 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
 class Scorer:
     """Log-likelihoods of words by language; remembers words up to a number of them, then only those it meets again."""
 
-    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 100_000):
+    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 250_000):
         _, pieces, self.longest = load(vocabulary)
         #: Of each string that begins a piece: the piece it is, or -1.
         self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
@@ -196,7 +196,7 @@ class Scorer:
                 scale += np.log(top)
         return out
 
-    def learn(self, words: set[str], letters: int = 30_000) -> None:
+    def learn(self, words: set[str], letters: int = 60_000) -> None:
         """Score words, as many of similar length at once as have about ``letters`` letters."""
         listed = sorted(words, key=len)
         found, at = [self.logs], 0
