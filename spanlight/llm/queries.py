@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm import bpe_codec, chat_format, exact_dedup, language_id, license_scan, line_dedup, near_dedup, quality_rules, sharding, source_mixing
+from spanlight.llm import bpe_codec, chat_format, collocations, exact_dedup, language_id, lexical_search, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, source_mixing
 
 #: Vocabulary files, the same path on every machine.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.predict(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
@@ -186,5 +202,38 @@ done AS (SELECT l.doc_id, count(*) AS n_lines, count(dead.i) AS n_deleted,
                 coalesce(string_agg(raw, chr(10) ORDER BY l.i) FILTER (WHERE dead.i IS NULL), '') AS body
          FROM l LEFT JOIN dead ON l.doc_id = dead.doc_id AND l.i = dead.i GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_deleted, sha256(body) AS text_sha256 FROM done
+""",
+    "op11_collocations": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM s)),
+f AS (SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY lang, g HAVING count(*) >= 100),
+inside AS (SELECT lang, g[i:i + k - 1] AS g, max(f) AS f FROM
+             (SELECT lang, g, f, i, unnest(range(2, least(len(g) - 1, len(g) - i + 1) + 1)) AS k FROM (SELECT *, unnest(range(1, len(g))) AS i FROM f WHERE len(g) > 2))
+           GROUP BY 1, 2),
+c AS (SELECT f.lang, f.g, f.f AS a, unnest(range(1, len(f.g))) AS k FROM f LEFT JOIN inside ON f.lang = inside.lang AND f.g = inside.g
+      WHERE len(f.g) >= 2 AND (inside.f IS NULL OR inside.f < f.f)),
+x AS (SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.k] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.k + 1:] JOIN totals ON totals.lang = c.lang),
+best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM x QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+""",
+    "op12_lexical_search": """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT item_id, unnest(list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+i AS (SELECT item_id, term, count(*) AS often FROM q GROUP BY 1, 2),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+s AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 25 + (75 * len(w) * big_n) // big_l AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term, big_n),
+x AS (SELECT item_id, doc_id, sum(often * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 10
 """,
 }
