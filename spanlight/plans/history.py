@@ -10,7 +10,7 @@ from spanlight.operators import temporal as tm
 from spanlight.plans import bindings as b
 from spanlight.plans.bindings import NOW, NOW_ORDERS, sql
 from spanlight.sources.tables import read_table
-from spanlight.streaming import gates
+from spanlight.streaming import gates, timers
 from spanlight.streaming.run import drain
 
 
@@ -76,15 +76,35 @@ def run_gate(spark, d):
 
 
 def run_tumbling(spark, d):
-    made = drain(spark, d, "events", lambda e: gates.tumbling(e, "ts", ["event_type"], "value"))
+    made = drain(spark, d, "events", lambda e: gates.tumbling(e, "ts", ["event_type"], "value"), ts="ts")
     return made.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", half_up("total", 2).alias("total"))
 
 
 def run_sessions(spark, d):
-    made = drain(spark, d, "events", lambda e: gates.sessions(e, "ts", ["user_id"]))
+    made = drain(spark, d, "events", lambda e: gates.sessions(e, "ts", ["user_id"]), ts="ts")
     return made.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "n")
 
 
+def marked_rows(spark, d, moments):
+    """The rows of the accepted moments, users as keys."""
+    found = timers.rows_at(gate_source(spark, d), "ts", moments)
+    return found.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("score"))
+
+
+def run_one_marker(spark, d):
+    return marked_rows(spark, d, drain(spark, d, "events", lambda e: timers.one_marker(e, "ts"), ts="ts"))
+
+
+def run_retries(spark, d):
+    made = drain(spark, d, "events", lambda e: timers.retries_due(e, "user_id", "ts", F.col("event_type") != "error", F.col("event_id")), ts="ts")
+    return made.select(F.col("key").cast("long").alias("key"), "failure_count", "due_ms")
+
+
+def run_expiries(spark, d):
+    made = drain(spark, d, "events", lambda e: timers.expiries(e, "user_id", "ts", 86_400_000), ts="ts")
+    return made.select(F.col("key").cast("long").alias("key"), "expired_ms")
+
+
 def angles(spark, d):
     made = rank.donut_angles(rank.top_with_remainder(country_scores(spark, d), 5, "score", "country"), "value", "label")
     return made.select("label", *[half_up(c, 6).alias(c) for c in ("start", "end", "mid")])
@@ -119,6 +139,10 @@ QUERIES = {
     "continent_spread": lambda s, d: rank.centroid_spread(b.places(s, d).where("lat is not null").join(b.membership(s, d), "country")),
     "stream_snapshot_gate": run_gate,
     "snapshot_gate": lambda s, d: gates.batch_gate(gate_source(s, d), F.col("event_type"), "ts", "value", 12.0).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "score"),
+    "one_marker_gate": lambda s, d: marked_rows(s, d, timers.one_marker_batch(gate_source(s, d), "ts")),
+    "stream_one_marker_gate": run_one_marker,
+    "stream_retries_due": run_retries,
+    "stream_expiries": run_expiries,
     "stream_tumbling": run_tumbling,
     "tumbling": lambda s, d: gates.tumbling(gate_source(s, d), "ts", ["event_type"], "value").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", half_up("total", 2).alias("total")),
     "stream_session": run_sessions,
@@ -143,6 +167,19 @@ WITH RECURSIVE g AS (
   SELECT key, ts FROM (SELECT g.key, min(e.ts) AS ts FROM g JOIN events e ON e.event_type = g.key AND e.ts >= g.ts + INTERVAL 12 HOURS GROUP BY g.key))
 SELECT g.key, g.ts, e.value AS score FROM g JOIN events e ON e.event_type = g.key AND e.ts = g.ts
 """
+MARKER = """
+WITH RECURSIVE g AS (
+  SELECT min(ts) AS ts FROM events
+  UNION ALL
+  SELECT ts FROM (SELECT min(e.ts) AS ts FROM g JOIN events e ON e.ts >= g.ts + INTERVAL 12 HOURS) WHERE ts IS NOT NULL)
+SELECT user_id AS key, e.ts, value AS score FROM g JOIN events e ON e.ts = g.ts
+"""
+TUMBLING = "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, floor(sum(value) * 100.0 + 0.5) / 100.0 AS total FROM events GROUP BY 1, 2"
+SESSIONS = """
+WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events),
+y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM y GROUP BY user_id, s
+"""
 GLOBAL = """
 gm AS (SELECT year, month, floor(sum(avg_score::DECIMAL(24, 4))::DOUBLE * 10.0 + 0.5) / 10.0 AS total_score, count(*) AS key_count, false AS is_current FROM monthly GROUP BY 1, 2
        UNION ALL SELECT year, month, floor(sum(avg_score::DECIMAL(24, 4))::DOUBLE * 10.0 + 0.5) / 10.0, count(*), true FROM current GROUP BY 1, 2)
@@ -216,18 +253,21 @@ SELECT 'global' AS key, score, CASE WHEN c >= 1 THEN 'rising' WHEN c <= -1 THEN
     ),
     "stream_snapshot_gate": GATE,
     "snapshot_gate": GATE,
-    # The stream holds back what its watermark, a day behind the newest event, has not passed.
-    "stream_tumbling": "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, floor(sum(value) * 100.0 + 0.5) / 100.0 AS total FROM events GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
-    "stream_session": """
-WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events),
-y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM y GROUP BY user_id, s
-HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+    "one_marker_gate": MARKER,
+    "stream_one_marker_gate": MARKER,
+    "stream_retries_due": """
+WITH a AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, ts, event_id, event_type <> 'error' AS ok FROM events),
+r AS (SELECT *, sum(ok::INT) OVER w AS run, lead(ms) OVER w AS later FROM a WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY ts, event_id) AS n FROM r WHERE NOT ok),
+d AS (SELECT key, n AS failure_count, ms + least(21600000, 300000 * 2 ** least(n - 1, 40))::BIGINT AS due_ms, later FROM c)
+SELECT key, failure_count, due_ms FROM d WHERE later IS NULL OR later >= due_ms
 """,
-    "tumbling": "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, floor(sum(value) * 100.0 + 0.5) / 100.0 AS total FROM events GROUP BY 1, 2",
-    "sessions": """
-WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM events),
-y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS n FROM y GROUP BY user_id, s
+    "stream_expiries": """
+WITH a AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events)
+SELECT key, ms + 86400000 AS expired_ms FROM a WHERE later IS NULL OR later > ms + 86400000
 """,
+    "stream_tumbling": TUMBLING,
+    "stream_session": SESSIONS,
+    "tumbling": TUMBLING,
+    "sessions": SESSIONS,
 }
