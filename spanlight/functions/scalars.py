@@ -204,3 +204,21 @@ def turkish_number(n: Column | str) -> Column:
 def year_of(date: Column | str) -> Column:
     """The year that a date's text begins with; null if it does not begin with four digits."""
     return F.left(col(date), F.lit(4)).try_cast("int")
+
+
+def truncated(s: Column | str, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.left(col(s), F.lit(most))
+
+
+def cookie_map(header: Column | str) -> Column:
+    """A cookie header as a map: parts by ``;``, trimmed names and values, values percent-decoded; of equal names the last.
+
+    Parts without ``=`` and without a name go; a value that is no valid encoding is null. Null and empty headers give an empty map.
+    """
+    pairs = F.filter(F.split(F.coalesce(col(header), F.lit("")), ";", -1), lambda p: F.contains(p, F.lit("=")))
+    name = lambda p: F.trim(F.substring_index(p, "=", 1))
+    value = lambda p: F.try_url_decode(F.replace(F.trim(F.substr(p, F.instr(p, "=") + 1)), F.lit("+"), F.lit("%2B")))
+    named = F.filter(pairs, lambda p: name(p) != "")
+    last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda q: name(q) == name(p)))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(name(p).alias("name"), value(p).alias("value"))))

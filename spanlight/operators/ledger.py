@@ -51,3 +51,8 @@ def over_limit(events: DataFrame, most: int, minutes: int, key: str = "key", ts:
     w = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")
     counted = events.groupBy(key, w.alias("w")).agg(F.count("*").alias("attempts")).where(F.col("attempts") > most)
     return counted.select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "attempts")
+
+
+def existing(rows: DataFrame, condition: Column) -> DataFrame:
+    """One row (count, exists): how many rows there are that the condition holds for, null counting as not."""
+    return rows.agg(F.count_if(condition).alias("count")).select("count", (F.col("count") > 0).alias("exists"))

@@ -42,22 +42,31 @@ def suggest_controls(targets: DataFrame, candidates: DataFrame, excluded: DataFr
 
     ``candidates``: (key, region, income, gdp) of all keys; a target is never its own control, nor is an excluded key. 2 for
     the same region (two unknown regions are the same), 2 for the same income group, up to 2 for a similar gdp, and
-    0.01 if both gdps are known. At least one reason is needed. Ties: the smaller key.
+    0.01 if both gdps are known. At least one reason is needed. Ties: the smaller key, among scores that agree to four decimals.
 
-    Instead of pairing every target with every candidate, targets meet the candidates that share region or income in
-    equi-joins. A pair that shares neither has only its gdp score, so it can win only with the nearest gdp: the
-    neighbours by gdp on each side are found with an ordered window over targets and candidates.
+    No target meets all candidates of its region or income group. Within those that share both, the region, the income group, or
+    nothing, only the nearest by gdp on either side can win, or the smallest keys where gdp decides nothing; so each target has a
+    handful of candidates, whatever the size of a group.
     """
-    pool = candidates.join(excluded.select(key).distinct(), key, "left_anti")
-    cand = pool.select(F.col(key).alias("control"), F.col("region").alias("r2"), F.col("income").alias("i2"), F.col("gdp").alias("g2"))
-    t = candidates.join(targets.select(key).distinct(), key, "left_semi").select(key, "region", "income", "gdp")
-    other = F.col(key) != F.col("control")
-    near = _gdp_neighbours(t, pool, key)
-    found = (
-        t.join(cand, F.col("region").eqNullSafe(F.col("r2")) & other)
-        .unionByName(t.join(cand, (F.col("income") == F.col("i2")) & other))
-        .unionByName(t.join(near, key).join(cand, "control").select(*t.columns, *cand.columns))
-    )
+    pool = candidates.join(excluded.select(key).distinct().withColumn("_out", F.lit(True)), key, "left")
+    pool = pool.join(targets.select(key).distinct().withColumn("_want", F.lit(True)), key, "left")
+    log = F.when(F.col("gdp") > 0, F.ln("gdp"))
+    rows = pool.select(key, "region", "income", "gdp", log.alias("x"), F.col("_out").isNull().alias("cand"), F.col("_want").isNotNull().alias("want"))
+    named = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    both, same_region = F.concat(F.lit("b"), named("region"), named("income")), F.concat(F.lit("r"), named("region"))
+    groups = F.array(F.when(F.col("income").isNotNull(), both), same_region, F.when(F.col("income").isNotNull(), F.concat(F.lit("i"), named("income"))), F.when(F.col("x").isNotNull(), F.lit("all")))
+    grouped = rows.select(key, "x", "cand", "want", F.explode(F.array_compact(groups)).alias("g"))
+    wanted = grouped.where("want")
+    near = _neighbours(grouped, key)
+    by_gdp = wanted.where("x is not null").select(key, "g", "x").join(near, ["g", "x"]).select(key, F.explode("controls").alias("control"))
+    least = _smallest(grouped.where("cand and g <> 'all'").withColumn("known", F.col("x").isNotNull()), ["g", "known"], key)
+    least = least.groupBy("g").agg(F.collect_list("_k").alias("controls"))  # four at most
+    by_key = wanted.where("g <> 'all'").select(key, "g").join(least, "g").select(key, F.explode("controls").alias("control"))
+    handful = by_gdp.unionByName(by_key).where(F.col("control") != F.col(key)).distinct()
+
+    mine = rows.where("want").select(key, "region", "income", "gdp")
+    theirs = rows.where("cand").select(F.col(key).alias("control"), F.col("region").alias("r2"), F.col("income").alias("i2"), F.col("gdp").alias("g2"))
+    found = handful.join(mine, key).join(theirs, "control")
     same_region = F.col("region").eqNullSafe(F.col("r2"))
     same_income = F.coalesce(F.col("income") == F.col("i2"), F.lit(False))
     gdp = log_distance_score("gdp", "g2")
@@ -68,19 +77,29 @@ def suggest_controls(targets: DataFrame, candidates: DataFrame, excluded: DataFr
     return scored.groupBy(key).agg(best).select(key, "b.control", "b.score", "b.reasons")
 
 
-def _gdp_neighbours(targets: DataFrame, pool: DataFrame, key: str, bucket: float = 0.5) -> DataFrame:
-    """(key, control): for each target, pool members whose logarithm of gdp is nearest; further than 1 gives no reason.
+def _smallest(rows: DataFrame, by: list[str], key: str, n: int = 2) -> DataFrame:
+    """(by…, _k): the ``n`` smallest keys of each group; tasks keep ``n`` of their own before the shuffle."""
+    ranked = rows.select(*by, F.col(key).alias("_k")).withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_k")))
+    return ranked.where(F.col("_r") <= n).drop("_r")
 
-    Logarithms within 1 of each other lie in the same or the next two buckets of half a unit, so the range join is an
-    equi-join on buckets; the nearest member of each bucket on each side is enough.
+
+def _neighbours(grouped: DataFrame, key: str, cells: int = 1024) -> DataFrame:
+    """(g, x, controls): at each place ``x`` of a target, the two smallest candidates there and one at the next place on each side.
+
+    A group is cut into cells of a ``cells``-th of a unit of the logarithm. Places meet in an ordered window inside their cell, and the ends of
+    cells in one over the cells of a group, so a group of any size is spread; a group has few cells, as logarithms are small numbers.
     """
-    log_t = targets.where("gdp > 0").select(F.col(key), F.ln("gdp").alias("lt"))
-    log_c = pool.where("gdp > 0").select(F.col(key).alias("control"), F.ln("gdp").alias("lc"))
-    reach = int(1 / bucket) + 1
-    spread = log_t.withColumn("b", F.explode(F.array(*[F.floor(F.col("lt") / bucket) + k for k in range(-reach, reach + 1)])))
-    pairs = spread.join(log_c.withColumn("b", F.floor(F.col("lc") / bucket)), "b").where((F.col(key) != F.col("control")) & (F.abs(F.col("lt") - F.col("lc")) < 1))
-    nearest = F.row_number().over(W.partitionBy(key).orderBy(half_up(F.abs(F.col("lt") - F.col("lc")), 4), "control"))
-    return pairs.withColumn("_r", nearest).where("_r = 1").select(key, "control")
+    known = grouped.where("x is not null")
+    here = _smallest(known.where("cand"), ["g", "x"], key).groupBy("g", "x").agg(F.min("_k").alias("k1"), F.max("_k").alias("k2"))
+    places = here.unionByName(known.where("want").select("g", "x"), allowMissingColumns=True).groupBy("g", "x").agg(F.max("k1").alias("k1"), F.max("k2").alias("k2"))
+    places = places.withColumns({"cell": F.floor(F.col("x") * cells), "near": F.when(F.col("k1").isNotNull(), F.struct("x", "k1"))})
+    inside, across = W.partitionBy("g", "cell").orderBy("x"), W.partitionBy("g").orderBy("cell")
+    earlier, later = (lambda w: w.rowsBetween(W.unboundedPreceding, -1)), (lambda w: w.rowsBetween(1, W.unboundedFollowing))
+    ends = places.groupBy("g", "cell").agg(F.min("near").alias("low"), F.max("near").alias("high"))
+    ends = ends.select("g", "cell", F.last("high", True).over(earlier(across)).alias("below"), F.first("low", True).over(later(across)).alias("above"))
+    sided = places.withColumns({"before": F.last("near", True).over(earlier(inside)), "after": F.first("near", True).over(later(inside))}).join(ends, ["g", "cell"])
+    controls = F.array("k1", "k2", F.coalesce("before", "below")["k1"], F.coalesce("after", "above")["k1"])
+    return sided.select("g", "x", F.array_distinct(F.array_compact(controls)).alias("controls"))
 
 
 def paired_panels(controls: DataFrame, pairs: DataFrame, key: str = "key") -> DataFrame:

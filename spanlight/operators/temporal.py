@@ -48,6 +48,37 @@ def keep_last(history: DataFrame, n: int, key: str | list[str] = "key", order: s
     return history.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
 
+def newest_points(history: DataFrame, n: int = 20, key: str = "key", order: list[str] | None = None) -> DataFrame:
+    """(key, points): the newest ``n`` rows of each key as an array of structs, oldest first.
+
+    Each task keeps ``n`` rows of a key before the shuffle, so a key's whole history never meets in one task. Ties go by the
+    later order columns; the struct begins with them.
+    """
+    orders = order or ["ts"]
+    rest = [c for c in history.columns if c != key and c not in orders]
+    kept = keep_last(history, n, key, orders)
+    return kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*orders, *rest))).alias("points"))
+
+
+def trend_rows(current: DataFrame, history: DataFrame, now: Column, n: int = 20, key: str = "key", score: str = "score", ts: str = "ts", order: list[str] | None = None, proxy: Column | None = None, limit: float = 5.0) -> DataFrame:
+    """``trends`` of each current row with its newest ``n`` points, oldest first; rows without history have an empty list.
+
+    ``proxy`` marks rows whose score is made up: they have no trend and no points, whatever the history says.
+    """
+    told = trends(current, history, now, key, score, ts, limit)
+    joined = told.join(newest_points(history, n, key, order or [ts]), key, "left")
+    none = F.array().cast(joined.schema["points"].dataType)
+    if proxy is None:
+        return joined.withColumn("points", F.coalesce("points", none))
+    made_up = current.where(proxy).select(key).distinct().withColumn("_proxy", F.lit(True))
+    joined = joined.join(made_up, key, "left")
+    real = F.col("_proxy").isNull()
+    return joined.select(
+        key, "score", F.when(real, F.col("direction")).otherwise(INSUFFICIENT).alias("direction"), F.when(real, F.col("change_pct")).alias("change_pct"),
+        F.when(real, F.col("window_days")).alias("window_days"), F.coalesce(F.when(real, F.col("points")), none).alias("points"),
+    )
+
+
 def min_max(df: DataFrame, value: str, real: Column | None = None, key: list[str] | None = None, out: str = "t") -> DataFrame:
     """Scale to 0..1 by the range of the ``real`` rows (of each key), applied to all; a range of 0 counts as 1.
 

@@ -67,6 +67,55 @@ def classify(docs: DataFrame, classifier: Classifier, labels: list[str], text_co
     return told.select("id", F.when(known, F.col("label")).alias("label"), F.when(known, confidence("confidence")).alias("confidence"))
 
 
+#: A multi-label classifier takes texts and gives, for each, a list of labels (empty: none fits) or None (no answer).
+MultiClassifier = Callable[[pd.Series], list[list[str] | None]]
+
+
+def keyword_multi_classifier(labels: dict[str, list[str]]) -> MultiClassifier:
+    """Deterministic default: all labels of which a keyword is in the text, in the order of ``labels``. Turkish lower case.
+
+    One automaton holds the keywords of all labels, so a text is read once, however many there are. It is built once for each task.
+    """
+    order, built = list(labels), []
+
+    def fold(text: str) -> str:
+        return text.replace("İ", "i").replace("I", "ı").lower()
+
+    def classify(texts: pd.Series) -> list[list[str] | None]:
+        if not built:
+            import ahocorasick
+
+            owners: dict[str, set[int]] = {}
+            for at, words in enumerate(labels.values()):
+                for word in filter(None, map(fold, words)):
+                    owners.setdefault(word, set()).add(at)
+            machine = ahocorasick.Automaton()
+            for word, found in owners.items():
+                machine.add_word(word, found)
+            if owners:
+                machine.make_automaton()
+            built.append(machine if owners else None)
+        machine = built[0]
+        hits = (set().union(*(found for _, found in machine.iter(fold(t)))) if machine else set() for t in texts.fillna(""))
+        return [[order[k] for k in sorted(found)] for found in hits]
+
+    return classify
+
+
+def classify_many(docs: DataFrame, classifier: MultiClassifier, valid: list[str], text_col: str = "text", id_col: str = "id") -> DataFrame:
+    """(id, labels): the classifier's labels in its order, each once, without those that are not in ``valid``.
+
+    An empty list is an answer (none fits); null is no answer, and the row may be asked again. A null text is asked as empty.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "labels": pd.Series(classifier(pdf["text"]), dtype=object)})
+
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id long, labels array<string>")
+    return told.select("id", F.array_intersect("labels", F.array(*[F.lit(v) for v in valid]).cast("array<string>")).alias("labels"))
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame, id_col: str = "id", name: str = "model", fallback_name: str = "keyword") -> DataFrame:
     """(id, label, confidence, method, pending): the primary answer, else the fallback, which stays pending."""
     p = primary.select(id_col, F.col("label").alias("pl"), F.col("confidence").alias("pc"))

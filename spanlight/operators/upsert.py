@@ -51,6 +51,41 @@ def overlay(base: DataFrame, corrections: DataFrame, keys: list[str], columns: l
     return joined.select(*[F.coalesce(f"_{x}", x).alias(x) if x in columns else F.col(x) for x in base.columns])
 
 
+def set_columns(base: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Three-valued updates of known keys: a column is left, set, or set to null.
+
+    ``updates`` has, for each column, its new value and a boolean ``<column>_set``: only where that is true the value is taken, a
+    null one too. Updates must be unique by key; those of unknown keys do nothing.
+    """
+    u = updates.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], *[F.col(f"{c}_set").alias(f"_{c}_set") for c in columns])
+    joined = base.join(u, keys, "left")
+    return joined.select(*[F.when(F.coalesce(F.col(f"_{c}_set"), F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
+
+
+def clear_columns(base: DataFrame, gone: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The columns of the keys in ``gone`` become null, as when an override is taken back."""
+    nulls = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in columns]
+    return set_columns(base, gone.select(*keys).distinct().select(*keys, *nulls, *[F.lit(True).alias(f"{c}_set") for c in columns]), keys, columns)
+
+
+class DuplicateKeyError(ValueError):
+    """A row to be inserted has a key that is there already, or that comes twice."""
+
+
+def insert_once(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``base`` and ``rows``; raises ``DuplicateKeyError`` if any key of ``rows`` is in ``base`` or comes twice. Null keys are keys.
+
+    Only the keys are read for the test: those of ``rows`` are counted, and looked for in ``base``.
+    """
+    twice = rows.groupBy(*keys).count().where("count > 1")
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
+    known = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).join(base.select(*keys), same, "left_semi")
+    found = twice.select(*keys).unionByName(known.toDF(*keys)).first()
+    if found is not None:
+        raise DuplicateKeyError(f"key {tuple(found)} is there already")
+    return base.unionByName(rows)
+
+
 def migrate(df: DataFrame, add: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
     """Columns that are missing are added and filled; columns that are no longer wanted go."""
     missing = {name: value for name, value in add.items() if name not in df.columns}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from spanlight.functions.scalars import half_up, null_if_na, truthy_or
+from spanlight.functions.scalars import half_up, null_if_na, parse_rating, parse_votes, split_names, truthy_or, turkish_lower
 
 PAGE = "page int, results array<struct<id:bigint,name:string,popularity:double,poster_path:string,first_air_date:string,overview:string>>"
 CREDITS = "id bigint, cast array<struct<id:bigint,name:string,character:string,profile_path:string,ord:int>>"
@@ -95,17 +95,44 @@ def absolute_url(base: Column, href: Column) -> Column:
     return F.when(href.rlike(r"^\w+://"), href).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, F.lit("/"), href))
 
 
-def first_bulletin(links: DataFrame, phrase: str, months: dict[str, int]) -> DataFrame:
-    """(id, href, month, year): of each page the first link whose text has the phrase, a month's name and a year."""
-    month = None
+def month_number(text: Column, months: dict[str, int]) -> Column:
+    """The number of the first of ``months`` whose name is in the text, both in Turkish lower case; null if none is."""
+    low, found = turkish_lower(text), F.lit(None).cast("int")
     for name, number in reversed(list(months.items())):
-        hit = F.contains(F.upper("text"), F.lit(name.upper()))
-        month = F.when(hit, number) if month is None else F.when(hit, number).otherwise(month)
+        found = F.when(F.contains(low, turkish_lower(F.lit(name))), number).otherwise(found)
+    return found
+
+
+def first_bulletin(links: DataFrame, phrase: str, months: dict[str, int], suffix: str = ".xls") -> DataFrame:
+    """(id, href, month, year, title): of each page the first link to a sheet whose text has the phrase, a month's name and a year.
+
+    The link must contain ``suffix``; words of the phrase may stand apart by any white space or none, in any case.
+    """
+    pattern = "(?iu)" + r"\s*".join("".join(c if c.isalnum() else f"\\{c}" for c in w) for w in phrase.split())
     year = F.nullif(F.regexp_extract("text", r"(\d{4})", 1), F.lit("")).cast("int")
-    found = links.select("id", "pos", "href", month.alias("month"), year.alias("year")).where(
-        F.contains(F.upper("text"), F.lit(phrase.upper())) & F.col("month").isNotNull() & F.col("year").isNotNull()
-    )
-    return found.groupBy("id").agg(F.min_by(F.struct("href", "month", "year"), "pos").alias("b")).select("id", "b.*")
+    sheets = links.where(F.contains(F.lower("href"), F.lit(suffix)) & F.col("text").rlike(pattern))
+    found = sheets.select("id", "pos", "href", month_number(F.col("text"), months).alias("month"), year.alias("year"), F.trim("text").alias("title")).where("month is not null and year is not null")
+    return found.groupBy("id").agg(F.min_by(F.struct("href", "month", "year", "title"), "pos").alias("b")).select("id", "b.*")
+
+
+def rating_records(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """(key, found, rating, votes, top_cast) of JSON answers; one that says ``Response: False``, or does not parse, is not found and has nulls.
+
+    ``N/A`` is null, and an empty list for the cast.
+    """
+    a = F.from_json(payload, "Response string, imdbRating string, imdbVotes string, Actors string")
+    found = a["Response"].isNotNull() & (a["Response"] != "False")
+    cast = F.when(a["Actors"].isNull() | (a["Actors"] == "N/A"), F.array().cast("array<string>")).otherwise(split_names(a["Actors"]))
+    return rows.select(
+        "key", F.coalesce(found, F.lit(False)).alias("found"), F.when(found, parse_rating(a["imdbRating"])).alias("rating"),
+        F.when(found, parse_votes(a["imdbVotes"])).alias("votes"), F.when(found, cast).alias("top_cast"),
+    )
+
+
+def latest_indicator(rows: DataFrame, code: str = "code", value: str = "value", ordinal: str = "ordinal") -> DataFrame:
+    """(code, value): the last value of each country; rows without a value or a code (null or empty) go first."""
+    usable = rows.where(F.col(value).isNotNull() & (F.coalesce(code, F.lit("")) != ""))
+    return usable.groupBy(code).agg(F.max_by(value, ordinal).alias(value))
 
 
 def linked_data(pages: DataFrame, kind: str = "TVSeries", html: str = "html", id_col: str = "page_id") -> DataFrame:
