@@ -11,8 +11,8 @@ PART = 1 << 15  # bits of one row of the bitmap
 MOST = 1 << 27  # bits of the whole bitmap at most: 16 MB
 
 
-def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``docs`` whose ``key`` may be among ``keys``, rows where it is not for certain).
+def flag_by_keys(docs: DataFrame, key: Column, keys: DataFrame, name: str, most: int = MOST) -> DataFrame:
+    """``docs`` in one pass, with a boolean column ``name`` more: whether ``key`` may be among ``keys`` (false: it is not, for certain).
 
     ``keys``: a written table with one column of long hashes, as ``key`` is. The bitmap has 16 bits for each of them, but no
     more than ``most``: with more keys more rows are held possible, and none is lost.
@@ -29,5 +29,12 @@ def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, most: int = MOS
     within = F.col(spot) % PART
     byte = F.conv(F.hex(F.substring(F.col(held), F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.call_function("shiftright", byte, (within % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], hit.alias(name))
+
+
+def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose ``key`` may be among ``keys``, rows where it is not for certain), by ``flag_by_keys``."""
+    (name,) = fresh(docs, "__hit")
+    flagged = flag_by_keys(docs, key, keys, name, most)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.where(hit).select(*names), joined.where(~hit).select(*names)
+    return flagged.where(F.col(name)).select(*names), flagged.where(~F.col(name)).select(*names)

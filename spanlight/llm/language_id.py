@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,6 +30,9 @@ from spanlight.llm.common import fresh, ship, stash
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"  # begins the pieces that begin a word
 UNKNOWN = "und"
+GAP = "\n"  # between words that are looked through together; no piece has it
+PACK = 1 << 10
+WORD_BYTES = 150  # of a remembered word besides its numbers: the text, and its place in the table
 
 COUNTS = "lang string, piece int, n long"
 COUNTS_ARROW = pa.schema([("lang", pa.string()), ("piece", pa.int32()), ("n", pa.int64())])
@@ -43,6 +47,16 @@ def load(path: str) -> tuple[sentencepiece.SentencePieceProcessor, dict[str, int
     return model, pieces, max(map(len, pieces))
 
 
+@lru_cache(maxsize=2)
+def piece_finder(path: str) -> ahocorasick.Automaton:
+    """Finds all pieces in a text in one pass; the value of a piece is its number times ``PACK`` and its length."""
+    machine = ahocorasick.Automaton()
+    for piece, number in load(path)[1].items():
+        machine.add_word(piece, number * PACK + len(piece))
+    machine.make_automaton()
+    return machine
+
+
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
@@ -129,34 +143,31 @@ def fit(docs: DataFrame, vocabulary: str, lang_col: str = "lang", text_col: str
 
 
 class Scorer:
-    """Log-likelihoods of words by language; remembers words up to a number of them, then only those it meets again."""
+    """Log-likelihoods of words by language; remembers words up to about ``memory`` bytes, then only those it meets again."""
 
-    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 250_000):
+    def __init__(self, model: LanguageGroup, vocabulary: str, memory: int = 48 << 20):
         _, pieces, self.longest = load(vocabulary)
-        #: Of each string that begins a piece: the piece it is, or -1.
-        self.starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
-        self.probs, self.memory = model.probs, memory
+        self.finder = piece_finder(vocabulary)
+        self.probs = model.probs
+        self.most = max(1, memory // (8 * len(model.langs) + WORD_BYTES))
         self.other = len(model.probs) - 2  # row of letters outside the vocabulary; the row after it is zero
         self.row: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.langs)))
+        self.logs = np.empty((1024, len(model.langs)))  # grows by doubling; the first len(self.row) rows are in use
 
     def pieces_from(self, words: list[str], begin: int, count: int) -> np.ndarray:
         """[start - begin, length, word]: the piece of that length at that place; a letter alone is always one."""
-        n, none, known = len(words), self.other + 1, self.starts.get
-        deep = self.longest + 1
-        cells, values = [], []
-        for w, s in enumerate(words):
-            size = len(s)
-            for start in range(begin, min(size, begin + count)):
-                for end in range(start + 1, size + 1):
-                    piece = known(s[start:end])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        cells.append(((start - begin) * deep + end - start) * n + w)
-                        values.append(piece)
+        n, none, deep = len(words), self.other + 1, self.longest + 1
+        parts = [w[begin : begin + count + deep - 2] for w in words]
+        sizes = np.fromiter(map(len, parts), np.int64, n) + 1
+        found = np.fromiter(chain.from_iterable(self.finder.iter(GAP.join(parts))), np.int64).reshape(-1, 2)
+        length, piece = found[:, 1] % PACK, found[:, 1] // PACK
+        start = found[:, 0] - length + 1  # in the joined parts
+        word = np.repeat(np.arange(n), sizes)[start]
+        place = start - (np.cumsum(sizes) - sizes)[word]
+        here = place < count
+        cells = ((place * deep + length) * n + word)[here]
         ids = np.full((count, deep, n), none, np.int32)
-        ids.ravel()[cells] = values
+        ids.ravel()[cells] = piece[here]
         ids[:, 1][ids[:, 1] == none] = self.other
         return ids
 
@@ -199,24 +210,26 @@ class Scorer:
     def learn(self, words: set[str], letters: int = 60_000) -> None:
         """Score words, as many of similar length at once as have about ``letters`` letters."""
         listed = sorted(words, key=len)
-        found, at = [self.logs], 0
+        base, at = len(self.row), 0
+        if base + len(listed) > len(self.logs):
+            held = self.logs[:base]
+            self.logs = np.empty((max(2 * len(self.logs), base + len(listed)), held.shape[1]))
+            self.logs[:base] = held
         while at < len(listed):
             upto = at + 1
             while upto < len(listed) and (upto + 1 - at) * (len(listed[upto]) + 1) <= letters:
                 upto += 1
-            found.append(self.forward([START + w for w in listed[at:upto]]))
+            self.logs[base + at : base + upto] = self.forward([START + w for w in listed[at:upto]])
             at = upto
-        base = len(self.logs)
-        self.logs = np.concatenate(found)
         self.row.update(zip(listed, range(base, base + len(listed)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log-likelihoods of each text, None without a letter."""
         split = [words_of(t) for t in texts]
         fresh = set().union(*split)
-        if len(self.row) > self.memory:
+        if len(self.row) > self.most:
             again = list(fresh & self.row.keys())
-            self.logs = self.logs[[self.row[w] for w in again]]
+            self.logs[: len(again)] = self.logs[[self.row[w] for w in again]]
             self.row = {w: k for k, w in enumerate(again)}
         self.learn(fresh - self.row.keys())
         return [self.logs[list(map(self.row.__getitem__, words))].sum(axis=0) if words else None for words in split]

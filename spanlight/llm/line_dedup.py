@@ -94,27 +94,25 @@ def extended_runs(lines: DataFrame, spots: DataFrame, window: int, long_words: i
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                owner, at, size, keys = [], [], [], []
-                for row, (hashes, counts, places) in enumerate(zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
-                    words = np.frombuffer(counts, np.int32)
-                    starts, ends = least_runs(words, window, long_words, min_words)
-                    marks = np.zeros(len(words) + 1, np.int64)
-                    marks[np.asarray(places) + 1] = 1
-                    marks = marks.cumsum()
-                    held = marks[ends] > marks[starts]
-                    starts, ends = starts[held], ends[held]
-                    keys += [xxhash.xxh3_128_digest(hashes[s * HASH : e * HASH]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    owner.append(np.full(len(starts), row))
-                    at.append(starts)
-                    size.append(ends - starts)
-                rows = pa.array(np.concatenate(owner))
-                key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield record_batch(
-                    RUNS_ARROW, doc_id=part.column(0).take(rows), tag=part.column(1).take(rows), at=np.concatenate(at), n=np.concatenate(size), low=key[:, 0], high=key[:, 1]
-                )
+        for part, hashed in slices(batches, "hashes"):
+            owner, at, size, keys = [], [], [], []
+            for row, (hashes, counts, places) in enumerate(zip(hashed, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                words = np.frombuffer(counts, np.int32)
+                starts, ends = least_runs(words, window, long_words, min_words)
+                marks = np.zeros(len(words) + 1, np.int64)
+                marks[np.asarray(places) + 1] = 1
+                marks = marks.cumsum()
+                held = marks[ends] > marks[starts]
+                starts, ends = starts[held], ends[held]
+                keys += [xxhash.xxh3_128_digest(hashes[s * HASH : e * HASH]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                owner.append(np.full(len(starts), row))
+                at.append(starts)
+                size.append(ends - starts)
+            rows = pa.array(np.concatenate(owner))
+            key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            yield record_batch(
+                RUNS_ARROW, doc_id=part.column(0).take(rows), tag=part.column(1).take(rows), at=np.concatenate(at), n=np.concatenate(size), low=key[:, 0], high=key[:, 1]
+            )
 
     theirs = spots.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "spots")
     met = lines.join(theirs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanlight.llm.bitmaps import flag_by_keys
 from spanlight.llm.common import fresh, stash, whole
 
 
@@ -31,12 +32,29 @@ class MixTarget:
     bucket_rows: int = 10_000
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(whole(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def numbered(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` that tells rows of one id apart: 0 where no other row has the id, else the row's number in the input.
+
+    To be written before use, as numbers hold only then. Repeated ids go into a bounded bitmap: rows that it only suspects have a number
+    too, which is right as well; it just ties their place to how the input is split. Only ids are shuffled.
+    """
+    number = F.monotonically_increasing_id()
+    often = docs.select(F.col(id_col).alias("i")).where("i is not null").groupBy("i").count().where("count > 1").select(F.xxhash64("i").alias("h"))
+    often = stash(often, "mix-repeated")
+    (flag,) = fresh(docs, "__repeated")
+    flagged = flag_by_keys(docs, F.xxhash64(F.col(id_col)), often, flag)
+    rows = [F.col(f"`{c}`") for c in docs.columns]
+    return flagged.select(*rows, F.when(F.col(flag) | F.col(id_col).isNull(), number).otherwise(F.lit(0)).cast("long").alias(name))
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(whole(F.col(text_col)), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
-    )
+    """(doc_id, source, n_tokens, number), to be written before use."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
+    return numbered(slim, "doc_id", "number")
 
 
 def find_exponent(sources: DataFrame, total: int, target: MixTarget) -> tuple[float, dict[str, float]]:
@@ -107,22 +125,22 @@ def source_plan(counted: DataFrame, target: MixTarget) -> DataFrame:
     return planned.select("*", full.alias("full"), F.floor((F.col("epochs") - full) * F.col("tokens")).cast("long").alias("rest"))
 
 
-def order_key(seed: int, block: Column, doc_id: Column) -> Column:
-    """A place in the permutation of a block, from 0 up to 2 ** 63."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), block, doc_id), 1)
+def order_key(seed: int, block: Column, doc_id: Column, number: Column) -> Column:
+    """A place in the permutation of a block, from 0 up to 2 ** 63. The number makes rows of one id, or of none, scatter."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), block, doc_id, number), 1)
 
 
 def permuted(counted: DataFrame, plan: DataFrame, target: MixTarget) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, block, key, before, upto): every document in every block of its source.
+    """(doc_id, source, n_tokens, weight, block, key, number, before, upto): every row in every block of its source.
 
     ``before`` is the number of earlier documents in the block, ``upto`` the tokens up to and with this one. Running sums go
     over buckets of the key first and then inside each bucket, so that a source with a third of all rows is
-    spread over many tasks. Rows with equal key have equal ``upto``.
+    spread over many tasks. Rows with equal keys go by their number, so each has an ``upto`` of its own.
     """
     blocks = F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.col("rest") > 0, 0).otherwise(1))
     rows = counted.join(plan.select(F.col("source").alias("s"), "n", "reached", "weight", "full", "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.where("full > 0 or rest > 0").withColumn("block", F.explode(blocks))
-    rows = rows.withColumn("key", order_key(target.seed, F.col("block"), F.col("doc_id")))
+    rows = rows.withColumn("key", order_key(target.seed, F.col("block"), F.col("doc_id"), F.col("number")))
     buckets = F.ceil(F.col("n") / target.bucket_rows)
     rows = rows.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * buckets, 31))
     group = ["source", "block"]
@@ -135,18 +153,20 @@ def permuted(counted: DataFrame, plan: DataFrame, target: MixTarget) -> DataFram
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"),
         F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum0"),
     )
-    inside = W.partitionBy(*group, "bucket").orderBy("key")
-    rows = rows.select("*", F.row_number().over(inside).alias("rn"), F.sum("n_tokens").over(inside).alias("cum"))
+    inside = W.partitionBy(*group, "bucket").orderBy("key", "number").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("*", F.count("*").over(inside).alias("rn"), F.sum("n_tokens").over(inside).alias("cum"))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")) & (F.col("bucket") == F.col("b"))
     return rows.join(sums, on).select(
-        "doc_id", "source", "n_tokens", "weight", "reached", "full", "rest", "block", "key", (F.col("rows0") + F.col("rn") - 1).alias("before"), (F.col("sum0") + F.col("cum")).alias("upto")
+        "doc_id", "source", "n_tokens", "weight", "reached", "full", "rest", "block", "key", "number", (F.col("rows0") + F.col("rn") - 1).alias("before"), (F.col("sum0") + F.col("cum")).alias("upto")
     )
 
 
 def mix(docs: DataFrame, target: MixTarget | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each time a document is passed: doc_id, source, n_tokens, weight, reached, block, position (from 0 in its block).
 
-    ``reached`` is false in all rows if no exponent from 0 to 1 meets the target; the nearest one is taken then. Null text has no tokens; a null source is a source. Repeated rows are passed each. An empty table gives no rows.
+    ``reached`` is false in all rows if no exponent from 0 to 1 meets the target; the nearest one is taken then. Null text has no tokens; a null source is a source. Rows that repeat, and rows of one id or of a null id, are passed each for itself, and
+    a cut pass takes them one by one. An empty table gives no rows. The order depends on the seed and the ids, for rows that share an id also on
+    how the input is split.
     """
     target = target or MixTarget()
     counted = stash(count_tokens(docs, id_col, source_col, text_col), "mix-tokens")
@@ -159,17 +179,22 @@ def mix(docs: DataFrame, target: MixTarget | None = None, id_col: str = "doc_id"
 def repeat_documents(docs: DataFrame, target: MixTarget | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` passes it.
 
-    A source's cut block ends at one key, so the texts meet one row per source and are not joined by document.
+    Rows are written once with their number and tokens. A source's cut block ends at one key and number, so the texts meet one row
+    per source and are not joined by document.
     """
     target = target or MixTarget()
-    counted = stash(count_tokens(docs, id_col, source_col, text_col), "mix-tokens")
+    source, tokens, number, passing, full, last_key, each = fresh(docs, "__source", "__tokens", "__number", "__passing", "__full", "__cut", "__pass")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*plain, F.col(source_col).cast("string").alias(source), word_count(F.col(text_col)).alias(tokens))
+    rows = stash(numbered(rows, id_col, number), "mix-rows", "zstd")
+    counted = rows.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.col(tokens).alias("n_tokens"), F.col(number).alias("number"))
     plan = stash(source_plan(counted, target), "mix-plan")
     cut = permuted(counted, plan, target).where((F.col("block") == F.col("full")) & (F.col("upto") <= F.col("rest")))
-    cut = cut.groupBy("source").agg(F.max("key").alias("cut"))
+    cut = cut.groupBy("source").agg(F.max(F.struct("key", "number")).alias("cut"))
     passes = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    source, full, last_key, each = fresh(docs, "__source", "__full", "__cut", "__pass")
-    passes = stash(passes.select(F.col("source").alias(source), F.col("full").alias(full), F.col("cut").alias(last_key)), "mix-passes")
-    joined = docs.join(passes, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
-    last = F.coalesce(order_key(target.seed, F.col(full), F.col(id_col)) <= F.col(last_key), F.lit(False)).cast("int")
+    passes = stash(passes.select(F.col("source").alias(passing), F.col("full").alias(full), F.col("cut").alias(last_key)), "mix-passes")
+    joined = rows.join(passes, F.col(source).eqNullSafe(F.col(passing)))
+    own = F.struct(order_key(target.seed, F.col(full), F.col(id_col), F.col(number)).alias("key"), F.col(number).alias("number"))
+    last = F.coalesce(own <= F.col(last_key), F.lit(False)).cast("int")
     times = F.array_repeat(F.lit(0), (F.col(full) + last).cast("int"))
-    return joined.withColumn(each, F.explode(times)).select(*[f"`{c}`" for c in docs.columns])
+    return joined.withColumn(each, F.explode(times)).select(*plain)

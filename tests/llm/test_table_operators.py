@@ -9,6 +9,7 @@ import zlib
 import public_tokenizers
 import pytest
 from data import DOCUMENTS, awkward_rows, random_text
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -222,3 +223,29 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter(r["doc_id"] for r in out) == mixed
     assert all(r["ids"] == tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+@pytest.mark.parametrize("ids", ["unique", "null", "one"])
+def test_a_cut_pass_takes_rows_one_by_one(spark, ids):
+    """Rows without an id, or all of one id, are cut like any others: within one document of the plan, over many buckets."""
+    each = {"unique": F.col("id"), "null": F.lit(None).cast("long"), "one": F.lit(7)}[ids]
+    text = F.when(F.col("id") % 4 == 0, "a b c d").otherwise("a b")
+    docs = spark.range(6000).select(each.alias("doc_id"), F.when(F.col("id") % 3 == 0, "small").otherwise("large").alias("source"), text.alias("text"))
+    target = source_mixing.MixTarget(entropy=0.65, budget_tokens=9000, bucket_rows=100)
+    rows = source_mixing.mix(docs, target)
+    got = {r["source"]: r for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.max("weight").alias("w"), F.max("position").alias("last")).collect()}
+    assert set(got) == {"small", "large"} and all(abs(r["t"] - r["w"] * 9000) <= 5 and r["last"] == r["n"] - 1 for r in got.values())
+    assert rows.where("position >= 0").groupBy("source", "block", "position").count().where("count > 1").count() == 0
+    again = source_mixing.repeat_documents(docs, target).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t"), F.count("*").alias("n"))
+    assert {(r["source"], r["t"], r["n"]) for r in again.collect()} == {(s, r["t"], r["n"]) for s, r in got.items()}
+
+
+def test_half_a_budget_of_one_id_is_half_its_rows(spark):
+    docs = spark.range(40_000).select(F.lit(1).alias("doc_id"), F.lit("s").alias("source"), F.lit("one two three").alias("text"))
+    target = source_mixing.MixTarget(budget_tokens=60_000, bucket_rows=1000)
+    assert source_mixing.mix(docs, target).count() == 20_000
+    counted = source_mixing.stash(source_mixing.count_tokens(docs), "test-tokens")
+    rows = source_mixing.permuted(counted, source_mixing.source_plan(counted, target), target)
+    buckets = rows.groupBy(F.floor(F.col("before") / 1000)).count()
+    assert rows.count() == 40_000 and buckets.count() == 40
+    assert rows.groupBy(F.shiftright(F.shiftrightunsigned("key", 32) * 40, 31)).count().agg(F.max("count")).first()[0] < 2000
