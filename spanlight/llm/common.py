@@ -17,18 +17,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch where the session leaves Spark's own number: texts are long, and a batch is held on both sides.
-ARROW_ROWS = 1000
+#: Settings for tables of long texts, each with Spark's own value. A batch is held on both sides of a Python task, and the reader's
+#: batch of texts is one array, which grows by doubling in the JVM's heap: both were the larger part of an executor's memory.
+TEXT_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"),
+}
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python, once per application; Spark hands it out like any other file.
 
-    A session that has Spark's default of 10,000 rows in an Arrow batch goes on with ``ARROW_ROWS``; another number stays.
+    A session that has Spark's own number for one of ``TEXT_SETTINGS`` goes on with ours; another number stays.
     """
-    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows, "10000") == "10000":
-        spark.conf.set(rows, str(ARROW_ROWS))
+    context = spark.sparkContext
+    for name, (own, ours) in TEXT_SETTINGS.items():
+        if spark.conf.get(name, own) == own:
+            spark.conf.set(name, ours)
     if getattr(context, "_spanlight_shipped", False):
         return
     package = Path(__file__).parent.parent
