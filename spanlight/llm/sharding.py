@@ -1,14 +1,15 @@
 """Two-pass external shuffle into shards.
 
-Pass one writes every record with a seeded hash, which scatters them into buckets small enough for memory. Pass two shuffles each
-bucket (Fisher-Yates, by the engine's ``shuffle``) and gives every record a place in the whole order: the
-records of earlier buckets, then its place in its own. Place modulo the number of shards is the shard, so
-shards differ by one record at most, and the quotient is the slot. Only DataFrame functions are used.
+Pass one deals every record by a seeded hash into buckets small enough for memory; a task receives a range of buckets. Pass two
+shuffles each bucket (Fisher-Yates, by the engine's ``shuffle``), which gives every record a place in the whole order: the
+records of earlier buckets, then its place in its own, and writes the buckets in that order. A shard is a range of places; shards
+differ by one record at most. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,20 @@ def text_checksum(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("long")
 
 
-def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """Pass one: the written records (doc_id, size, text_crc32, payload, number, mark) with their ``bucket``, and the number of buckets."""
+class Layout(NamedTuple):
+    """What pass one counted and decided: rows, buckets, and tasks that hold a range of buckets each."""
+
+    rows: int
+    buckets: int
+    tasks: int
+
+
+def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, Layout]:
+    """Pass one's records (doc_id, size, text_crc32, payload, number) with their ``bucket`` and its task ``part``, and the layout.
+
+    The records are written once with their numbers, so a task that runs again deals them out as before. There are as many
+    buckets as the session has shuffle partitions, or more, unless they would be under a megabyte; a task holds at most about four full ones.
+    """
     text = whole(F.col(text_col))
     records = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -53,9 +66,23 @@ def scatter(docs: DataFrame, seed: int, bucket_bytes: int, bucket_rows: int, id_
     records = records.withColumn("number", F.monotonically_increasing_id())
     records = stash(records.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "number")), "shard-records", "zstd")
     rows, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_buckets = max(1, math.ceil(total / bucket_bytes), math.ceil(rows / bucket_rows))
-    scattered = records.withColumn("bucket", F.pmod("mark", F.lit(n_buckets)))
-    return scattered, n_buckets
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(1, min(least, total >> 20), math.ceil(total / bucket_bytes), math.ceil(rows / bucket_rows))
+    tasks = min(n_buckets, max(least, math.ceil(n_buckets / 4)))
+    bucket = F.pmod("mark", F.lit(n_buckets))
+    scattered = records.withColumn("bucket", bucket).withColumn("part", F.floor(F.col("bucket") * tasks / n_buckets).cast("int")).drop("mark")
+    return scattered, Layout(rows, n_buckets, tasks)
+
+
+def shard_of(place: Column, rows: int, n_shards: int) -> tuple[Column, Column]:
+    """(shard, slot) of a place: each shard is a range of places, and the first ``rows % n_shards`` of them have one record more."""
+    base, extra = divmod(rows, n_shards)
+    wide = extra * (base + 1)
+    early = place < wide
+    past, least = place - F.lit(wide), F.lit(max(base, 1))
+    slot = F.when(early, F.pmod(place, F.lit(base + 1))).otherwise(F.pmod(past, least))
+    shard = F.when(early, (place - slot) / (base + 1)).otherwise((past - slot) / least + extra)
+    return shard.cast("int"), slot.cast("long")
 
 
 def shuffle_into_shards(
@@ -73,34 +100,38 @@ def shuffle_into_shards(
     ``size`` is the text's UTF-8 bytes plus 8; a bucket has about ``bucket_bytes`` and no more than about ``bucket_rows`` rows.
     ``carry`` names payload columns that travel along (none: places only). Null text counts as empty. Repeated rows get a
     place each. An empty table gives no rows. The hash takes id, size, checksum and the number of the row in its input
-    partition, so copies of one row are scattered like any others. It is written with the records, so a task that runs
-    again finds the same buckets. The order depends on ``seed`` and on how the input is split.
+    partition, so copies of one row are scattered like any others. The order depends on ``seed``, on the number of buckets and, where
+    there are several, on how the input is split.
     """
-    scattered, n_buckets = scatter(docs, seed, bucket_bytes, bucket_rows, id_col, text_col, carry)
+    scattered, layout = scatter(docs, seed, bucket_bytes, bucket_rows, id_col, text_col, carry)
     offsets = bucket_offsets(scattered.groupBy("bucket").agg(F.count("*").alias("n")))
     # Fisher-Yates draws lots for the keys of the records, so a bucket is held in memory without its texts. The array is
     # sorted before it is shuffled, so the same seed gives the same order on every run.
-    packed = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32", "number"))).alias("rows"))
-    drawn = packed.select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "r"))
-    drawn = drawn.join(offsets, "bucket").select("r.number", "offset", "pos")
-    placed = scattered.join(drawn.hint("merge"), "number")
-    place = F.col("offset") + F.col("pos")
-    return placed.select(
+    packed = scattered.groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "text_crc32", "number"))).alias("rows"))
+    drawn = packed.select("bucket", "part", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "r"))
+    lots = drawn.join(offsets, "bucket").select("part", "r.number", (F.col("offset") + F.col("pos")).alias("place"))
+    # Records and lots go to the task of their bucket; there the two rows of one number meet. Tasks hold ranges of buckets, and
+    # so ranges of places.
+    dealt = scattered.drop("bucket").unionByName(lots, allowMissingColumns=True).repartitionById(layout.tasks, F.col("part"))
+    met = dealt.withColumn("place", F.max("place").over(W.partitionBy("part", "number"))).where(F.col("size").isNotNull())
+    shard, slot = shard_of(F.col("place"), layout.rows, n_shards)
+    return met.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
-        F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"),
-        F.floor(place / n_shards).cast("long").alias("slot"),
+        shard.alias("shard"),
+        slot.alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         *[F.col(f"payload_{k}").alias(c) for k, c in enumerate(carry)],
     )
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write placed records (made with ``carry``) as one folder per shard, in slot order within files.
+    """Write placed records (made with ``carry``) as one folder per shard.
 
-    Each task writes its own file into a shard's folder, so the payload is not dealt out a second time.
+    Each task writes the range of slots that its buckets have, in order, to a file of its own, mostly in one shard; files of a shard follow
+    each other by name, so a shard is read in slot order without a sort.
     """
     placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 

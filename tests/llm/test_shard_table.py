@@ -2,6 +2,7 @@
 
 import zlib
 
+import pyarrow.parquet as pq
 from data import DOCUMENTS, awkward_rows
 
 from spanlight.llm import queries, sharding
@@ -43,3 +44,25 @@ def test_copies_of_one_row_are_scattered(spark):
 def test_empty_texts_are_bounded_by_rows(spark):
     sizes = buckets_of(spark, [(k, None, "en", "a", 0) for k in range(3000)], bucket_rows=100)
     assert len(sizes) > 15 and max(sizes) < 500
+
+
+def test_files_of_a_shard_follow_each_other_by_slot(spark, tmp_path):
+    rows = [(k // 3, f"text {k // 3} " * (k % 7), "en", "a", 0) for k in range(500)]
+    placed = sharding.shuffle_into_shards(spark.createDataFrame(rows, DOCUMENTS).repartition(5), n_shards=3, bucket_bytes=1000, carry=("text",))
+    assert placed._jdf.queryExecution().executedPlan().toString().count("shufflepartitionidpassthrough") == 1
+    sharding.write_shards(placed, f"{tmp_path}/shards")
+    held = 0
+    for shard in range(3):
+        slots = []
+        for file in sorted((tmp_path / "shards" / f"shard={shard}").glob("*.parquet")):
+            slots += pq.read_table(file, columns=["slot"])["slot"].to_pylist()
+        assert slots == list(range(len(slots)))
+        held += len(slots)
+        assert len(slots) in (166, 167)
+    assert held == 500
+
+
+def test_fewer_records_than_shards(spark):
+    rows = [(k, "a", "en", "a", 0) for k in range(5)]
+    got = sharding.shuffle_into_shards(spark.createDataFrame(rows, DOCUMENTS), n_shards=24).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, 0) for k in range(5)]
