@@ -136,6 +136,52 @@ def distribution_fingerprint(distribution: DataFrame, label: str, *numbers: str)
     return distribution.agg(fingerprint(F.sort_array(F.collect_list(line))).alias("fingerprint"))
 
 
+#: A narrator takes the lines of distributions and gives, for each, a text that uses their numbers only, or None (it failed).
+Narrator = Callable[[pd.Series], list[str | None]]
+
+
+def insights(
+    distribution: DataFrame, groups: list[str], label: str, numbers: list[str], cache: DataFrame, now: Column, narrate: Narrator | None = None
+) -> DataFrame:
+    """(groups, lines, fingerprint, insight, generated_at, from_cache): a text on the distribution of each group.
+
+    ``lines`` are ``label:number:…`` in order, and always there; ``fingerprint`` is theirs. ``cache``: (fingerprint, insight, generated_at,
+    expires_at), one row each; an entry counts until its time is past. What has none is given to ``narrate``, each distribution once, however many
+    groups have it. Without an answer, or without a narrator, the text is null. A group holds one line for a label, so it is small.
+    """
+    line = F.concat_ws(":", F.col(label), *[F.col(n).cast("string") for n in numbers])
+    told = distribution.groupBy(*groups).agg(F.sort_array(F.collect_list(line)).alias("lines")).withColumn("fingerprint", fingerprint(F.col("lines")))
+    live = cache.where(F.col("expires_at") >= now).select("fingerprint", F.col("insight").alias("_kept"), F.col("generated_at").alias("_at"), F.lit(True).alias("_hit"))
+    told = told.join(live, "fingerprint", "left")
+    if narrate is None:
+        told = told.withColumn("_new", F.lit(None).cast("string"))
+    else:
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"fingerprint": pdf["fingerprint"], "_new": pd.Series(narrate(pdf["lines"]), index=pdf.index, dtype=object)})
+
+        asked = told.where("_hit is null").groupBy("fingerprint").agg(F.any_value("lines").alias("lines"))
+        told = told.join(asked.mapInPandas(run, "fingerprint string, _new string"), "fingerprint", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return told.select(
+        *groups,
+        "lines",
+        "fingerprint",
+        F.when(hit, F.col("_kept")).otherwise(F.col("_new")).alias("insight"),
+        F.when(hit, F.col("_at")).otherwise(now).alias("generated_at"),
+        hit.alias("from_cache"),
+    )
+
+
+def remember_insights(cache: DataFrame, told: DataFrame, hours: int = 24) -> DataFrame:
+    """The cache after ``insights``: new texts replace entries of their fingerprint, other entries stay; a failure leaves nothing."""
+    fresh = told.where(~F.col("from_cache") & F.col("insight").isNotNull()).groupBy("fingerprint").agg(F.min(F.struct("insight", "generated_at")).alias("x"))
+    fresh = fresh.select("fingerprint", "x.insight", "x.generated_at", (F.col("x.generated_at") + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"))
+    kept = cache.select("fingerprint", "insight", "generated_at", "expires_at").join(fresh, "fingerprint", "left_anti")
+    return kept.unionByName(fresh)
+
+
 def search(df: DataFrame, query: str, text: str, least: int = 2) -> DataFrame:
     """Rows whose text contains ``query``, in plain lower case; queries shorter than ``least`` find nothing."""
     if len(query.strip()) < least:

@@ -142,11 +142,18 @@ def proxy_union(countries: DataFrame, fallback: DataFrame, country: str = "count
 
 
 def origin_metrics(facts: DataFrame, origin: str = "origin", country: str = "country") -> DataFrame:
-    """(origin, title_count, score, countries_reached): titles once each, distinct countries."""
-    titles = facts.groupBy(origin, "id").agg(F.max("popularity").alias("popularity"))
-    totals = titles.groupBy(origin).agg(F.count("*").alias("title_count"), half_up(exact_sum("popularity"), 1).alias("score"))
-    reached = facts.groupBy(origin).agg(F.countDistinct(country).alias("countries_reached"))
-    return totals.join(reached, origin)
+    """(origin, title_count, score, countries_reached): titles once each, distinct countries.
+
+    The facts are read once: grouping sets give the titles and the countries of each origin side by side. Rows
+    without an origin are left out.
+    """
+    sets = facts.where(F.col(origin).isNotNull()).groupingSets([[F.col(origin), F.col("id")], [F.col(origin), F.col(country)]], origin, "id", country)
+    parts = sets.agg(F.max("popularity").alias("popularity"), (F.grouping("id") == 0).alias("of_title"))
+    return parts.groupBy(origin).agg(
+        F.count_if("of_title").alias("title_count"),
+        half_up(exact_sum(F.when(F.col("of_title"), F.col("popularity"))), 1).alias("score"),
+        F.count_if(~F.col("of_title") & F.col(country).isNotNull()).alias("countries_reached"),
+    )
 
 
 def person_impact(facts: DataFrame, credits: DataFrame, totals: DataFrame, country: str = "country") -> DataFrame:

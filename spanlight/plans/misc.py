@@ -79,6 +79,35 @@ def hashes(spark, d):
     return tx.distribution_fingerprint(vis.global_themes(b.themed(spark, d), b.reach(spark, d)), "theme", "title_count", "countries_reached")
 
 
+def shape(lines):
+    """A narrator that names the first label; it fails where the number of labels and titles there is odd."""
+    told = []
+    for of_group in lines:
+        label, titles, _ = of_group[0].split(":")
+        told.append(f"{label}: {titles} of {len(of_group)} labels" if (int(titles) + len(of_group)) % 2 == 0 else None)
+    return told
+
+
+def country_themes(spark, d):
+    return vis.theme_scores(b.facts(spark, d)).select("country", "theme", "titles", "confidence")
+
+
+def insight_cache(spark, d):
+    """Texts for two thirds of the nations' distributions; half of them are a second too old."""
+    now = F.expr(b.NOW)
+    n = read_table(spark, d, "nation").where("n_nationkey % 3 < 2").select(F.col("n_name").alias("country"), "n_nationkey")
+    empty = spark.createDataFrame([], "fingerprint string, insight string, generated_at timestamp_ntz, expires_at timestamp_ntz")
+    printed = tx.insights(country_themes(spark, d), ["country"], "theme", ["titles", "confidence"], empty, now).join(n, "country")
+    expires = F.when(F.col("n_nationkey") % 3 == 0, now).otherwise(now - F.expr("INTERVAL 1 SECOND"))
+    held = printed.groupBy("fingerprint").agg(F.max(expires).alias("expires_at"))
+    day = F.expr("INTERVAL 1 DAY")
+    return held.select("fingerprint", F.concat(F.lit("kept "), "fingerprint").alias("insight"), (F.col("expires_at") - day).alias("generated_at"), "expires_at")
+
+
+def country_insights(spark, d):
+    return tx.insights(country_themes(spark, d), ["country"], "theme", ["titles", "confidence"], insight_cache(spark, d), F.expr(b.NOW), shape)
+
+
 def classified(spark, d):
     """The keyword scorer as a model, with names as texts; what it cannot tell falls back to the type."""
     p = parts(spark, d)
@@ -185,6 +214,8 @@ QUERIES = {
     "parsed_values": parsed,
     "formatted_values": formatted,
     "fingerprint": hashes,
+    "cached_insights": lambda s, d: country_insights(s, d).withColumn("lines", F.array_join("lines", "|")),
+    "remembered_insights": lambda s, d: tx.remember_insights(insight_cache(s, d), country_insights(s, d)),
     "classify_with_fallback": classified,
     "text_search": lambda s, d: tx.search(read_table(s, d, "documents"), "License", "text").select("doc_id"),
     "toggle_membership": lambda s, d: b.tag_store(s, d).select("id", F.array_join(sc.toggled("auto_tags", F.lit("red")), ",").alias("tags")),
@@ -230,6 +261,15 @@ TAGS = "kt AS (SELECT doc_id AS id, tag, sum(contains(" + TURK.format("coalesce(
 ANCHOR = "(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 LINKS = f"lk AS (SELECT page_id AS id, (unnest(range(len(h))))::BIGINT AS pos, unnest(h) AS href, trim(regexp_replace(unnest(t), '<[^>]*>', '', 'g')) AS text FROM (SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1) AS h, regexp_extract_all(html, '{ANCHOR}', 2) AS t FROM pages))"
 
+INSIGHTS = (
+    "dist AS (SELECT country, string_agg(theme || ':' || titles || ':' || confidence, '|' ORDER BY theme) AS lines, count(*) AS labels, arg_min(theme, theme) AS first_theme, arg_min(titles, theme) AS first_titles FROM by_theme GROUP BY 1), "
+    "printed AS (SELECT *, left(sha1(lines), 16) AS fingerprint FROM dist), "
+    "cache AS (SELECT fingerprint, 'kept ' || fingerprint AS insight, expires_at - INTERVAL 1 DAY AS generated_at, expires_at FROM "
+    "(SELECT fingerprint, max(TIMESTAMP '2024-01-31' - CASE WHEN n_nationkey % 3 = 0 THEN INTERVAL 0 SECOND ELSE INTERVAL 1 SECOND END) AS expires_at FROM printed JOIN nation ON country = n_name WHERE n_nationkey % 3 < 2 GROUP BY 1)), "
+    "told AS (SELECT country, lines, p.fingerprint, CASE WHEN c.fingerprint IS NOT NULL THEN c.insight WHEN (first_titles + labels) % 2 = 0 THEN first_theme || ': ' || first_titles || ' of ' || labels || ' labels' END AS insight, "
+    "coalesce(c.generated_at, TIMESTAMP '2024-01-31') AS generated_at, c.fingerprint IS NOT NULL AS from_cache FROM printed p LEFT JOIN cache c ON p.fingerprint = c.fingerprint AND c.expires_at >= TIMESTAMP '2024-01-31')"
+)
+
 ORACLES = {
     "keyword_tags": f"WITH {TAGS} SELECT id, tag, hits FROM kt",
     "keyword_tag_lists": f"WITH {TAGS} SELECT id, string_agg(tag, ',' ORDER BY hits DESC, list_position(['connective', 'german', 'french', 'license'], tag)) AS tags FROM kt GROUP BY id",
@@ -251,6 +291,12 @@ SELECT p_partkey AS id, CASE WHEN p_partkey * 7 < 1000 THEN (p_partkey * 7)::VAR
        '10,255,32' AS channels
 FROM (SELECT *, (p_size / 50.0)::DOUBLE AS t, floor(p_partkey * 7 / 1000.0 * 10.0 + 0.5) / 10.0 AS k FROM part)
 """,
+    "cached_insights": sql("SELECT country, lines, fingerprint, insight, generated_at, from_cache FROM told", INSIGHTS),
+    "remembered_insights": sql(
+        "SELECT fingerprint, insight, generated_at, expires_at FROM cache WHERE fingerprint NOT IN (SELECT fingerprint FROM told WHERE NOT from_cache AND insight IS NOT NULL) "
+        "UNION ALL SELECT DISTINCT fingerprint, insight, generated_at, generated_at + INTERVAL 24 HOURS FROM told WHERE NOT from_cache AND insight IS NOT NULL",
+        INSIGHTS,
+    ),
     "fingerprint": sql(
         "SELECT left(sha1(string_agg(theme || ':' || title_count || ':' || reached, '|' ORDER BY theme)), 16) AS fingerprint FROM (SELECT theme, count(*) AS title_count, sum(n)::BIGINT AS reached FROM themed JOIN (SELECT id, count(*) AS n FROM reach GROUP BY id) USING (id) GROUP BY 1)"
     ),

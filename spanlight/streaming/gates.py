@@ -22,7 +22,9 @@ def snapshot_gate(events: DataFrame, key: Column, ts: str, score: str, hours: fl
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(batches).sort_values(["ts", "score"])
+        # Rows before the next time that can be accepted never count, so they go before the rest is held and sorted.
+        parts = [pdf if last is None else pdf[pdf["ts"].map(lambda t: t.timestamp() - last >= gap)] for pdf in batches]
+        rows = pd.concat(parts).sort_values(["ts", "score"])
         keep = []
         for ts in rows["ts"]:
             at = ts.timestamp()
@@ -82,7 +84,10 @@ def retry_ledger(attempts: DataFrame, key: str, ts: str, ok: Column, base_ms: in
         count, last = state.get if state.exists else (0, 0)
         for row in pd.concat(batches).sort_values("ts").itertuples():
             count, last = (0, 0) if row.ok else (count + 1, int(row.ts.timestamp() * 1000))
-        state.update((count, last))
+        if count:
+            state.update((count, last))
+        elif state.exists:
+            state.remove()
         wait = min(most_ms, base_ms * 2 ** min(count - 1, 40)) if count else 0
         yield pd.DataFrame({"key": [key[0]], "failure_count": [count], "last_failed_ms": [last], "next_retry_ms": [last + wait if count else 0]})
 
