@@ -4,7 +4,12 @@ Each split of a table is a memtable that is flushed as a sorted run of (digest,
 level 0. Compaction merges the last level 1 with the batches flushed since, into one row per digest with the
 smallest and the largest identifier and the number of rows. Digests of a batch that more than one row has are its hits. A
 bitmap over the hits is probed where texts are read, so only texts that may be hits leave their
-task; groups are then formed on digest and bytes. Runs of an index that further tables are added to hold the texts too.
+task; groups are then formed on digest and bytes.
+
+Runs of an index that further tables are added to hold the texts too. Such a batch is laid out in slices by a hash of the digest, and a
+filter of its digests stands beside it. A further table asks the filters of the earlier batches which of its digests
+they may hold, and reads texts only from slices with such digests. What is asked and read grows with the new table
+and its hits, not with the index.
 """
 
 from __future__ import annotations
@@ -14,11 +19,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm.bitmaps import MOST, split_by_keys
+from spanlight.llm.bitmaps import MOST, PART, bit_of, bitmap_of, split_by_keys
 from spanlight.llm.common import ascii_lower, scratch_path, stash, whole
 
-RUN_SCHEMA = "digest string, doc_id bigint, sha string, body string, batch int"
+RUN_SCHEMA = "digest string, doc_id bigint, sha string, body string, batch int, slice int, slices int"
 LEVEL_SCHEMA = "digest string, smallest bigint, largest bigint, n bigint"
+FILTER_SCHEMA = "part bigint, held binary, bits bigint, slices int"
+#: Rows of a slice of a batch that holds texts, and slices of a batch at most.
+SLICE_ROWS = 100_000
+MOST_SLICES = 1024
+#: Bits of a batch's filter for each of its rows. One digest in 16 or fewer is asked for in vain.
+FILTER_BITS = 16
+#: So many batches wait for a compaction in an index that tables are added to.
+FAN_IN = 4
+
+
+def slice_of(digest: Column, slices: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), slices).cast("int")
 
 
 def sha256_hex(text: Column) -> Column:
@@ -36,9 +53,13 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def read_batch(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{path}/level0/batch={batch}").withColumn("batch", F.lit(batch))
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """All runs of level 0 with the number of their batch."""
-    batches = [spark.read.schema(RUN_SCHEMA).parquet(f"{path}/level0/batch={k}").withColumn("batch", F.lit(k)) for k in _numbers(spark, f"{path}/level0")]
+    batches = [read_batch(spark, path, k) for k in _numbers(spark, f"{path}/level0")]
     runs = batches[0]
     for more in batches[1:]:
         runs = runs.unionByName(more)
@@ -55,8 +76,9 @@ def flush_runs(
 ) -> int:
     """Add the runs of ``docs``, one for each split, to level 0 at ``path`` as a new batch, and return its number.
 
-    Sorting stays within a split, so flushing needs no shuffle. Without ``bodies`` only ids and digests are written, which is
-    enough where no later table is compared with this one. Of two writers at once the second fails.
+    Without ``bodies`` only ids and digests are written, which is enough where no later table is compared with this one; sorting
+    stays within a split, so that needs no shuffle. With them, rows are shuffled once into slices; rows of one digest come
+    from several splits and spread over up to eight files of its slice. Of two writers at once the second fails.
     """
     spark = docs.sparkSession
     text = ascii_lower(whole(F.col(text_col)))
@@ -67,10 +89,64 @@ def flush_runs(
         (text if bodies else F.lit(None).cast("string")).alias("body"),
     )
     batch = max(_numbers(spark, f"{path}/level0"), default=0) + 1
-    entries.sortWithinPartitions("digest").write.parquet(f"{path}/level0/batch={batch}")
+    target = f"{path}/level0/batch={batch}"
+    if bodies:
+        rows, slices = docs.count(), 1
+        while slices < MOST_SLICES and slices * SLICE_ROWS < rows:
+            slices *= 2
+        sliced = entries.withColumn("slices", F.lit(slices)).withColumn("slice", slice_of(F.col("digest"), F.col("slices"))).withColumn("split", F.spark_partition_id() % 8)
+        sliced.repartition("slice", "split").drop("split").sortWithinPartitions("slice", "digest").write.partitionBy("slice").parquet(target)
+        write_filter(spark, path, batch)
+    else:
+        entries.sortWithinPartitions("digest").write.parquet(target)
     return batch
 
 
+def write_filter(spark: SparkSession, path: str, batch: int) -> None:
+    """Store the filter of a batch: a bitmap of ``FILTER_BITS`` for each row, in rows of 4 KB that are never broadcast."""
+    entries = read_batch(spark, path, batch)
+    rows, slices = entries.agg(F.count("*"), F.coalesce(F.max("slices"), F.lit(1))).first()
+    bits = PART
+    while bits < FILTER_BITS * rows:
+        bits *= 2
+    made = bitmap_of(entries, F.xxhash64("digest"), bits)
+    made.select("*", F.lit(bits).cast("long").alias("bits"), F.lit(slices).alias("slices")).write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
+
+
+def may_hold(spark: SparkSession, path: str, digests: DataFrame, batches: list[int]) -> DataFrame:
+    """(batch, slice, digest): the slices of batches that may hold a digest, by their filters. No batch that holds it is missing.
+
+    Digests meet the rows of the filters in one join. Filters that an earlier failure left out are made first.
+    """
+    for k in set(batches) - set(_numbers(spark, f"{path}/filters")):
+        write_filter(spark, path, k)
+    filters = [spark.read.schema(FILTER_SCHEMA).parquet(f"{path}/filters/batch={k}").withColumn("batch", F.lit(k)) for k in batches]
+    held = filters[0]
+    for more in filters[1:]:
+        held = held.unionByName(more)
+    sizes = [(k, row["bits"]) for k, f in zip(batches, filters, strict=True) if (row := f.select("bits").first())]
+    if not sizes:  # all batches are empty
+        return digests.select(F.lit(0).alias("batch"), F.lit(0).alias("slice"), "digest").limit(0)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("batch"), F.lit(bits).cast("long").alias("bits")) for k, bits in sizes])).alias("f")
+    asked = digests.select("digest", each).select("digest", "f.batch", F.pmod(F.xxhash64("digest"), F.col("f.bits")).alias("spot"))
+    asked = asked.withColumn("part", F.floor(F.col("spot") / PART))
+    found = asked.join(held, ["batch", "part"]).where(bit_of(F.col("held"), F.col("spot") % PART))
+    return found.select("batch", slice_of(F.col("digest"), F.col("slices")).alias("slice"), "digest")
+
+
+def earlier_rows(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame | None:
+    """(doc_id, body, digest) of the rows that hold the digests in ``asked`` (batch, slice, digest; written), from these slices only."""
+    slices: dict[int, list[int]] = {}
+    for batch, number in asked.select("batch", "slice").distinct().collect():  # at most MOST_SLICES numbers for each batch
+        slices.setdefault(batch, []).append(number)
+    found = None
+    for batch, numbers in sorted(slices.items()):
+        rows = read_batch(spark, path, batch).where(F.col("slice").isNull() | F.col("slice").isin(numbers))
+        rows = rows.join(asked.where(F.col("batch") == batch).select("digest"), "digest", "left_semi").select("doc_id", "body", "digest")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def compact(spark: SparkSession, path: str) -> DataFrame:
     """Merge level 1 and the batches flushed since: (digest, smallest, largest, n), sorted, one row per digest.
 
@@ -107,20 +183,23 @@ def dedup(
     table gives no rows. Two texts with one digest but different bytes end in different groups.
 
     At ``index_path`` lies an index that may hold tables of earlier calls. Their rows count in the groups (``keep_id`` may be
-    one of theirs) but are not returned, and ``docs`` is added to the index. The filter has ``filter_bits`` at most; where that
+    one of theirs) but are not returned, and ``docs`` is added to the index; every ``FAN_IN`` tables it is compacted. The filter has ``filter_bits`` at most; where that
     is few for the hits, more texts are verified, and none is missed.
     """
     spark = docs.sparkSession
     path = index_path or scratch_path(spark, "digest-index")
     pick = {"smallest": F.min, "largest": F.max}[keep]
     batch = flush_runs(docs, path, digest, id_col, text_col, bodies=index_path is not None)
-    merged = compact(spark, path)
-    runs = read_runs(spark, path)
-    own = runs.where(F.col("batch") == batch).select("digest", "doc_id", F.coalesce("sha", "digest").alias("sha"))
-
-    several = merged.where("n > 1").select("digest")
-    if batch > 1:
-        several = several.join(own.select("digest"), "digest", "left_semi")
+    own = read_batch(spark, path, batch).select("digest", "doc_id", F.coalesce("sha", "digest").alias("sha"))
+    earlier = [k for k in _numbers(spark, f"{path}/level0") if k < batch]
+    if earlier:
+        counted = stash(own.groupBy("digest").agg(F.count("*").alias("n")), "digest-own")
+        asked = stash(may_hold(spark, path, counted.select("digest"), earlier), "digest-asked")
+        several = counted.where("n > 1").select("digest").unionByName(asked.select("digest")).distinct()
+        if batch - max(_numbers(spark, f"{path}/level1"), default=0) >= FAN_IN:
+            compact(spark, path)
+    else:
+        several = compact(spark, path).where("n > 1").select("digest")
     keys = stash(several.select(F.xxhash64("digest").alias("k")), "digest-hits")
 
     def probe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,9 +211,8 @@ def dedup(
     hits = stash(probe(bodies)[0], "digest-bodies")
     # Byte verification: the class of a hit is its digest and its bytes. Classes are written, so that both sides of the
     # join are plain shuffles and a group that holds a third of all rows is split over tasks.
-    met = hits
-    if batch > 1:
-        met = hits.unionByName(probe(runs.where(F.col("batch") < batch).select("doc_id", "body", "digest"))[0])
+    found = earlier_rows(spark, path, asked) if earlier else None
+    met = hits if found is None else hits.unionByName(found)
     classes = met.groupBy("digest", "body").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = stash(classes, "digest-classes")
     sha = F.col("digest") if digest is sha256_hex else sha256_hex(F.col("body"))

@@ -67,3 +67,59 @@ def test_texts_of_single_rows_are_not_shuffled(spark, tmp_path):
     finally:
         exact_dedup.stash = stash
     assert dict(held)["digest-bodies"].count() < 10
+
+
+def test_a_small_table_reads_slices_of_its_hits(spark, tmp_path, monkeypatch):
+    """A tenth table of few rows asks the filters of nine others, and reads texts of few slices."""
+    path = f"file://{tmp_path}/index"
+    monkeypatch.setattr(exact_dedup, "SLICE_ROWS", 130)
+    for k in range(9):
+        exact_dedup.flush_runs(spark.range(k * 2000, k * 2000 + 2000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), "id").alias("text")), path)
+    fresh = [(90_000, "TEXT 5"), (90_001, "text 17000"), *((91_000 + k, f"new {k}") for k in range(20))]
+    read = []
+    rows_of = exact_dedup.earlier_rows
+    exact_dedup.earlier_rows = lambda *a: read.append((a[2].select("batch", "slice").collect(), out := rows_of(*a))) or out
+    try:
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.dedup(frame(spark, fresh), index_path=path).collect()}
+    finally:
+        exact_dedup.earlier_rows = rows_of
+    assert got == {90_000: (5, 2), 90_001: (17_000, 2)} | {91_000 + k: (91_000 + k, 1) for k in range(20)}
+    ((asked, rows),) = read
+    scanned = sum(exact_dedup.read_batch(spark, path, batch).where(F.col("slice") == number).count() for batch, number in set(asked))
+    assert rows.count() == 2 and scanned < 18_000 / 10
+    scans = [s for s in rows._jdf.queryExecution().executedPlan().toString().split("FileScan")[1:] if "body" in s.split("]")[0]]
+    assert scans and all("slice" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+
+
+def test_filters_miss_nothing_and_little_is_asked_in_vain(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    docs = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    exact_dedup.flush_runs(docs(0, 40_000).coalesce(1), path)
+    exact_dedup.flush_runs(docs(0, 0), path)
+    digests = docs(20_000, 60_000).select(exact_dedup.sha256_hex(F.col("text")).alias("digest"))
+    asked = exact_dedup.may_hold(spark, path, digests, [1, 2])
+    assert asked.join(exact_dedup.read_batch(spark, path, 1), "digest").count() == 20_000
+    assert asked.count() < 20_000 + 20_000 / 16
+    assert exact_dedup.may_hold(spark, path, digests, [2]).count() == 0
+
+
+def test_a_filter_that_was_not_finished_is_made(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    exact_dedup.flush_runs(frame(spark, [(1, "a")]), path)
+    (tmp_path / "index" / "filters" / "batch=1" / "_SUCCESS").unlink()
+    got = exact_dedup.dedup(frame(spark, [(2, "A")]), index_path=path).collect()
+    assert [(r["keep_id"], r["group_size"]) for r in got] == [(1, 2)]
+
+
+def test_more_hits_than_bits(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 50_000).alias("text"))
+    got = exact_dedup.dedup(docs, filter_bits=1 << 15)
+    assert got.agg(F.count_if(F.expr("group_size = 2 and keep_id = doc_id % 50000")), F.count_if("kept")).first()[:] == (100_000, 50_000)
+
+
+def test_index_is_compacted_now_and_then(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    for k in range(exact_dedup.FAN_IN + 1):
+        exact_dedup.dedup(frame(spark, [(10 - k, "same"), (100 + k, f"own {k}")]), index_path=path)
+    assert len(list((tmp_path / "index" / "level1").glob("upto=*"))) == 2
+    assert exact_dedup.compact(spark, path).where("n > 1").select("smallest", "n").first()[:] == (10 - exact_dedup.FAN_IN, exact_dedup.FAN_IN + 1)
