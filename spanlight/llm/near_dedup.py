@@ -164,6 +164,16 @@ def distance(a: Column, b: Column, rule: NearRule) -> Column:
     return differ(a, b)
 
 
+def salt_of(parts: Column) -> Column:
+    """Which of the copies of its group's row (see ``copied``) the member ``rep`` meets."""
+    return F.pmod(F.xxhash64("rep"), parts).alias("salt")
+
+
+def copied(rows: DataFrame, parts: Column) -> DataFrame:
+    """Each row ``parts`` times, numbered by ``salt``: a join by group and salt leaves no task with all members of a group."""
+    return rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+
+
 def block_pairs(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
     """Copies of ``members`` (group, rep, ...) for each pair of blocks (``bi`` <= ``bj``) that they take part in.
 
@@ -253,20 +263,21 @@ def linked_in_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return left[x], right[y]
 
 
-MARKED = "cluster long, rep long, n_shingles long, digest binary, text string, core boolean"
+MARKED = "cluster long, blocks long, rep long, n_shingles long, digest binary, text string, core boolean"
 MARKED_ARROW = pa.schema(
-    [("cluster", pa.int64()), ("rep", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("text", pa.string()), ("core", pa.bool_())]
+    [("cluster", pa.int64()), ("blocks", pa.int64()), ("rep", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("text", pa.string()), ("core", pa.bool_())]
 )
 
 
 def with_core(held: DataFrame, rule: NearRule) -> DataFrame:
-    """Rows of ``held`` (cluster, rep, n_shingles, digest, text) and ``core``: linked with the smallest member of the cluster.
+    """Rows of ``held`` (cluster, blocks, rep, n_shingles, digest, text) and ``core``: linked with the smallest member of the cluster.
 
-    The smallest member has the cluster's label. Its text meets the members in a join, one to a row, so the work and what is
-    written grow with the members only. Rows whose text is not that of the digest go.
+    The smallest member has the cluster's label. Its text meets the members in a join, in one copy for each block that the cluster
+    fills, so the work and what is written grow with the members only. Rows whose text is not that of the digest go.
     """
     first = held.where("rep = cluster").dropDuplicates(["cluster", "text"])
-    first = stash(first.select("cluster", F.col("text").alias("pivot_text"), F.col("digest").alias("pivot_digest")), "near-pivots")
+    first = stash(first.select("cluster", F.col("blocks").alias("parts"), F.col("text").alias("pivot_text"), F.col("digest").alias("pivot_digest")), "near-pivots")
+    pivots = copied(first, F.col("parts")).drop("parts")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_pivot: tuple = (None, None)
@@ -285,7 +296,7 @@ def with_core(held: DataFrame, rule: NearRule) -> DataFrame:
             kept = part.append_column("core", pa.array(rows, pa.bool_())).filter(pa.array([r is not None for r in rows]))
             yield kept.select(MARKED_ARROW.names).cast(MARKED_ARROW)
 
-    return held.join(first, "cluster").mapInArrow(run, MARKED)
+    return held.select("*", salt_of(F.col("blocks"))).join(pivots, ["cluster", "salt"]).mapInArrow(run, MARKED)
 
 
 def confirmed_links(members: DataFrame, docs: DataFrame, rule: NearRule, id_col: str, text_col: str) -> DataFrame:
@@ -302,7 +313,9 @@ def confirmed_links(members: DataFrame, docs: DataFrame, rule: NearRule, id_col:
 
     sizes = stash(members.groupBy("cluster").agg(blocks(F.lit(True)).alias("blocks")), "near-sizes")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    held = stash(members.join(sizes, "cluster").join(texts, "rep"), "near-texts")
+    salts = F.lit(rule.salts).cast("long")
+    sized = members.select("*", salt_of(salts)).join(copied(sizes.where("blocks > 1"), salts), ["cluster", "salt"], "left").drop("salt")
+    held = stash(sized.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(texts, "rep"), "near-texts")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_hashes(t, rule.words) for t in pdf["text"]]
@@ -322,8 +335,9 @@ def confirmed_links(members: DataFrame, docs: DataFrame, rule: NearRule, id_col:
     small = held.where("blocks = 1").select(*columns, zero.alias("block"), zero.alias("bi"), zero.alias("bj"))
 
     marked = stash(with_core(held.where("blocks > 1"), rule), "near-marked")
-    dealt = stash(marked.groupBy("cluster").agg(blocks(F.col("core")).alias("cores"), blocks(~F.col("core")).alias("others")), "near-blocks")
-    dealt = marked.join(dealt.where("others > 0"), "cluster")
+    needs = F.max("blocks").alias("parts"), blocks(F.col("core")).alias("cores"), blocks(~F.col("core")).alias("others")
+    needs = stash(marked.groupBy("cluster").agg(*needs), "near-blocks").where("others > 0")
+    dealt = marked.select("*", salt_of(F.col("blocks"))).join(copied(needs, F.col("parts")), ["cluster", "salt"])
     of_hash = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     block = F.when(F.col("core"), of_hash("cores")).otherwise(F.col("cores") + of_hash("others"))
     start = F.when(F.col("core"), F.col("cores")).otherwise(0)
@@ -348,7 +362,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str =
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n_shingles", "signature")).alias("x"))
     classes = stash(classes.select("digest", "rep", "x.n_shingles", "x.signature"), "near-classes")
 
-    entries = index_entries(classes, rule)
+    entries = stash(index_entries(classes, rule), "near-entries")
     full = entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     full = stash(full, "near-keys")  # written, so that the join below can split a key with very many entries
     repeated, _ = split_by_keys(entries, F.col("key"), full.select("key"))  # the others need no second shuffle
@@ -356,11 +370,10 @@ def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str =
 
     signed = classes.select("rep", "signature")
     # A pivot may have very many members, so each of them meets one of several copies of the pivot's signature.
-    salt = F.pmod(F.xxhash64("rep"), F.lit(rule.salts)).alias("salt")
-    stars = members.where("rep <> pivot").select("pivot", "rep").distinct().join(signed, "rep").select("*", salt)
+    salts = F.lit(rule.salts).cast("long")
+    stars = members.where("rep <> pivot").select("pivot", "rep").distinct().join(signed, "rep").select("*", salt_of(salts))
     pivots = members.select("pivot").distinct().join(signed, F.col("pivot") == F.col("rep"))
-    pivots = pivots.select("pivot", F.col("signature").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rule.salts - 1).cast("long"))).alias("salt"))
-    stars = stars.join(pivots, ["pivot", "salt"])
+    stars = stars.join(copied(pivots.select("pivot", F.col("signature").alias("other")), salts), ["pivot", "salt"])
     stars = stars.withColumn("d", distance(F.col("signature"), F.col("other"), rule)).where(F.col("d") <= rule.max_distance)
     stars = stash(stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "near-stars")
 
@@ -369,7 +382,8 @@ def near_duplicates(docs: DataFrame, rule: NearRule | None = None, id_col: str =
     labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     rest = stash(labelled.join(mixed, "key").join(signed, "rep"), "near-mixed")
-    edges = stars.unionByName(close_signatures(rest, rule))
+    # The labels stand for the stars, as they connect the same; so only what the groups add takes further rounds.
+    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(close_signatures(rest, rule))
     clusters = connected_components(edges).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
 
     clustered = clusters.join(classes.select("rep", "n_shingles", "digest"), "rep")
