@@ -12,6 +12,7 @@ from spanlight.operators import visibility as vis
 from spanlight.operators.temporal import min_max
 from spanlight.plans import bindings as b
 from spanlight.plans.bindings import sql
+from spanlight.scratch import stash
 from spanlight.sources.tables import read_table
 
 
@@ -75,6 +76,12 @@ def migrated(spark, d):
     return change.migrate(s, {"method": F.when(F.col("override_theme").isNull(), "model").otherwise("human"), "model_theme": F.lit("never")}, drop=("override_theme",))
 
 
+def impact(spark, d):
+    """The facts are written once: the totals of the countries come from all of them before any title is scored."""
+    facts = stash(b.facts(spark, d).select("id", "country", "name", "popularity", "theme", "confidence", "ordinal"), "person-facts")
+    return vis.person_impact(facts, b.credits(spark, d), vis.visibility(facts))
+
+
 def scaled(spark, d):
     """The range comes from all countries but one, which stands for a proxy."""
     rows = min_max(b.totals(spark, d).select("country", "score"), "score", real=F.col("country") != "NATION_0")
@@ -94,7 +101,7 @@ QUERIES = {
     "benchmark_share": benchmark,
     "title_list_top10": title_ranks,
     "untagged_first": untagged_first,
-    "person_impact": lambda s, d: vis.person_impact(b.facts(s, d), b.credits(s, d), b.totals(s, d)),
+    "person_impact": impact,
     "actor_network": lambda s, d: vis.person_network(b.facts(s, d), b.credits(s, d), b.places(s, d)),
     "series_countries": lambda s, d: vis.title_countries(b.facts(s, d), b.totals(s, d)),
     "search_index": index,

@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+#: Paths stashed in the innermost scope; each thread has its own, so jobs side by side keep their tables apart.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,8 +41,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         context._spanlight_scratch = folder
         atexit.register(_drop_quietly, spark, folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes[-1:]:
-        scope.append(path)
+    if (held := _scope.get()) is not None:
+        held.append(path)
     return path
 
 
@@ -67,9 +69,11 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Drops what is stashed inside at the end; results that are still needed must be written elsewhere by then."""
-    _scopes.append([])
+    held: list[str] = []
+    outer = _scope.set(held)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in held:
             drop(spark, path)

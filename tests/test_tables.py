@@ -240,3 +240,30 @@ def test_scratch_scope_drops_tables(spark):
         path = held.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path)
+
+
+def test_scopes_of_threads_keep_apart(spark):
+    """A scope that ends in one thread leaves the tables of another thread's scope."""
+    import os
+    import threading
+
+    from spanlight.scratch import scratch_scope, stash
+
+    begun, ended, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch_scope(spark):
+            path = stash(spark.range(2).toDF("id"), "other").inputFiles()[0].removeprefix("file://")
+            begun.set()
+            ended.wait(60)
+            seen.append(os.path.exists(path))
+        seen.append(os.path.exists(path))
+
+    with scratch_scope(spark):
+        job = threading.Thread(target=other)
+        job.start()
+        begun.wait(60)
+        mine = stash(spark.range(3).toDF("id"), "mine").inputFiles()[0].removeprefix("file://")
+    ended.set()
+    job.join(60)
+    assert not os.path.exists(mine) and seen == [True, False]
