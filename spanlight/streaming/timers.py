@@ -168,14 +168,12 @@ def expiries(puts: DataFrame, key: str, ts: str, ttl_ms: int, late: str = "1 day
     """Streaming: (key, expired_ms) of each value that outlived its time; ``expired_ms`` is its last good moment.
 
     A put keeps the value until ``ttl_ms`` later, that moment included (a value is past its time when now > expires), and one
-    that comes until then renews it. State is cleared on expiry, so keys that are gone cost nothing. Rows without a
-    key go.
+    that comes until then renews it. So the life of a value is a session of its key's puts, which Spark keeps, merges and clears
+    on expiry by itself: keys that are gone cost nothing, and no row goes through Python. Times are whole milliseconds, as is the
+    last good moment; half a millisecond more on the gap sets the end of a life between that moment and the next one. Rows
+    without a key go.
     """
-
-    def step(held: tuple | None, ms: int, rows: list[tuple[int, int]]) -> tuple[tuple | None, list[tuple]]:
-        if rows:
-            return (ms + ttl_ms, ms + ttl_ms + 1), []
-        return None, [held[:1]]  # woken right behind its last good moment
-
-    rows = puts.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("number"))
-    return in_time_order(_keyed(rows, late), step, "expires long, wake long", "expired_ms long")
+    at = F.timestamp_millis(F.unix_millis(F.col(ts).cast("timestamp")))
+    rows = _keyed(puts.select(F.col(key).cast("string").alias("key"), at.alias("ts")), late)
+    lives = rows.groupBy("key", F.session_window("ts", f"{ttl_ms * 1000 + 500} microseconds").alias("life")).agg(F.count("*").alias("_n"))
+    return lives.select("key", F.unix_millis("life.end").alias("expired_ms"))

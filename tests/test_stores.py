@@ -246,3 +246,15 @@ def test_retries_and_expiry_by_timer(spark, tmp_path):
     assert sorted((r["key"], r["failure_count"], (r["due_ms"] - start) // 1000) for r in due.collect()) == [("a", 2, 700), ("c", 1, 6300), ("c", 2, 6900)]
     gone = drain(spark, str(tmp_path), "t", lambda e: timers.expiries(e, "key", "ts", 300_000), ts="ts")
     assert sorted((r["key"], (r["expired_ms"] - start) // 1000) for r in gone.collect()) == [("a", 400), ("a", 400_300), ("b", 5310), ("c", 6600)]
+
+
+def test_a_life_ends_behind_its_last_good_moment(spark, tmp_path):
+    """A put at the last good moment renews, one a millisecond later does not; what is below a millisecond does not count."""
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    puts = [("a", 0), ("a", 300_000_999), ("b", 0), ("b", 300_001_000), ("c", 999), ("c", 300_001_000), (None, 0)]
+    spark.createDataFrame([(zero + timedelta(microseconds=u), k) for k, u in puts], "ts timestamp, key string").write.parquet(f"{tmp_path}/t.parquet")
+    gone = drain(spark, str(tmp_path), "t", lambda e: timers.expiries(e, "key", "ts", 300_000), ts="ts")
+    start = int(zero.timestamp() * 1000)
+    assert sorted((r["key"], r["expired_ms"] - start) for r in gone.collect()) == [("a", 600_000), ("b", 300_000), ("b", 600_001), ("c", 300_000), ("c", 600_001)]
+    stream = spark.readStream.schema("ts timestamp, key string").parquet(f"{tmp_path}/t.parquet")
+    assert "TransformWithState" not in timers.expiries(stream, "key", "ts", 300_000)._jdf.queryExecution().logical().toString()
