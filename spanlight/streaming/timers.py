@@ -7,6 +7,7 @@ State lives in the RocksDB store (``streaming.run`` selects it). Rows older than
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -89,24 +90,46 @@ def in_time_order(rows: DataFrame, step: Step, state: str, output: str, span_ms:
     return timed.groupBy("key").transformWithState(Ordered(), f"key string, {output}", "append", "EventTime")
 
 
-def one_marker(events: DataFrame, ts: str, hours: float = 12.0, late: str = "1 day") -> DataFrame:
+def one_marker(events: DataFrame, ts: str, hours: float = 12.0, late: str = "1 day", span_s: int = 600) -> DataFrame:
     """Streaming: (ts) of the accepted moments. A moment is accepted if ``hours`` have passed since the last accepted one, of any key.
 
-    Only distinct moments reach the one marker; their rows are found by joining the result with the table (``rows_at``).
+    Spark gathers the distinct moments of each span of ``span_s`` seconds and gives a span out once it is past, so the one marker meets
+    a row for each span and never waits for more. The spans of a trigger are laid into the state store, and the walk takes them in
+    order and reads those only in which a moment can be accepted: memory depends on the moments of a span. Rows of the moments are
+    found by joining the result with the table (``rows_at``).
     """
-    gap = int(hours * 3_600_000_000)
+    gap, width = int(hours * 3_600_000_000), span_s * 1_000_000
+
+    class Marker(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "last long")
+            self.spans = handle.getMapState("spans", "begins long", "moments array<long>")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+            last = self.last.get()[0] if self.last.exists() else None
+            for row in rows:
+                if last is None or row.begins + width > last + gap:
+                    self.spans.updateValue((row.begins,), (row.moments,))
+            for begins in sorted(k[0] for k in self.spans.keys()):
+                if last is not None and begins + width <= last + gap:
+                    continue
+                moments = self.spans.getValue((begins,))[0]
+                at = 0 if last is None else bisect_left(moments, last + gap)
+                while at < len(moments):
+                    last = moments[at]
+                    yield Row(micros=last)
+                    at = bisect_left(moments, last + gap, at + 1)
+            self.spans.clear()
+            if last is not None:
+                self.last.update((last,))
+
+        def close(self) -> None:
+            pass
 
-    def step(last: tuple | None, ms: int, rows: list[tuple[int, int]]) -> tuple[tuple | None, list[tuple]]:
-        made = []
-        for micros, _ in rows:
-            if last is None or micros - last[0] >= gap:
-                last = (micros, -1)
-                made.append((micros,))
-        return last, made
-
-    moments = events.select(F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late).dropDuplicates(["ts"])
-    rows = moments.select(F.lit("").alias("key"), "ts", F.lit(0).cast("long").alias("number"))
-    return in_time_order(rows, step, "last long, wake long", "micros long").select(F.timestamp_micros("micros").alias("ts"))
+    timed = events.select(F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late).groupBy(F.window("ts", f"{span_s} seconds").alias("span"))
+    spans = timed.agg(F.sort_array(F.collect_set(F.unix_micros("ts"))).alias("moments"))
+    rows = spans.select(F.lit("").alias("key"), F.window_time("span").alias("ts"), F.unix_micros("span.start").alias("begins"), "moments")
+    return rows.groupBy("key").transformWithState(Marker(), "micros long", "append", "EventTime").select(F.timestamp_micros("micros").alias("ts"))
 
 
 def one_marker_batch(events: DataFrame, ts: str, hours: float = 12.0) -> DataFrame:

@@ -258,3 +258,18 @@ def test_a_life_ends_behind_its_last_good_moment(spark, tmp_path):
     assert sorted((r["key"], r["expired_ms"] - start) for r in gone.collect()) == [("a", 600_000), ("b", 300_000), ("b", 600_001), ("c", 300_000), ("c", 600_001)]
     stream = spark.readStream.schema("ts timestamp, key string").parquet(f"{tmp_path}/t.parquet")
     assert "TransformWithState" not in timers.expiries(stream, "key", "ts", 300_000)._jdf.queryExecution().logical().toString()
+
+
+def test_marker_meets_spans_of_time(spark, tmp_path):
+    """Moments far closer than the spans, some in a gap over many spans: the stream equals the batch form, and its task gets a row for each span."""
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rng = random.Random(5)
+    rows = [(zero + timedelta(microseconds=rng.randrange(7_200_000_000) // 10 * 10 + 36_000_000_000 * (k % 3)),) for k in range(3000)]
+    spark.createDataFrame([*rows, *rows[:50], (None,)], "ts timestamp").repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    table = spark.read.parquet(f"{tmp_path}/t.parquet")
+    for hours in (1 / 3600, 0.5, 11.0):  # gaps shorter and longer than a span
+        want = sorted(r[0] for r in timers.one_marker_batch(table, "ts", hours).collect())
+        got = drain(spark, str(tmp_path), "t", lambda e: timers.one_marker(e, "ts", hours), ts="ts")  # noqa: B023
+        assert sorted(r[0] for r in got.collect()) == want
+    stream = spark.readStream.schema("ts timestamp").parquet(f"{tmp_path}/t.parquet")
+    assert "collect_set" in timers.one_marker(stream, "ts")._jdf.queryExecution().logical().toString()
