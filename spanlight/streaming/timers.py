@@ -1,7 +1,8 @@
-"""Rules that go by event time, on keyed state with timers: one marker for all keys, retries that fall due, values that expire.
+"""Rules that go by event time, on keyed state: one marker for all keys, retries that fall due, values that expire.
 
-Rows wait in the state store by spans of time, each with a timer at its end. Timers fire in order once the watermark has passed, so a
-rule sees its rows in time order, whatever the order of arrival, and memory does not depend on the rows of a trigger.
+What Spark's own windows can hold they hold. A rule that needs the rows of a key in order has them wait in the state store until the
+watermark has passed, with one timer for a key, so it sees them in time order, whatever the order of arrival; a key with very many rows
+keeps them by spans of time, and memory does not depend on the rows of a trigger.
 State lives in the RocksDB store (``streaming.run`` selects it). Rows older than the watermark are dropped by the engine.
 """
 
@@ -21,67 +22,107 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 Step = Callable[[tuple | None, int, list[tuple[int, int]]], tuple[tuple | None, list[tuple]]]
 
 
-def in_time_order(rows: DataFrame, step: Step, state: str, output: str, span_ms: int = 3_600_000, most: int = 10_000) -> DataFrame:
-    """Apply ``step`` to a stream of (key, ts, number) with a watermark on ``ts`` and return (key, outputs…).
+def in_time_order(rows: DataFrame, step: Step, state: str, output: str, span_ms: int = 3_600_000, most: int = 100_000) -> DataFrame:
+    """Apply ``step`` to a stream of (key, ts, number) with a watermark on ``ts`` and return (key, outputs…); ``state``: longs.
 
-    ``span_ms`` is the width of the spans that a key's rows wait in; ``most`` rows are held before they go to the store.
+    A key's state is one value: that of the rule, its timer, and the rows that wait, so a key costs a few calls to the store in a trigger,
+    however its rows are spread over time. Beyond ``most`` rows they wait in parts of spans of ``span_ms``, each written once, until
+    all spans are past.
     """
     names = [part.split()[0] for part in output.split(", ")]
+    unset = (0,) * len(state.split(", "))
 
     class Ordered(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getValueState("held", state)
-            self.waiting = handle.getMapState("waiting", "upto long", "flat array<long>")
+            self.held = handle.getValueState("held", f"known boolean, {state}, timer long, parts long, flat array<long>")
+            self.spans = handle.getMapState("spans", "upto long, part long", "flat array<long>")
+
+        def load(self) -> tuple[tuple | None, int, int, list[int]]:
+            """The rule's state, the moment of the timer (-1: none), the number of parts written (0: no spans), the rows that wait."""
+            if not self.held.exists():
+                return None, -1, 0, []
+            known, *now, timer, parts, flat = self.held.get()
+            return tuple(now) if known else None, timer, parts, list(flat)
+
+        def store(self, now: tuple | None, timer: int, parts: int, flat: list[int], upto: int | None) -> None:
+            """Keep the state; ``upto`` is the next moment at which there is something to do."""
+            if upto is not None and (timer < 0 or upto < timer):
+                self.handle.registerTimer(timer := upto)
+            if now is None and not flat and not parts:
+                self.held.clear()
+            else:
+                self.held.update((now is not None, *(now or unset), timer, parts, flat))
 
-        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        def spill(self, parts: int, flat: list[int]) -> int:
             spans: dict[int, list[int]] = {}
+            for micros, number in zip(flat[::2], flat[1::2], strict=True):
+                spans.setdefault((micros // 1000 // span_ms + 1) * span_ms, []).extend((micros, number))
+            for upto, part in spans.items():
+                self.spans.updateValue((upto, parts), (part,))
+            return parts + 1
 
-            def put() -> None:
-                for upto, flat in spans.items():
-                    if self.waiting.containsKey((upto,)):
-                        flat = list(self.waiting.getValue((upto,))[0]) + flat
-                    else:
-                        self.handle.registerTimer(upto)
-                    self.waiting.updateValue((upto,), (flat,))
-                spans.clear()
-
-            for n, row in enumerate(rows, 1):
-                spans.setdefault((row.micros // 1000 // span_ms + 1) * span_ms, []).extend((row.micros, row.number))
-                if n % most == 0:
-                    put()
-            put()
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+            now, timer, parts, flat = self.load()
+            first = None
+            for row in rows:
+                first = row.micros if first is None or row.micros < first else first
+                flat += (row.micros, row.number)
+                if len(flat) >= 2 * most:
+                    parts, flat = self.spill(parts, flat), []
+            if parts and flat:
+                parts, flat = self.spill(parts, flat), []
+            if first is not None:
+                at = first // 1000
+                self.store(now, timer, parts, flat, (at // span_ms + 1) * span_ms if parts else at + 1)
             return iter(())
 
         def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-            end, flat, made = expiredTimerInfo.getExpiryTimeInMs(), [], []
-            if self.waiting.containsKey((end,)):
-                flat = list(self.waiting.getValue((end,))[0])
-                self.waiting.removeKey((end,))
-            before = now = tuple(self.held.get()) if self.held.exists() else None
-
-            def wake(upto: int) -> None:
+            now, timer, parts, flat = self.load()
+            if timer == expiredTimerInfo.getExpiryTimeInMs():
+                timer = -1
+            # Rows before the watermark are all here, as later ones are dropped. Spans are taken whole.
+            limit = timerValues.getCurrentWatermarkInMs()
+            limit = limit // span_ms * span_ms if parts else limit
+            waiting: dict[int, list[int]] = {}
+            for upto, part in self.spans.keys() if parts else ():
+                waiting.setdefault(upto, []).append(part)
+
+            def ready() -> Iterator[list[tuple[int, int]]]:
+                nonlocal flat
+                pairs = list(zip(flat[::2], flat[1::2], strict=True))
+                flat = [x for pair in pairs if pair[0] // 1000 >= limit for x in pair]
+                yield sorted(pair for pair in pairs if pair[0] // 1000 < limit)
+                for upto in sorted(u for u in waiting if u <= limit):
+                    pairs = []
+                    for part in waiting.pop(upto):
+                        one = list(self.spans.getValue((upto, part))[0])
+                        pairs += zip(one[::2], one[1::2], strict=True)
+                        self.spans.removeKey((upto, part))
+                    yield sorted(pairs)
+
+            def wake(upto: int) -> list[tuple]:
                 nonlocal now
+                made = []
                 while now and 0 <= now[-1] <= upto:
                     now, out = step(now, now[-1], [])
-                    made.extend(out)
-
-            for ms, same in groupby(sorted(zip(flat[::2], flat[1::2], strict=True)), lambda r: r[0] // 1000):
-                wake(ms)
-                now, out = step(now, ms, list(same))
-                made.extend(out)
-            wake(end - 1)
-            if now and now[-1] >= 0:  # nothing else waits before the next timer or the watermark
-                others = [t for t in self.handle.listTimers() if t > end]
-                wake(min([timerValues.getCurrentWatermarkInMs(), *(t - span_ms for t in others)]) - 1)
+                    made += out
+                return made
+
+            def told(made: list[tuple]) -> Iterator[Row]:
+                return (Row(**dict(zip(["key", *names], [key[0], *out], strict=True))) for out in made)
+
+            for pairs in ready():
+                for ms, same in groupby(pairs, lambda r: r[0] // 1000):
+                    yield from told(wake(ms))
+                    now, out = step(now, ms, list(same))
+                    yield from told(out)
+            yield from told(wake(limit - 1))
+            parts = parts if waiting else 0
+            nexts = [min(waiting)] if waiting else [min(flat[::2]) // 1000 + 1] if flat else []
             if now and now[-1] >= 0:
-                self.handle.registerTimer((now[-1] // span_ms + 1) * span_ms)
-            if now is None:
-                self.held.clear()
-            elif now != before:
-                self.held.update(now)
-            for out in made:
-                yield Row(**dict(zip(["key", *names], [key[0], *out], strict=True)))
+                nexts.append((now[-1] // span_ms + 1) * span_ms if parts else now[-1] + 1)
+            self.store(now, timer, parts, flat, min(nexts, default=None))
 
         def close(self) -> None:
             pass
@@ -166,11 +207,14 @@ def _keyed(rows: DataFrame, late: str) -> DataFrame:
     return rows.withWatermark("ts", late).where("key is not null or ts is null")
 
 
-def retries_due(attempts: DataFrame, key: str, ts: str, ok: Column, order: Column, base_ms: int = 300_000, most_ms: int = 21_600_000, late: str = "1 day") -> DataFrame:
+def retries_due(
+    attempts: DataFrame, key: str, ts: str, ok: Column, order: Column, base_ms: int = 300_000, most_ms: int = 21_600_000, late: str = "1 day", most: int = 100_000
+) -> DataFrame:
     """Streaming: (key, failure_count, due_ms) when the retry of a failed key falls due.
 
     The wait doubles with each failure since the last success, up to ``most_ms``. An attempt before that moment takes the place of the
     retry; success clears the key's state. Rows without a key go. Attempts of one moment go by ``order`` (long, from 0 up to 2 ** 62).
+    A key with more than ``most`` rows that wait keeps them by spans.
     """
 
     def step(held: tuple | None, ms: int, rows: list[tuple[int, int]]) -> tuple[tuple | None, list[tuple]]:
@@ -184,7 +228,7 @@ def retries_due(attempts: DataFrame, key: str, ts: str, ok: Column, order: Colum
 
     number = order.cast("long") * 2 + ok.cast("long")
     rows = attempts.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), number.alias("number"))
-    return in_time_order(_keyed(rows, late), step, "count long, due long", "failure_count long, due_ms long")
+    return in_time_order(_keyed(rows, late), step, "count long, due long", "failure_count long, due_ms long", most=most)
 
 
 def expiries(puts: DataFrame, key: str, ts: str, ttl_ms: int, late: str = "1 day") -> DataFrame:

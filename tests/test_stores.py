@@ -18,7 +18,7 @@ from spanlight.operators import upsert as change
 from spanlight.sources import tables as src
 from spanlight.sources import titles, tsv, versions
 from spanlight.streaming import timers
-from spanlight.streaming.run import drain
+from spanlight.streaming.run import ROCKS, STORE, drain
 
 
 def plan(df):
@@ -273,3 +273,36 @@ def test_marker_meets_spans_of_time(spark, tmp_path):
         assert sorted(r[0] for r in got.collect()) == want
     stream = spark.readStream.schema("ts timestamp").parquet(f"{tmp_path}/t.parquet")
     assert "collect_set" in timers.one_marker(stream, "ts")._jdf.queryExecution().logical().toString()
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_retries_over_triggers(spark, tmp_path, most):
+    """A file for each trigger, rows out of order in it and across two files: as in one walk over sorted rows; timers go by keys, not by rows."""
+    zero, rng = datetime(2024, 1, 1, tzinfo=timezone.utc), random.Random(3)
+    rows = [(n, rng.randrange(3 * 86_400_000) // 60_000 * 60_000, rng.choice("aaaaab") if n % 9 else f"k{n}", rng.random() < 0.2) for n in range(260)]
+    for at in range(4):  # half a day of disorder, less than the lateness
+        part = [(n, zero + timedelta(milliseconds=ms), k, ok) for n, ms, k, ok in rows if min((ms + n % 2 * 43_200_000) // 86_400_000, 3) == at]
+        rng.shuffle(part)
+        spark.createDataFrame(part, "event_id long, ts timestamp, key string, ok boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    for _ in range(2):
+        spark.createDataFrame([(None, zero + timedelta(days=4000), None, None)], "event_id long, ts timestamp, key string, ok boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    stream = spark.readStream.schema("event_id long, ts timestamp, key string, ok boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/t")
+    due = timers.retries_due(stream, "key", "ts", F.col("ok"), F.col("event_id"), most=most)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = due.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    start, want = int(zero.timestamp() * 1000), []
+    for key in {k for _, _, k, _ in rows}:
+        mine, count = sorted((ms, n, ok) for n, ms, k, ok in rows if k == key), 0
+        for i, (ms, _, ok) in enumerate(mine):
+            count = 0 if ok else count + 1
+            then = ms + min(21_600_000, 300_000 * 2 ** (count - 1)) if count else 0
+            if count and (i + 1 == len(mine) or mine[i + 1][0] >= then):
+                want.append((key, count, start + then))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(want)
+    if most > 5:
+        assert sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress) < 160
