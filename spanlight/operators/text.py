@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +58,45 @@ def keyword_classifier(labels: dict[str, list[str]]) -> Classifier:
     return classify
 
 
+#: Spark's own number of bytes in a batch for Python, and ours: several batches are held at once in each worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
+def _through(docs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Long texts through a Python function; a session with Spark's own number of ``BATCH_BYTES`` goes on with ours, another number stays."""
+    name, own, ours = BATCH_BYTES
+    if docs.sparkSession.conf.get(name, own) == own:
+        docs.sparkSession.conf.set(name, ours)
+    return docs.mapInArrow(run, schema)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[pa.Array, pd.Series]]:
+    """(ids, texts) of batches with an id and a text, in runs of rows with about ``limit`` bytes of text.
+
+    A batch is large where the session has a number of its own (``BATCH_BYTES``); only one run at a time becomes Python strings. A longer text is a run of its own
+    or ends one.
+    """
+    for batch in batches:
+        ids, texts = batch.columns
+        size = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype="int64") // limit)) + 1
+        for at, end in zip([0, *cuts], [*cuts, len(size)], strict=True):
+            if end > at:
+                yield ids.slice(at, end - at), texts.slice(at, end - at).to_pandas()
+        del batch, ids, texts
+    pa.default_memory_pool().release_unused()  # a Python worker lives on between tasks
+
+
 def classify(docs: DataFrame, classifier: Classifier, labels: list[str], text_col: str = "text", id_col: str = "id") -> DataFrame:
     """(id, label, confidence): answers outside ``labels`` are null; confidence is a whole number from 0 to 100."""
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.concat([pdf[["id"]].reset_index(drop=True), classifier(pdf["text"])], axis=1)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _runs(batches):
+            told = classifier(texts)
+            answers = [pa.array(told["label"], pa.string(), from_pandas=True), pa.array(told["confidence"], pa.float64(), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays([ids, *answers], names=["id", "label", "confidence"])
 
-    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, label string, confidence double")
+    told = _through(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, label string, confidence double")
     known = F.col("label").isin(*labels)
     return told.select("id", F.when(known, F.col("label")).alias("label"), F.when(known, confidence("confidence")).alias("confidence"))
 
@@ -108,11 +142,11 @@ def classify_many(docs: DataFrame, classifier: MultiClassifier, valid: list[str]
     An empty list is an answer (none fits); null is no answer, and the row may be asked again. A null text is asked as empty.
     """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "labels": pd.Series(classifier(pdf["text"]), dtype=object)})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _runs(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(classifier(texts), pa.list_(pa.string()))], names=["id", "labels"])
 
-    told = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, "id long, labels array<string>")
+    told = _through(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "id long, labels array<string>")
     return told.select("id", F.array_intersect("labels", F.array(*[F.lit(v) for v in valid]).cast("array<string>")).alias("labels"))
 
 

@@ -7,6 +7,7 @@ import random
 import threading
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +307,15 @@ def test_retries_over_triggers(spark, tmp_path, most):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(want)
     if most > 5:
         assert sum(p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress) < 160
+
+
+def test_classifiers_get_bounded_runs(spark):
+    """However long the texts of a batch are, a classifier gets about a megabyte of them at a time; a longer text may be one of them."""
+    docs = spark.range(0, 401, 1, 1).select(F.col("id").alias("id"), F.when(F.col("id") == 7, F.lit(None)).when(F.col("id") == 9, F.repeat(F.lit("y"), F.lit(3_000_000))).otherwise(F.repeat(F.lit("x"), F.lit(20_000))).alias("text"))
+
+    def size(texts):
+        return "large" if sum(len(t or "") for t in texts if len(t or "") < 3_000_000) > 1_100_000 else "small"
+
+    many = tx.classify_many(docs, lambda texts: [[size(texts)]] * len(texts), ["large", "small"]).groupBy(F.col("labels")[0]).count().collect()
+    one = tx.classify(docs, lambda texts: pd.DataFrame({"label": [size(texts)] * len(texts), "confidence": [50.0] * len(texts)}), ["large", "small"]).groupBy("label").count().collect()
+    assert [tuple(r) for r in many] == [tuple(r) for r in one] == [("small", 401)]
